@@ -23,6 +23,7 @@ from array import array
 
 import numpy as np
 import regex
+import tiktoken
 
 # Character classes.
 END, LETTER, ONE, R, V, ELL, E, NUMBER, OTHER, QUOTE, SPACE, BLANK = range(12)
@@ -196,7 +197,7 @@ class Machine:
             self.split_of.setdefault(c, (ids[a], ids[b]))
         if sorted(self.split_of) != list(self.split_of):
             raise ValueError("token ids must follow the order of the merges")
-        self.size = {i: len(t) for t, i in ids.items()}
+        self.vocabulary = ids
         self.trie: dict[int, int] = {}  # node << 8 | byte -> node
         self.token: dict[int, int] = {}  # node -> the token that ends there
         self.inner: set[int] = set()
@@ -208,7 +209,7 @@ class Machine:
             self.token[node] = i
         self.most_states = most_states
         self.counts = Remembered(self._count, most_pieces)  # piece -> number of tokens
-        self.coded = Remembered(self._code, most_pieces)  # piece -> ids, little-endian unsigned 32-bit
+        self.coded = Remembered(self._code, 2 * most_pieces)  # piece -> ids, little-endian unsigned 32-bit
         self._forget()
 
     def _forget(self) -> None:
@@ -277,27 +278,17 @@ class Machine:
             n += got & 255
         return n
 
-    def encode(self, piece: bytes) -> list[int]:
-        """The piece's token ids: the token that ends each prefix, read backwards."""
-        if len(self.states) > self.most_states:
-            self._forget()
-        s, path = 0, []
-        get = self.step.get
-        for b in piece:
-            s = (get(s << 8 | b) or self._compile(s, b)) >> 8
-            path.append(s)
-        out, at, ends, size = [], len(piece), self.ends, self.size
-        while at:
-            token = ends[path[at - 1]]
-            out.append(token)
-            at -= size[token]
-        return out[::-1]
-
     def _count(self, piece: str) -> int:
         return 1 if piece in self.specials else self.count(piece.encode())
 
+    @functools.cached_property
+    def merger(self) -> tiktoken.Encoding:
+        """The same vocabulary as merge ranks, for the ids of pieces that are not remembered."""
+        return tiktoken.Encoding("pieces", pat_str=r"\S+|\s+", mergeable_ranks=self.vocabulary, special_tokens={})
+
     def _code(self, piece: str) -> bytes:
-        return array("I", [self.specials[piece]] if piece in self.specials else self.encode(piece.encode())).tobytes()
+        ids = [self.specials[piece]] if piece in self.specials else self.merger._encode_single_piece(piece)
+        return array("I", ids).tobytes()
 
     def segments(self, text: str) -> list[str]:
         """A text cut at special strings, which stand at odd places."""
