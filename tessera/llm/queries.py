@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, language, near_dedup, packing, substring_dedup, token_counts
+from tessera.llm import chat, decontaminate, language, near_dedup, packing, pseudonyms, quality, secrets, substring_dedup, token_counts
 from tessera.llm.common import documents
 
+#: The key of the registered query; a deployment passes its own.
+PSEUDONYM_KEY = b"registered query"
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -39,16 +41,42 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model, ["doc_id", language.held_out().alias("held_out")])
 
 
+def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pseudonyms.pseudonymise(documents(spark, sf_dir), PSEUDONYM_KEY)
+    return found.select("doc_id", F.size("spans").cast("long").alias("n_found"), F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",").alias("spans"), "text")
+
+
+def op7_quotation_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.linked(documents(spark, sf_dir, "conversations"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
 
+def op9_line_frequency_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = secrets.scan(docs, secrets.train(docs))
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(written(of("assign", "access", "hex")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_decontamination": op2_decontamination,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_language_id": op5_language_id,
+    "op6_pii_pseudonyms": op6_pii_pseudonyms,
+    "op7_quotation_chat": op7_quotation_chat,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_line_frequency_quality": op9_line_frequency_quality,
+    "op10_secret_scan": op10_secret_scan,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_line_frequency_quality": quality.ORACLE}
