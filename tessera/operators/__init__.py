@@ -1 +1 @@
-"""Operators."""
+"""Functions from DataFrames to DataFrames."""

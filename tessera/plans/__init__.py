@@ -1 +1 @@
-"""Plans."""
+"""The registered queries."""

@@ -1 +1 @@
-"""Sources."""
+"""Readers and writers of logs, pages and exports."""

@@ -1 +1 @@
-"""Streaming."""
+"""Structured Streaming twins of the batch operators."""
