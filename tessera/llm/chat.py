@@ -76,7 +76,7 @@ def linked(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn",
     done = rows.join(links, ["_conv", "_turn", "_key"], "left").join(threads, ["_conv", "_turn"], "left")
     done = done.withColumn("thread", F.coalesce("_root", "_turn"))
     clean = F.array_join(F.filter(F.split("_text", "\n"), lambda x: ~x.rlike(MARKS)), "\n")
-    done = done.withColumn("text", F.when(F.col("n_quotes").isNull(), F.col("_text")).otherwise(F.trim(F.regexp_replace(clean, r"\n{3,}", "\n\n"))))
+    done = done.withColumn("text", F.when(F.col("n_quotes").isNull(), F.col("_text")).otherwise(F.regexp_replace(F.regexp_replace(clean, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")))
     done = done.withColumn("_block", F.coalesce(F.floor(F.col("thread") / BLOCK), F.lit((1 << 62) - 1)))
     sizes = rows.join(threads, ["_conv", "_turn"], "left").groupBy("_conv", F.coalesce(F.floor(F.coalesce("_root", "_turn") / BLOCK), F.lit((1 << 62) - 1)).alias("_block")).agg(F.count("*").alias("_size"))
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.partitionBy("_conv").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
