@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Digits and letters folded one for one, and separators that no reader sees.
 DIGITS_FROM = "۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩"
@@ -27,7 +28,7 @@ def fold(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.regexp_replace(plain, r"\p{Cf}", "")), r"\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def compatible(text: pd.Series) -> pd.Series:
     """NFKC; Spark has no function for it, so only text beyond ASCII should come here."""
     return text.str.normalize("NFKC")

@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # What readers do not see, and what ends a line.
 HIDDEN = {"script", "style", "noscript", "template", "nav", "head", "svg"}
@@ -69,7 +70,7 @@ def visible(html: str | None) -> str | None:
 def with_text(pages: DataFrame, html: str = "html") -> DataFrame:
     """The pages with a column ``text``."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield batch.map(visible)
