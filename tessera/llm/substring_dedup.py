@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,19 @@ def unpack_windows(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return wide.view("<u8").ravel(), np.repeat(ids, sizes), places
 
 
+def pack_places(docs: np.ndarray, places: np.ndarray) -> bytes:
+    """(document, place) rows in order as bytes."""
+    head = np.flatnonzero(np.diff(docs, prepend=docs[0] + 1) != 0)
+    sizes = np.diff(np.append(head, len(docs)))
+    return b"".join([np.array([len(head)], "<i8").tobytes(), docs[head].astype("<i8").tobytes(), sizes.astype("<u4").tobytes(), places.astype("<u4").tobytes()])
+
+
+def unpack_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(data, "<i8", 1)[0])
+    sizes = np.frombuffer(data, "<u4", n, 8 + 8 * n)
+    return np.repeat(np.frombuffer(data, "<i8", n, 8), sizes), np.frombuffer(data, "<u4", offset=8 + 12 * n)
+
+
 def later(hashes: np.ndarray, docs: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(document, place) of the windows whose hash also stands at a smaller document, or earlier in the same one."""
     order = np.argsort(hashes)
@@ -59,13 +73,14 @@ def later(hashes: np.ndarray, docs: np.ndarray, places: np.ndarray) -> tuple[np.
 
 
 def repeated_windows(docs: DataFrame, width: int = 20, id_column: str = "doc_id", text: str = "text", bytes_each: int = 24 << 20) -> DataFrame:
-    """(id, places): per document, packed unsigned 32-bit starts of windows that also start earlier; several rows a document.
+    """(id, places): per document, packed unsigned 32-bit starts of windows that also start earlier, sorted.
 
     Every window's hash is dealt out by value, packed in a block for each batch
     of documents and partition (about 9 bytes a window), and met in one task
     with all windows of the same value.  Partitions follow the size of the text,
     so each holds about ``bytes_each`` of text in windows; a window shared by a
-    third of all documents is one entry a document there.  Two windows are taken
+    third of all documents is one entry a document there.  What is found goes
+    back packed the same way, by document.  Two windows are taken
     for equal if 56 bits of one hash and a partition number from an independent
     one agree.
     """
@@ -99,24 +114,37 @@ def repeated_windows(docs: DataFrame, width: int = 20, id_column: str = "doc_id"
         h, d, p = (np.concatenate(x) for x in zip(*blocks, strict=True))
         del blocks
         d, p = later(h, d, p)
+        if not len(d):
+            return
+        part = (mixed(d.astype(np.uint64)) % np.uint64(n)).astype(np.int32)
+        order = np.lexsort((p, d, part))
+        d, p, part = d[order], p[order], part[order]
+        edge = np.flatnonzero(np.diff(part, prepend=np.int32(-1)) != 0)
+        edges = [*edge.tolist(), len(part)]
+        yield pa.record_batch([pa.array(part[edge]), pa.array([pack_places(d[a:b], p[a:b]) for a, b in zip(edges, edges[1:], strict=False)], pa.binary())], names=["part", "block"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = [unpack_places(b) for batch in batches for b in batch.column("block").to_pylist()]
+        if not blocks:
+            return
+        d, p = (np.concatenate(x) for x in zip(*blocks, strict=True))
+        del blocks
         order = np.lexsort((p, d))
-        d, p = d[order], p[order].astype("<u4")
-        edge = np.flatnonzero(np.diff(d, prepend=d[0] + 1 if len(d) else 0) != 0)
+        d, p = d[order], p[order]
+        edge = np.flatnonzero(np.diff(d, prepend=d[0] + 1) != 0)
+        stops = np.append(edge[1:], len(d))
         for at in range(0, len(edge), 20_000):
-            own = edge[at : at + 20_000].tolist()
-            stop = [*own[1:], int(edge[at + 20_000]) if at + 20_000 < len(edge) else len(d)]
-            ids = pa.array(d[own])
-            yield pa.record_batch([pc_null(ids), pa.array([p[a:b].tobytes() for a, b in zip(own, stop, strict=True)], pa.binary())], names=["_id", "places"])
+            own, stop = edge[at : at + 20_000], stops[at : at + 20_000]
+            yield pa.record_batch([with_nulls(pa.array(d[own])), pa.array([p[a:b].tobytes() for a, b in zip(own.tolist(), stop.tolist(), strict=True)], pa.binary())], names=["_id", "places"])
 
     read = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text).alias("_text"))
     dealt = read.mapInArrow(windows, "part int, block binary").repartitionById(n, "part")
-    return dealt.mapInArrow(meet, "_id long, places binary").withColumnRenamed("_id", id_column)
+    met = dealt.mapInArrow(meet, "part int, block binary").repartitionById(n, "part")
+    return met.mapInArrow(gather, "_id long, places binary").withColumnRenamed("_id", id_column)
 
 
-def pc_null(ids: pa.Array) -> pa.Array:
+def with_nulls(ids: pa.Array) -> pa.Array:
     """The number that stood for a missing id becomes null again."""
-    import pyarrow.compute as pc
-
     return pc.if_else(pc.equal(ids, NO_ID), pa.scalar(None, pa.int64()), ids)
 
 
@@ -146,16 +174,16 @@ def remove_repeats(docs: DataFrame, width: int = 20, id_column: str = "doc_id",
     scratch = Scratch(spark)
     found = scratch.save(repeated_windows(docs, width, id_column, text), "repeats")
     scratch.release()
-    found = found.select(F.col(id_column).alias("_key"), "places").groupBy("_key").agg(F.collect_list("places").alias("_places"))
+    found = found.select(F.col(id_column).alias("_key"), F.col("places").alias("_places"))
     read = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text"))
     joined = read.join(found, F.col("_id").cast("long").eqNullSafe(F.col("_key")), "left").select("_id", "_text", "_places")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
             n_words, n_removed, removed, kept = [], [], [], []
-            for t, blocks in zip(batch.column("_text").to_pylist(), batch.column("_places").to_pylist(), strict=True):
+            for t, places in zip(batch.column("_text").to_pylist(), batch.column("_places").to_pylist(), strict=True):
                 ws = t.encode().split() if t else []
-                spans = intervals(np.sort(np.frombuffer(b"".join(blocks), "<u4").astype(np.int64)), width) if blocks else []
+                spans = intervals(np.frombuffer(places, "<u4").astype(np.int64), width) if places else []
                 out, at = [], 0
                 for a, b in spans:
                     out += ws[at:a]
