@@ -9,11 +9,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, WordHashes, mixed, slices, window_hashes
 
+SHORT = 64  # members of a list whose pairs are compared directly; longer lists go through the rarest shingles
 COUNTERS = 1 << 20  # the frequency table that travels to the executors: 4 MB, however many documents
 
 
@@ -124,9 +125,9 @@ def alike(pairs: DataFrame, nodes: DataFrame, k: int, t: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(agree, "a binary, b binary")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int, id_column: str, text: str, scratch: Scratch, name: str) -> DataFrame:
-    """The (a, b) of ``pairs`` whose full shingle sets have 100 * intersection >= percent * union."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc"), "node").select(F.col("doc").alias("_doc")).distinct()
+def full_sets(keys: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, id_column: str, text: str) -> DataFrame:
+    """(node, found): the shingle sets of the nodes in ``keys``, from their documents' texts."""
+    wanted = keys.distinct().join(nodes.select("node", "doc"), "node").select(F.col("doc").alias("_doc")).distinct()
     read = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text"))
     read = read.join(wanted, F.col("_id").eqNullSafe(F.col("_doc")), "left_semi")
 
@@ -137,12 +138,38 @@ def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, p
             sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)), pa.array(np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)))
             yield pa.record_batch([pa.array([set_key(x) for x in found], pa.binary()), sets], names=["node", "found"])
 
-    sets = scratch.save(read.mapInArrow(collect, "node binary, found array<long>"), f"sets-{name}")
-    both = pairs.join(sets.withColumnsRenamed({"node": "a", "found": "fa"}), "a").join(sets.withColumnsRenamed({"node": "b", "found": "fb"}), "b")
+    return read.mapInArrow(collect, "node binary, found array<long>")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of ``pairs`` whose full shingle sets have 100 * intersection >= percent * union."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("found").alias("fa")), "a").join(sets.select(F.col("node").alias("b"), F.col("found").alias("fb")), "b")
     both = both.withColumn("_common", F.size(F.array_intersect("fa", "fb")))
     return both.where(100 * F.col("_common") >= percent * (F.size("fa") + F.size("fb") - F.col("_common"))).select("a", "b").distinct()
 
 
+def left_over(sets: DataFrame, percent: int) -> DataFrame:
+    """Every pair (a, b) of different roots that may still be linked, from (node, root, found).
+
+    A link needs ceil(percent / 100 * n) common shingles, so it needs one among
+    the rarest n - that + 1 of either side.  Shingles that one node alone has
+    come first in that order: a node with too many of them links with nothing
+    and makes no pair.
+    """
+    named = sets.select("node", F.xxhash64("node").alias("id"))
+    rows = sets.select(F.xxhash64("node").alias("id"), F.xxhash64("root").alias("root"), F.size("found").alias("n"), F.explode("found").alias("value"))
+    often = rows.groupBy("value").agg(F.count("*").cast("int").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("df > 1").select("value", "df", (F.col("lo") != F.col("hi")).alias("open"))
+    shared = rows.join(often, "value")
+    own = Window.partitionBy("id")
+    room = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.count("*").over(own))
+    shared = shared.withColumn("_room", room).where("_room > 0")
+    rare = shared.withColumn("_rank", F.row_number().over(own.orderBy("df", "value"))).where("_rank <= _room and open").select("value", "id", "root", "n")
+    other = rare.select("value", F.col("id").alias("ib"), F.col("root").alias("rb"), F.col("n").alias("nb"))
+    both = rare.join(other, "value").where("id < ib and root <> rb").where(100 * F.least("n", "nb") >= percent * F.greatest("n", "nb"))
+    both = both.select("id", "ib").distinct().join(named.withColumnRenamed("node", "a"), "id").join(named.select(F.col("id").alias("ib"), F.col("node").alias("b")), "ib")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, root) of every linked node, by alternating large-star and small-star rounds until nothing changes."""
     edges = scratch.save(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0")
@@ -165,7 +192,7 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return scratch.save(roots.union(roots.select("root", "root").distinct()), f"{name}-roots")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = 64, rounds: int = 2, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = 64, rounds: int = 3, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: (id, n_shingles, component_id, kept).
 
     Documents whose sets of ``width``-word shingles have 100 * intersection >=
@@ -200,22 +227,35 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     links, roots = None, None
     for turn in range(rounds + 1):
         rooted = posted.withColumn("root", F.col("node"))
-        if roots is not None:
+        if roots is not None:  # skip lists that are merged, and after the first pass those of two, which it has judged
             rooted = posted.join(roots, "node", "left").select("pair", "node", F.coalesce("root", "node").alias("root"))
-            several = rooted.groupBy("pair").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("pair", "n")
-            rooted = rooted.join(several.where("n > 2") if turn > 0 else several, "pair")
+        if turn:
+            several = rooted.groupBy("pair").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("pair")
+            rooted = rooted.join(several, "pair")
         if turn < rounds:
             middle = rooted.groupBy("pair").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", "pair", F.lit(turn))).alias("m"))
             pairs = rooted.join(middle, "pair").where("root <> m.root").select(F.least("node", "m.node").alias("a"), F.greatest("node", "m.node").alias("b")).distinct()
+            pairs = scratch.save(alike(pairs, nodes, k, t), f"close-{turn}")
+            if pairs.isEmpty():
+                continue
+            sets = scratch.save(full_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), docs, nodes, width, id_column, text), f"sets-{turn}")
         else:
-            rooted = scratch.save(rooted.select("pair", "node", "root"), "open")
-            other = rooted.withColumnsRenamed({"node": "b", "root": "rb"})
-            pairs = rooted.withColumnsRenamed({"node": "a", "root": "ra"}).join(other, "pair").where("a < b and ra <> rb").select("a", "b").distinct()
-        close = scratch.save(alike(pairs, nodes, k, t), f"close-{turn}")
-        if not close.isEmpty():
-            found = confirmed(close, docs, nodes, width, percent, id_column, text, scratch, str(turn))
-            links = scratch.save(found if links is None else links.union(found), f"links-{turn}")
-            scratch.drop(f"sets-{turn}")
+            sizes = rooted.groupBy("pair").agg(F.count("*").alias("n"))
+            rooted = scratch.save(rooted.join(sizes, "pair").select("pair", "node", "root", "n"), "open")
+            short = rooted.where(F.col("n") <= SHORT)
+            other = short.select("pair", F.col("node").alias("b"), F.col("root").alias("rb"))
+            direct = short.join(other, "pair").where("node < b and root <> rb").select(F.col("node").alias("a"), "b").distinct()
+            direct = scratch.save(alike(direct, nodes, k, t), "direct")
+            still = scratch.save(rooted.where(F.col("n") > SHORT).select("node", "root").distinct(), "still")
+            wanted = direct.select(F.explode(F.array("a", "b")).alias("node")).union(still.select("node"))
+            if wanted.isEmpty():
+                break
+            sets = scratch.save(full_sets(wanted, docs, nodes, width, id_column, text).dropDuplicates(["node"]), f"sets-{turn}")
+            pairs = direct.union(left_over(sets.join(still, "node"), percent)).distinct()
+        found = confirmed(pairs, sets, percent)
+        links = scratch.save(found if links is None else links.union(found), f"links-{turn}")
+        scratch.drop(f"sets-{turn}")
+        if not links.isEmpty():
             roots = components(links, scratch, f"parts-{turn}")
         scratch.release()
     if roots is None:
