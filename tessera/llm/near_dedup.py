@@ -192,7 +192,7 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return scratch.save(roots.union(roots.select("root", "root").distinct()), f"{name}-roots")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = 64, rounds: int = 3, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = 64, rounds: int = 1, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: (id, n_shingles, component_id, kept).
 
     Documents whose sets of ``width``-word shingles have 100 * intersection >=
