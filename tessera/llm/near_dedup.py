@@ -75,6 +75,17 @@ def signed(docs: DataFrame, width: int, k: int, id_column: str, text: str) -> Da
     return docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text")).mapInArrow(sign, f"doc {kind}, n_shingles long, node binary, signature binary")
 
 
+def briefed(nodes: DataFrame, id_column: str, docs: DataFrame) -> DataFrame:
+    """``nodes`` with ``brief``: the lowest byte of each coordinate."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("brief", pa.array([s[::4] for s in batch.column("signature").to_pylist()], pa.binary()))
+
+    kind = docs.schema[id_column].dataType.simpleString()
+    return nodes.select("node", "doc", "signature").mapInArrow(cut, f"node binary, doc {kind}, signature binary, brief binary")
+
+
 def frequencies(nodes: DataFrame, k: int) -> np.ndarray:
     """How often coordinate-value pairs occur, in a fixed number of counters; those rare in every batch count 0.
 
@@ -113,13 +124,17 @@ def postings(nodes: DataFrame, k: int, t: int) -> DataFrame:
 
 
 def alike(pairs: DataFrame, nodes: DataFrame, k: int, t: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose signatures agree in t coordinates at least."""
-    sig = nodes.select("node", "signature")
+    """The (a, b) of ``pairs`` whose signatures agree in t coordinates at least.
+
+    One byte of each coordinate is compared: equal coordinates stay equal, and
+    the full sets decide about the few pairs that agree by chance.
+    """
+    sig = nodes.select("node", F.col("brief").alias("signature"))
     both = pairs.join(sig.withColumnsRenamed({"node": "a", "signature": "sa"}), "a").join(sig.withColumnsRenamed({"node": "b", "signature": "sb"}), "b")
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, k) for c in ("sa", "sb"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, k) for c in ("sa", "sb"))
             yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= t))
 
     return both.select("a", "b", "sa", "sb").mapInArrow(agree, "a binary, b binary")
@@ -154,18 +169,22 @@ def left_over(sets: DataFrame, percent: int) -> DataFrame:
     A link needs ceil(percent / 100 * n) common shingles, so it needs one among
     the rarest n - that + 1 of either side.  Shingles that one node alone has
     come first in that order: a node with too many of them links with nothing
-    and makes no pair.
+    and makes no pair.  Of two sets the first common shingle stands at n - need
+    + 1 at most in either, with need common shingles for a link of sets of their
+    sizes.
     """
     named = sets.select("node", F.xxhash64("node").alias("id"))
     rows = sets.select(F.xxhash64("node").alias("id"), F.xxhash64("root").alias("root"), F.size("found").alias("n"), F.explode("found").alias("value"))
     often = rows.groupBy("value").agg(F.count("*").cast("int").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("df > 1").select("value", "df", (F.col("lo") != F.col("hi")).alias("open"))
     shared = rows.join(often, "value")
     own = Window.partitionBy("id")
-    room = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.count("*").over(own))
-    shared = shared.withColumn("_room", room).where("_room > 0")
-    rare = shared.withColumn("_rank", F.row_number().over(own.orderBy("df", "value"))).where("_rank <= _room and open").select("value", "id", "root", "n")
-    other = rare.select("value", F.col("id").alias("ib"), F.col("root").alias("rb"), F.col("n").alias("nb"))
+    shared = shared.withColumn("_alone", F.col("n") - F.count("*").over(own)).withColumn("_room", F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    shared = shared.where("_alone < _room").withColumn("at", F.col("_alone") + F.row_number().over(own.orderBy("df", "value")))
+    rare = shared.where("at <= _room and open").select("value", "id", "root", "n", "at")
+    other = rare.select("value", F.col("id").alias("ib"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("at").alias("bt"))
+    need = F.ceil((F.col("n") + F.col("nb")) * percent / (100 + percent))
     both = rare.join(other, "value").where("id < ib and root <> rb").where(100 * F.least("n", "nb") >= percent * F.greatest("n", "nb"))
+    both = both.where((F.col("at") <= F.col("n") - need + 1) & (F.col("bt") <= F.col("nb") - need + 1))
     both = both.select("id", "ib").distinct().join(named.withColumnRenamed("node", "a"), "id").join(named.select(F.col("id").alias("ib"), F.col("node").alias("b")), "ib")
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -202,7 +221,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     Equal sets are one node.  A node posts the rarest k - t + 1 of its k
     signature coordinates; a pair at the similarity has t equal coordinates but
     for a probability of 1e-6, and then shares a posting.  ``rounds`` passes link
-    each list to one member drawn for that list; lists whose members are all in
+    each list to one member: at first the one whose postings are shared most, so
+    that the lists of a large group agree on it, later one drawn for that list; lists whose members are all in
     one component are skipped from then on.  The last pass takes every pair left
     that shares a list and is not in one component, so no link between
     components is lost, and no list of near copies is expanded into its pairs.
@@ -219,21 +239,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     scratch = Scratch(spark)
     t = match_threshold(k, percent / 100)
     every = scratch.save(signed(docs, width, k, id_column, text), "signatures")
-    nodes = scratch.save(every.where("node is not null").groupBy("node").agg(F.min("doc").alias("doc"), F.any_value("signature").alias("signature")), "nodes")
+    nodes = scratch.save(briefed(every.where("node is not null").groupBy("node").agg(F.min("doc").alias("doc"), F.any_value("signature").alias("signature")), id_column, docs), "nodes")
     posted = scratch.save(postings(nodes, k, t), "postings")
-    lists = posted.groupBy("pair").agg(F.count("*").alias("n")).where("n > 1").select("pair")
-    posted = scratch.save(posted.join(lists, "pair"), "shared")
+    lists = posted.groupBy("pair").agg(F.count("*").alias("n")).where("n > 1")
+    weight = F.sum("n").over(Window.partitionBy("node"))  # over the k - t + 1 postings of a node at most
+    posted = scratch.save(posted.join(lists, "pair").select("pair", "node", weight.alias("weight")), "shared")
     scratch.drop("postings")
     links, roots = None, None
     for turn in range(rounds + 1):
         rooted = posted.withColumn("root", F.col("node"))
         if roots is not None:  # skip lists that are merged, and after the first pass those of two, which it has judged
-            rooted = posted.join(roots, "node", "left").select("pair", "node", F.coalesce("root", "node").alias("root"))
+            rooted = posted.join(roots, "node", "left").select("pair", "node", "weight", F.coalesce("root", "node").alias("root"))
         if turn:
             several = rooted.groupBy("pair").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("pair")
             rooted = rooted.join(several, "pair")
         if turn < rounds:
-            middle = rooted.groupBy("pair").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", "pair", F.lit(turn))).alias("m"))
+            first = F.struct("weight", F.xxhash64("node")) if turn == 0 else F.struct(F.xxhash64("node", "pair", F.lit(turn)))
+            middle = rooted.groupBy("pair").agg(F.max_by(F.struct("node", "root"), first).alias("m"))
             pairs = rooted.join(middle, "pair").where("root <> m.root").select(F.least("node", "m.node").alias("a"), F.greatest("node", "m.node").alias("b")).distinct()
             pairs = scratch.save(alike(pairs, nodes, k, t), f"close-{turn}")
             if pairs.isEmpty():
@@ -251,7 +273,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
             if wanted.isEmpty():
                 break
             sets = scratch.save(full_sets(wanted, docs, nodes, width, id_column, text).dropDuplicates(["node"]), f"sets-{turn}")
-            pairs = direct.union(left_over(sets.join(still, "node"), percent)).distinct()
+            pairs = scratch.save(direct.union(alike(left_over(sets.join(still, "node"), percent), nodes, k, t)).distinct(), "last")
         found = confirmed(pairs, sets, percent)
         links = scratch.save(found if links is None else links.union(found), f"links-{turn}")
         scratch.drop(f"sets-{turn}")
