@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from tessera.llm.bpe import Remembered
 from tessera.llm.common import Scratch, slices
 
 LETTERS = re.compile(r"[^\W\d_]+")
-SHARES = 64  # parts of a language's terms that are ranked apart first
+SHARES = 64  # parts of a language's terms at the last count taken, ranked apart first
 LONGEST = 5  # characters of the longest n-gram; "<" and ">" mark a word's ends
 
 
@@ -50,6 +51,10 @@ class Model:
 
         self.words, self.word_logs = table(known_words)
         self.grams, self.gram_logs = table(known_grams)
+        self.ready()
+
+    def ready(self) -> None:
+        self.known = pa.array(self.words, pa.string())
         self.unknown = Remembered(self._backoff, 200_000)
 
     def _backoff(self, word: str) -> np.ndarray:
@@ -57,27 +62,30 @@ class Model:
         for n in range(LONGEST, 0, -1):
             rows = [r for g in ngrams(word, n) if (r := self.grams.get(g)) is not None]
             if rows:
-                return self.gram_logs[rows].mean(axis=0)
+                return np.add.reduce(self.gram_logs[rows]) / len(rows)
         return np.zeros(len(self.languages))
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        found = words(text)
-        if not self.languages or not has_letter(found):
-            return "und", 0.0
-        rows, times, total = [], [], np.zeros(len(self.languages))
-        get = self.words.get
-        for w, n in Counter(found).items():
-            r = get(w)
-            if r is None:
-                total += n * self.unknown[w]
-            else:
-                rows.append(r)
-                times.append(n)
-        if rows:
-            total += np.array(times, float) @ self.word_logs[rows]
-        best = int(total.argmax())
-        odds = np.exp((total - total[best]) / max(1.0, len(found) / 8))  # neighbouring words are not independent
-        return self.languages[best], float(odds[best] / odds.sum())
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and score of each text: the words of all are looked up together, then summed by text."""
+        found = [words(t) for t in texts]
+        out = [("und", 0.0)] * len(texts)
+        own = [i for i, f in enumerate(found) if has_letter(f)] if self.languages else []
+        if not own:
+            return out
+        sizes = np.array([len(found[i]) for i in own])
+        flat = pa.array([w for i in own for w in found[i]], pa.string())
+        place = pc.index_in(flat, self.known)
+        new = flat.filter(place.is_null()).dictionary_encode()
+        logs = np.vstack([self.word_logs, *(self.unknown[w] for w in new.dictionary.to_pylist())])
+        at = place.fill_null(-1).to_numpy().astype(np.int64)
+        at[at < 0] = new.indices.to_numpy() + len(self.words)
+        total = np.add.reduceat(logs[at], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
+        best = total.argmax(axis=1)
+        odds = np.exp((total - total.max(axis=1, keepdims=True)) / np.maximum(1.0, sizes / 8)[:, None])  # neighbouring words are not independent
+        scores = odds.max(axis=1) / odds.sum(axis=1)
+        for i, b, s in zip(own, best.tolist(), scores.tolist(), strict=True):
+            out[i] = self.languages[b], s
+        return out
 
 
 def learn(training: DataFrame, lang: str = "lang", text: str = "text", words_each: int = 40_000, grams_each: int = 40_000) -> Model:
@@ -109,11 +117,16 @@ def learn(training: DataFrame, lang: str = "lang", text: str = "text", words_eac
     schema = "term string, lang string, n long"
 
     def most(df: DataFrame, k: int) -> dict[str, dict[str, int]]:
-        # a language's first k are among the first k of each of its shares, so no task sorts all terms of a language
-        order = [F.desc("n"), F.asc("term")]
-        some = df.withColumn("share", F.pmod(F.xxhash64("term"), F.lit(SHARES)))
-        some = some.withColumn("r", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*order))).where(F.col("r") <= k)
-        top = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("r") <= k).select("term").distinct()
+        # how often each count occurs decides where a language's first k end; only terms at that count are ranked
+        many = Window.partitionBy("lang").orderBy(F.desc("n"))
+        ends = df.groupBy("lang", "n").agg(F.count("*").alias("terms")).withColumn("upto", F.sum("terms").over(many))
+        ends = ends.where((F.col("upto") >= k) & (F.col("upto") - F.col("terms") < k))
+        end = ends.select("lang", F.col("n").alias("end"), (k - F.col("upto") + F.col("terms")).alias("room"))
+        judged = df.join(F.broadcast(end), "lang", "left")  # one row a language
+        share = F.pmod(F.xxhash64("term"), F.lit(SHARES))
+        ties = judged.where("n = end").withColumn("r", F.row_number().over(Window.partitionBy("lang", share).orderBy("term"))).where("r <= room")
+        ties = ties.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("term"))).where("r <= room")
+        top = judged.where("end is null or n > end").select("term").union(ties.select("term")).distinct()
         out: dict[str, dict[str, int]] = {}
         for row in df.join(top, "term").orderBy("term", "lang").toLocalIterator():
             out.setdefault(row["term"], {})[row["lang"]] = row["n"]
@@ -143,7 +156,7 @@ def predict(docs: DataFrame, model: Model, columns: list[Column | str], text: st
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _received(key, sent)
         for batch in slices(batches, "_text"):
-            found = [m.predict(t) for t in batch.column("_text").to_pylist()]
+            found = m.predict(batch.column("_text").to_pylist())
             yield pa.record_batch([*batch.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
 
     read = docs.select(*columns, F.col(text).alias("_text"))
@@ -160,7 +173,7 @@ def _received(key: str, sent) -> Model:
         _models.clear()
         m = _models[key] = Model.__new__(Model)
         m.languages, m.words, m.word_logs, m.grams, m.gram_logs = sent.value
-        m.unknown = Remembered(m._backoff, 200_000)
+        m.ready()
     return _models[key]
 
 
