@@ -160,6 +160,29 @@ def test_language_without_letters_or_model(docs, empty):
     assert {got[k] for k in range(4)} == {"und"} and got[4] == "en"
 
 
+@pytest.mark.parametrize("k", [7, 40, 100_000])
+def test_language_model_and_scores_against_a_plain_version(spark, k):
+    rng = random.Random(8)
+    rows = [(i, t, rng.choice(["en", "fr", None]), "s") for i, t in enumerate(texts())]
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), words_each=k, grams_each=k)
+    count = {}
+    for _, t, lang, _ in rows:
+        for w in language.words(t) if lang else []:
+            by = count.setdefault(lang, {})
+            by[w] = by.get(w, 0) + 1
+    kept = {w for by in count.values() for w in sorted(by, key=lambda w: (-by[w], w))[:k]}
+    assert set(model.words) == kept
+    together = model.predict([t for _, t, _, _ in rows])
+    for (lang, score), (_, t, _, _) in zip(together, rows, strict=True):
+        found = language.words(t)
+        if not found:
+            assert (lang, score) == ("und", 0.0)
+            continue
+        total = sum(model.word_logs[model.words[w]] if w in model.words else model._backoff(w) for w in found)
+        odds = np.exp((total - total.max()) / max(1.0, len(found) / 8))
+        assert lang == model.languages[int(total.argmax())] and score == pytest.approx(odds.max() / odds.sum())
+
+
 def test_feistel_is_a_permutation():
     f = pseudonyms.Feistel(b"k")
     for n in (1, 2, 7, 100, 1000):
