@@ -34,66 +34,111 @@ def ngrams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+STEP = 2.0**32  # logarithms are whole multiples of 1 / STEP, so that sums do not depend on the order of their terms
+
+
+def stepped(x: np.ndarray) -> np.ndarray:
+    return np.rint(x * STEP) / STEP
+
+
 class Model:
-    """Log frequencies by language of known words and n-grams."""
-
-    def __init__(self, languages: list[str], known_words: dict[str, dict[str, int]], known_grams: dict[str, dict[str, int]]):
-        self.languages = languages
-        at = {x: i for i, x in enumerate(languages)}
-
-        def table(rows: dict[str, dict[str, int]]) -> tuple[dict[str, int], np.ndarray]:
-            counts = np.zeros((len(rows), len(languages)))
-            for i, by in enumerate(rows.values()):
-                for lang, n in by.items():
-                    counts[i, at[lang]] = n
-            total = counts.sum(axis=0) if len(rows) else np.zeros(len(languages))
-            return dict(zip(rows, range(len(rows)), strict=True)), np.log((counts + 0.5) / (total + 0.5 * (len(rows) + 1)))
-
-        self.words, self.word_logs = table(known_words)
-        self.grams, self.gram_logs = table(known_grams)
+    """Log frequencies by language of words and n-grams: the most frequent here, all in ``tables``.
+
+    ``word_norm`` and ``gram_norm`` are the totals by language and the number of
+    terms, of all that were counted.  ``tables`` are (term, lang, n) of words
+    and of n-grams; None if what is here is all.
+    """
+
+    def __init__(self, languages: list[str], known_words: dict[str, dict[str, int]], known_grams: dict[str, dict[str, int]], word_norm: tuple[np.ndarray, int], gram_norm: tuple[np.ndarray, int], tables: tuple[DataFrame, DataFrame] | None = None):
+        self.languages, self.word_norm, self.gram_norm, self.tables = languages, word_norm, gram_norm, tables
+        self.words, self.word_logs = dict(zip(known_words, range(len(known_words)), strict=True)), self.logs(list(known_words.values()), word_norm)
+        self.grams, self.gram_logs = dict(zip(known_grams, range(len(known_grams)), strict=True)), self.logs(list(known_grams.values()), gram_norm)
         self.ready()
 
     def ready(self) -> None:
         self.known = pa.array(self.words, pa.string())
         self.unknown = Remembered(self._backoff, 200_000)
 
+    def parts(self) -> tuple:
+        """What workers need."""
+        return self.languages, self.words, self.word_logs, self.grams, self.gram_logs, self.word_norm, self.gram_norm
+
+    def logs(self, rows: list[dict[str, int]], norm: tuple[np.ndarray, int]) -> np.ndarray:
+        """The log frequencies by language of terms, from their counts by language."""
+        at = {x: i for i, x in enumerate(self.languages)}
+        counts = np.zeros((len(rows), len(at)))
+        for i, by in enumerate(rows):
+            for lang, n in by.items():
+                counts[i, at[lang]] = n
+        total, terms = norm
+        return stepped(np.log((counts + 0.5) / (total + 0.5 * (terms + 1))))
+
     def _backoff(self, word: str) -> np.ndarray:
-        """The mean over a word's n-grams of the greatest length at which any is known."""
+        """The mean over a word's n-grams of the greatest length at which any is known here."""
+        n, rows, _ = self.longest(word)
+        return stepped(np.add.reduce(self.gram_logs[rows]) / len(rows)) if n else np.zeros(len(self.languages))
+
+    def longest(self, word: str) -> tuple[int, list[int], list[tuple[int, str]]]:
+        """The greatest length at which n-grams of a word are known here (or 0), these, and those of that length or more that are not."""
+        missing = []
         for n in range(LONGEST, 0, -1):
-            rows = [r for g in ngrams(word, n) if (r := self.grams.get(g)) is not None]
+            own = ngrams(word, n)
+            rows = [r for g in own if (r := self.grams.get(g)) is not None]
+            missing += [(n, g) for g in own if g not in self.grams]
             if rows:
-                return np.add.reduce(self.gram_logs[rows]) / len(rows)
-        return np.zeros(len(self.languages))
+                return n, rows, missing
+        return 0, [], missing
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """Language and score of each text: the words of all are looked up together, then summed by text."""
+    def sums(self, texts: list[str | None], whole: bool) -> tuple[np.ndarray, np.ndarray, list[list[str]], list[list[int]]]:
+        """By text: number of words (0 if no letter), summed log frequencies, and the words that are not here with their counts.
+
+        The words of all texts are looked up together.  If the model is ``whole``,
+        words that are not here are scored by their n-grams and none are left.
+        """
         found = [words(t) for t in texts]
-        out = [("und", 0.0)] * len(texts)
-        own = [i for i, f in enumerate(found) if has_letter(f)] if self.languages else []
-        if not own:
-            return out
-        sizes = np.array([len(found[i]) for i in own])
+        sizes, total = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(self.languages)))
+        terms: list[list[str]] = [[] for _ in texts]
+        times: list[list[int]] = [[] for _ in texts]
+        own = np.array([i for i, f in enumerate(found) if has_letter(f)] if self.languages else [], np.int64)
+        if not len(own):
+            return sizes, total, terms, times
+        sizes[own] = [len(found[i]) for i in own]
         flat = pa.array([w for i in own for w in found[i]], pa.string())
         place = pc.index_in(flat, self.known)
         new = flat.filter(place.is_null()).dictionary_encode()
-        logs = np.vstack([self.word_logs, *(self.unknown[w] for w in new.dictionary.to_pylist())])
         at = place.fill_null(-1).to_numpy().astype(np.int64)
-        at[at < 0] = new.indices.to_numpy() + len(self.words)
-        total = np.add.reduceat(logs[at], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
-        best = total.argmax(axis=1)
+        away = at < 0
+        names = new.dictionary.to_pylist()
+        if whole:
+            logs = np.vstack([self.word_logs, *(self.unknown[w] for w in names)])
+        else:
+            logs = np.vstack([self.word_logs, np.zeros((len(names), len(self.languages)))])
+            if names:
+                pairs, n = np.unique(np.repeat(own, sizes[own])[away] * len(names) + new.indices.to_numpy(), return_counts=True)
+                for i, w, k in zip((pairs // len(names)).tolist(), (pairs % len(names)).tolist(), n.tolist(), strict=True):
+                    terms[i].append(names[w])
+                    times[i].append(k)
+        at[away] = new.indices.to_numpy() + len(self.words)
+        total[own] = np.add.reduceat(logs[at], np.concatenate([[0], np.cumsum(sizes[own])[:-1]]), axis=0)
+        return sizes, total, terms, times
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and score of each text by the words and n-grams that are here alone."""
+        sizes, total, _, _ = self.sums(texts, True)
+        if not self.languages:
+            return [("und", 0.0)] * len(texts)
         odds = np.exp((total - total.max(axis=1, keepdims=True)) / np.maximum(1.0, sizes / 8)[:, None])  # neighbouring words are not independent
         scores = odds.max(axis=1) / odds.sum(axis=1)
-        for i, b, s in zip(own, best.tolist(), scores.tolist(), strict=True):
-            out[i] = self.languages[b], s
-        return out
+        return [(self.languages[b], s) if n else ("und", 0.0) for n, b, s in zip(sizes.tolist(), total.argmax(axis=1).tolist(), scores.tolist(), strict=True)]
 
 
 def learn(training: DataFrame, lang: str = "lang", text: str = "text", words_each: int = 40_000, grams_each: int = 40_000) -> Model:
-    """Count every word of every row with a language; keep the most frequent per language in the model.
+    """Count every word of every row with a language, and every n-gram of these words.
 
-    Counts cover all rows.  The model, and what is broadcast, is bounded by
-    ``words_each`` and ``grams_each`` entries a language; ties go to the word
-    that sorts first.
+    All counts stay in tables that ``predict`` joins with.  The most frequent
+    words and n-grams, ``words_each`` and ``grams_each`` a language, are broadcast
+    as well, so that only rarer ones are looked up by joins; how many does not
+    change a score.  Ties go to the word that sorts first.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,9 +181,17 @@ def learn(training: DataFrame, lang: str = "lang", text: str = "text", words_eac
     scratch = Scratch(training.sparkSession)
     counted = scratch.save(read.mapInArrow(count, schema).groupBy("term", "lang").agg(F.sum("n").alias("n")), "words")
     grams = scratch.save(counted.mapInArrow(cut, schema).groupBy("term", "lang").agg(F.sum("n").alias("n")), "grams")
-    languages = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
-    model = Model(languages, most(counted, words_each), most(grams, grams_each))
-    scratch.drop("words", "grams")
+    def norm(df: DataFrame) -> tuple[dict[str, int], int]:
+        return {r["lang"]: r["n"] for r in df.groupBy("lang").agg(F.sum("n").alias("n")).collect()}, df.select("term").distinct().count()
+
+    (word_total, n_words), (gram_total, n_grams) = norm(counted), norm(grams)
+    languages = sorted(word_total)
+    top_words, top_grams = most(counted, words_each), most(grams, grams_each)
+    whole = len(top_words) == n_words and len(top_grams) == n_grams
+    totals = [np.array([t[x] for x in languages], float) for t in (word_total, gram_total)]
+    model = Model(languages, top_words, top_grams, (totals[0], n_words), (totals[1], n_grams), None if whole else (counted, grams))
+    if whole:
+        scratch.drop("words", "grams")
     scratch.release()
     return model
 
@@ -146,22 +199,87 @@ def learn(training: DataFrame, lang: str = "lang", text: str = "text", words_eac
 def predict(docs: DataFrame, model: Model, columns: list[Column | str], text: str = "text") -> DataFrame:
     """``columns`` of every row, then lang_pred and score (0 to 1).
 
+    Words beyond the broadcast ones are looked up by joins, each distinct word
+    once, and so are the n-grams of words that training does not have: every
+    counted word and n-gram takes part.
+
     Null texts and texts without a letter are ``und`` with score 0, and so is
     every text if nothing was learned; repeated rows are predicted each; an
     empty table gives no rows; columns that are not asked for are not read.
     """
+    spark = docs.sparkSession
     key = uuid.uuid4().hex
-    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.words, model.word_logs, model.grams, model.gram_logs))
+    sent = spark.sparkContext.broadcast(model.parts())
+    whole, wide = model.tables is None, len(model.languages)
+    vector = pa.list_(pa.float64())
 
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _received(key, sent)
         for batch in slices(batches, "_text"):
-            found = m.predict(batch.column("_text").to_pylist())
-            yield pa.record_batch([*batch.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
+            sizes, total, terms, times = m.sums(batch.column("_text").to_pylist(), whole)
+            made = [pa.array(sizes), pa.array(total.tolist(), vector), pa.array(terms, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))]
+            yield pa.record_batch([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], "_size", "_total", "_terms", "_times"])
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Log frequencies of counted words; of others, those of the n-grams that were broadcast, and the n-grams to look up."""
+        m = _received(key, sent)
+        for batch in batches:
+            found = [dict(zip(a, b, strict=True)) for a, b in zip(batch.column("langs").to_pylist(), batch.column("ns").to_pylist(), strict=True)]
+            logs = m.logs(found, m.word_norm)
+            rows = []
+            for i, (w, by) in enumerate(zip(batch.column("term").to_pylist(), found, strict=True)):
+                if by:
+                    rows.append((w, LONGEST + 1, 1, logs[i].tolist(), [], []))
+                else:
+                    n, own, missing = m.longest(w)
+                    rows.append((w, n, len(own), m.gram_logs[own].sum(axis=0).tolist(), [k for k, _ in missing], [g for _, g in missing]))
+            kinds = (pa.string(), pa.int32(), pa.int64(), vector, pa.list_(pa.int32()), pa.list_(pa.string()))
+            yield pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["term", "length", "k", "logs", "lengths", "missing"])
+
+    def rate_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = _received(key, sent)
+        for batch in batches:
+            logs = m.logs([dict(zip(a, b, strict=True)) for a, b in zip(batch.column("langs").to_pylist(), batch.column("ns").to_pylist(), strict=True)], m.gram_norm)
+            yield pa.record_batch([batch.column("gram"), pa.array(logs.tolist(), vector)], names=["gram", "logs"])
+
+    def by_lang(df: DataFrame, name: str) -> DataFrame:
+        pairs = F.collect_list(F.when(F.col("lang").isNotNull(), F.struct("lang", "n")))
+        return df.groupBy(name).agg(pairs.alias("_by")).select(name, F.col("_by.lang").alias("langs"), F.col("_by.n").alias("ns"))
+
+    def added(logs: str, times: Column) -> Column:
+        return F.array(*(F.sum(F.col(logs)[i] * times) for i in range(wide)))
 
     read = docs.select(*columns, F.col(text).alias("_text"))
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields[:-1])
-    return read.mapInArrow(label, f"{names}, lang_pred string, score double")
+    names = [f.name for f in read.schema.fields[:-1]]
+    kept = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields[:-1]] + ["_size long", "_total array<double>"])
+    seen = read.mapInArrow(look, f"{kept}, _terms array<string>, _times array<long>")
+    if not whole:
+        scratch = Scratch(spark)
+        counted, grams = model.tables
+        seen = scratch.save(seen.withColumn("_row", F.monotonically_increasing_id()), "seen")
+        rare = seen.select("_row", F.explode(F.arrays_zip("_terms", "_times")).alias("x")).select("_row", F.col("x._terms").alias("term"), F.col("x._times").alias("times"))
+        rated = by_lang(rare.select("term").distinct().join(counted, "term", "left"), "term").mapInArrow(rate, "term string, length int, k long, logs array<double>, lengths array<int>, missing array<string>")
+        rated = scratch.save(rated, "rated")
+        ready = rated.where((F.size("missing") == 0) & (F.col("k") > 0)).select("term", "k", "logs")
+        left = rated.where(F.size("missing") > 0)
+        asked = left.select("term", F.explode(F.arrays_zip("lengths", "missing")).alias("x")).select("term", F.col("x.lengths").alias("length"), F.col("x.missing").alias("gram"))
+        wanted = grams.withColumnRenamed("term", "gram").join(asked.select("gram").distinct(), "gram", "left_semi")
+        wanted = by_lang(wanted, "gram").mapInArrow(rate_grams, "gram string, logs array<double>")
+        parts = asked.join(wanted, "gram").select("term", "length", F.lit(1).cast("long").alias("k"), "logs").union(left.where("k > 0").select("term", "length", "k", "logs"))
+        parts = parts.groupBy("term", "length").agg(F.sum("k").alias("k"), added("logs", F.lit(1.0)).alias("logs"))
+        parts = parts.groupBy("term").agg(F.max_by(F.struct("k", "logs"), "length").alias("x")).select("term", "x.k", "x.logs")
+        mean = F.transform("logs", lambda x: F.rint(x / F.col("k") * STEP) / STEP)
+        rates = scratch.save(ready.union(parts).select("term", mean.alias("logs")), "rates")
+        more = rare.join(rates, "term").groupBy("_row").agg(added("logs", F.col("times")).alias("_more"))
+        seen = seen.join(more, "_row", "left").withColumn("_total", F.when(F.col("_more").isNull(), F.col("_total")).otherwise(F.zip_with("_total", "_more", lambda a, b: a + b)))
+    if not wide:
+        return seen.select(*names, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    top = F.array_max("_total")
+    odds = F.transform("_total", lambda x: F.exp((x - top) / F.greatest(F.lit(1.0), F.col("_size") / 8)))  # neighbouring words are not independent
+    best = F.element_at(F.array(*map(F.lit, model.languages)), F.array_position("_total", top).cast("int"))
+    lettered = F.col("_size") > 0
+    score = F.when(lettered, 1 / F.aggregate(odds, F.lit(0.0), lambda a, b: a + b)).otherwise(0.0)
+    return seen.select(*names, F.when(lettered, best).otherwise("und").alias("lang_pred"), score.alias("score"))
 
 
 _models: dict[str, Model] = {}
@@ -172,7 +290,7 @@ def _received(key: str, sent) -> Model:
     if key not in _models:
         _models.clear()
         m = _models[key] = Model.__new__(Model)
-        m.languages, m.words, m.word_logs, m.grams, m.gram_logs = sent.value
+        m.languages, m.words, m.word_logs, m.grams, m.gram_logs, m.word_norm, m.gram_norm = sent.value
         m.ready()
     return _models[key]
 

@@ -183,6 +183,42 @@ def test_language_model_and_scores_against_a_plain_version(spark, k):
         assert lang == model.languages[int(total.argmax())] and score == pytest.approx(odds.max() / odds.sum())
 
 
+def test_language_scores_every_counted_word_whatever_is_broadcast(spark):
+    rng = random.Random(8)
+    made = [(i, t, rng.choice(["en", "fr", None])) for i, t in enumerate(texts())] + [(100, "zzébca abbbq dddca", None), (101, "ü", None), (100, "zzébca abbbq dddca", None)]
+    table = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    counts = {"en": {}, "fr": {}}, {"en": {}, "fr": {}}
+    for _, t, lang in made:
+        for w in language.words(t) if lang else []:
+            # n-grams are counted once for each word of a language
+            for x in [] if w in counts[0][lang] else [g for n in range(1, 6) for g in language.ngrams(w, n)]:
+                counts[1][lang][x] = counts[1][lang].get(x, 0) + 1
+            counts[0][lang][w] = counts[0][lang].get(w, 0) + 1
+
+    def logs(by, x):
+        terms = len(set(by["en"]) | set(by["fr"]))
+        return np.array([np.log((by[c].get(x, 0) + 0.5) / (sum(by[c].values()) + 0.5 * (terms + 1))) for c in ("en", "fr")])
+
+    def rated(w):
+        if any(w in c for c in counts[0].values()):
+            return logs(counts[0], w)
+        for n in range(5, 0, -1):
+            if known := [g for g in language.ngrams(w, n) if any(g in c for c in counts[1].values())]:
+                return np.mean([logs(counts[1], g) for g in known], axis=0)
+        return np.zeros(2)
+
+    want = []
+    for i, t, _ in made:
+        found = language.words(t)
+        total = sum(map(rated, found), np.zeros(2))
+        odds = np.exp((total - total.max()) / max(1.0, len(found) / 8))
+        want.append((i, ["en", "fr"][int(total.argmax())] if found else "und", odds.max() / odds.sum() if found else 0.0))
+    for k in (3, 40, 100_000):
+        got = [tuple(r) for r in language.predict(table, language.learn(table, words_each=k, grams_each=k), ["doc_id"]).collect()]
+        for (a, lang, score), (b, lang_, score_) in zip(sorted(got), sorted(want), strict=True):
+            assert (a, lang) == (b, lang_) and score == pytest.approx(score_, abs=1e-6)
+
+
 def test_feistel_is_a_permutation():
     f = pseudonyms.Feistel(b"k")
     for n in (1, 2, 7, 100, 1000):
