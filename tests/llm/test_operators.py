@@ -286,6 +286,27 @@ def test_secrets(docs, spark):
     assert secrets.train(docs.where("doc_id < 4")).threshold > 1
 
 
+def test_secrets_of_other_forms_are_found_and_the_recall_asked_for_holds(spark):
+    rng = random.Random(9)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n: "".join(rng.choice(signs) for _ in range(n))
+    word = lambda: "".join(rng.choice(("ba", "lo", "ter", "min", "sa", "ro")) for _ in range(3))
+    plain = lambda: rng.choice((f"{word()}-{word()}-{word()}", f"https://{word()}.example/{word()}/{word()}", f"{word()}_{word()}_{word()}"))
+    loose = lambda: rng.choice((f"ghp_{key(36)}", f"sk_live_{key(24)}", key(40), f"{key(5)}#{key(6)}"))
+    made = [(i, f"{word()} {word()} password={key(rng.randint(10, 40))} {word()} {plain()} {word()} {word()} {plain()} {word()}") for i in range(300)]
+    made += [(1000 + i, f"{word()} {word()} {loose()} {word()}") for i in range(40)] + [(2000 + i, f"{word()} {word()} {plain()} {word()}") for i in range(40)]
+    table = spark.createDataFrame(made, "doc_id long, text string")
+    got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secrets.scan(table, secrets.train(table)).collect()}
+    assert np.mean([got[1000 + i] == ["network"] for i in range(40)]) >= 0.9
+    assert np.mean([got[2000 + i] == [] for i in range(40)]) >= 0.9
+    net = secrets.Network()
+    z, y = np.array([rng.gauss(k % 2, 1) for k in range(400)]), np.array([k % 2 for k in range(400)], float)
+    net.calibrate(z, y, 0.95)
+    assert (net.probability(z[y > 0]) >= net.threshold).mean() >= 0.95
+    text = "aaa deadbeef0123456789abcdef01_Zq8Lm2Xv x9!Kq2#Lm token=abcdef/Zk3"
+    assert [text[a:b] for a, b in secrets.others(text, secrets.base(text))] == ["_Zq8Lm2Xv", "x9!Kq2#Lm"]
+
+
 def test_no_rows_give_no_rows(spark, empty):
     items = spark.createDataFrame([], "item_id long, text string")
     for df in (near_dedup.near_duplicates(empty), decontaminate.find_leaks(empty, items), substring_dedup.remove_repeats(empty), token_counts.token_counts(empty, PATH), packing.pack_documents(empty, PATH), pseudonyms.pseudonymise(empty, b"k"), quality.judge(empty), secrets.scan(empty, secrets.train(empty))):
