@@ -209,6 +209,12 @@ def pair_decisions(t):
     return entities.decisions(contexts(t)).where(~F.arrays_overlap("reasons", F.array(F.lit("city_conflict"), F.lit("start_date_conflict")))).select("candidate_id_a", "candidate_id_b", "kind")
 
 
+@query("e_pair_decisions_all")
+def pair_decisions_all(t):
+    """Of every pair that is decided, those that conflict in day or city too, with the reasons."""
+    return entities.decisions(contexts(t)).select("candidate_id_a", "candidate_id_b", "kind", F.array_sort("reasons").alias("reasons"))
+
+
 @query("e_reliable", "select o_orderkey, o_orderkey % 3 <> 2 reliable from orders")
 def reliable(t):
     k = F.col("o_orderkey") % 3

@@ -31,6 +31,12 @@ def text_key(t):
     return t.documents.where("lang = 'en'").select("doc_id", F.sha2(text.text_key(F.col("text")), 256).alias("key_hash"))
 
 
+@query("t_text_key_all")
+def text_key_all(t):
+    """Over every document; DuckDB has no NFKC, so tests compare with a plain version."""
+    return t.documents.select("doc_id", F.sha2(text.text_key(F.col("text")), 256).alias("key_hash"))
+
+
 @query("t_tokenize", "select doc_id, len(w)::bigint n, sha256(array_to_string(w, ' ')) token_hash from (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w from documents)")
 def tokenize(t):
     w = text.tokens(F.col("text"))
@@ -79,6 +85,12 @@ def display_text(t):
     return plain.select("doc_id", F.sha2(text.display_text(F.col("text")), 256).alias("display_hash"))
 
 
+@query("t_display_text_all")
+def display_text_all(t):
+    """Over every document, those in quotation marks too; tests compare with a plain version."""
+    return t.documents.select("doc_id", F.sha2(text.display_text(F.col("text")), 256).alias("display_hash"))
+
+
 @query("t_jalali_format", "with j as (select o_orderkey, (o_orderdate::date - date '1970-01-01') + 2440588 jdn from orders), y as (select *, (33 * (jdn - 1948320) + 3) // 12053 + 1 y from j), n as (select *, jdn - (365 * (y - 1) + (8 * y + 21) // 33 + 1948319) nth from y), m as (select *, case when nth <= 186 then (nth - 1) // 31 + 1 else (nth - 187) // 30 + 7 end m, case when nth <= 186 then (nth - 1) % 31 + 1 else (nth - 187) % 30 + 1 end d from n) select o_orderkey, translate(d::varchar, '0123456789', '۰۱۲۳۴۵۶۷۸۹') || ' ' || ['فروردین','اردیبهشت','خرداد','تیر','مرداد','شهریور','مهر','آبان','آذر','دی','بهمن','اسفند'][m] || ' ' || translate(y::varchar, '0123456789', '۰۱۲۳۴۵۶۷۸۹') jalali from m")
 def jalali_format(t):
     return t.orders.select("o_orderkey", temporal.jalali_text(F.to_date("o_orderdate")).alias("jalali"))

@@ -118,3 +118,53 @@ def test_streams_equal_their_batch_twins(spark, tmp_path):
         stream = twin(logs.read(spark, folder, 10)).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
         stream.awaitTermination(120)
         assert sorted(map(tuple, spark.table(name).collect()), key=repr) == sorted(map(tuple, twin(events).collect()), key=repr)
+
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def test_text_queries_cover_every_document(spark):
+    import hashlib
+    import re
+    import unicodedata
+
+    from tessera.plans.queries import QUERIES
+
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    folded = str.maketrans(text.DIGITS_FROM + text.LETTERS_FROM + "‌", text.DIGITS_TO + text.LETTERS_TO + " ")
+
+    def key(t):
+        t = "".join(c for c in unicodedata.normalize("NFKC", t).translate(folded) if unicodedata.category(c) != "Cf").lower()
+        return " ".join("".join(c if unicodedata.category(c)[0] in "LN" else " " for c in t).split())
+
+    def display(t):
+        t = "".join(c for c in t.translate(str.maketrans("يك", "یک")) if c == "‌" or unicodedata.category(c) != "Cf")
+        return re.sub("^[\"'«»“”]+|[\"'«»“”]+$", "", re.sub(r"[ \t\n\x0b\f\r]+", " ", t).strip(" "))
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").collect()
+    assert any(r["lang"] != "en" for r in docs)
+    for name, plain in (("t_text_key_all", key), ("t_display_text_all", display)):
+        assert {tuple(r) for r in QUERIES[name](spark, FOLDER).collect()} == {(r["doc_id"], sha(plain(r["text"]))) for r in docs}
+    odd = ["«ﬁne ①» Ⅷ Éa", "\"both ends'\"", "می‌روم ۱۲ كي", "plain"]
+    for t in odd:
+        assert tuple(one(spark, text.text_key(F.lit(t)), text.display_text(F.lit(t)))) == (key(t), display(t))
+
+
+def test_pair_decisions_keep_conflicts(spark):
+    from tessera.plans.queries import QUERIES
+
+    got = QUERIES["e_pair_decisions_all"](spark, FOLDER).collect()
+    size = {}
+    for r in spark.read.parquet(f"{FOLDER}/part.parquet").collect():
+        size.setdefault(r["p_name"], []).append((r["p_partkey"], r["p_size"]))
+    size = {f"{min(k for k, _ in x):09d}": min(s for _, s in x) for x in size.values()}
+    assert len({(r["candidate_id_a"], r["candidate_id_b"]) for r in got}) == len(got)
+    conflicts = 0
+    for r in got:
+        a, b = size[r["candidate_id_a"]], size[r["candidate_id_b"]]
+        assert ("city_conflict" in r["reasons"], "start_date_conflict" in r["reasons"]) == (a % 2 != b % 2, a % 3 != b % 3)
+        conflicts += a % 6 != b % 6
+        assert a % 6 == b % 6 or r["kind"] != "same_event"
+    assert conflicts
+    agreed = {(r["candidate_id_a"], r["candidate_id_b"], r["kind"]) for r in got if not {"city_conflict", "start_date_conflict"} & set(r["reasons"])}
+    assert agreed == set(map(tuple, QUERIES["e_pair_decisions"](spark, FOLDER).collect()))
