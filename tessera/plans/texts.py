@@ -168,6 +168,14 @@ def infer_year(t):
     return kept.select("o_orderkey", temporal.infer_year(F.month(day), F.dayofmonth(day), reference).alias("day"))
 
 
+@query("n_infer_year_all")
+def infer_year_all(t):
+    """Over every order, those of 29 February too; tests compare with a plain version."""
+    day = F.to_date("o_orderdate")
+    reference = F.date_add(day, (F.col("o_orderkey") % 80 - 40).cast("int"))
+    return t.orders.select("o_orderkey", temporal.infer_year(F.month(day), F.dayofmonth(day), reference).alias("day"))
+
+
 @query("n_ordinal_day", "select o_orderkey, ['first','second','third','fourth','fifth','sixth','seventh','eighth','ninth','tenth'][day(o_orderdate)] word from orders where day(o_orderdate) <= 10")
 def ordinal_day(t):
     from tessera.functions import ordinals
@@ -175,6 +183,14 @@ def ordinal_day(t):
     return t.orders.where("day(o_orderdate) <= 10").select("o_orderkey", ordinals.word(F.dayofmonth("o_orderdate")).alias("word"))
 
 
+@query("n_ordinal_day_all")
+def ordinal_day_all(t):
+    """Over every order and day of a month; tests compare with a plain version."""
+    from tessera.functions import ordinals
+
+    return t.orders.select("o_orderkey", ordinals.word(F.dayofmonth("o_orderdate")).alias("word"))
+
+
 @query("n_parse_clock", "select o_orderkey, case when h between 1 and 6 then null else h * 3600 + 1800 end::int as seconds, case when h between 1 and 6 then 'ambiguous_meridiem' end code from (select o_orderkey, o_orderkey % 24 h from orders)")
 def parse_clock(t):
     got = temporal.parse_clock(F.concat(F.lit("at "), (F.col("o_orderkey") % 24).cast("string"), F.lit(":30")))
@@ -187,6 +203,12 @@ def local_instant(t):
     return kept.select("o_orderkey", F.date_format(temporal.local_instant(F.col("o_orderdate").cast("timestamp"), "Asia/Tehran"), "yyyy-MM-dd HH:mm").alias("utc"))
 
 
+@query("n_local_instant_all")
+def local_instant_all(t):
+    """Over every order, whatever the clocks did; tests compare with the zone's rules in zoneinfo."""
+    return t.orders.select("o_orderkey", F.date_format(temporal.local_instant(F.col("o_orderdate").cast("timestamp"), "Asia/Tehran"), "yyyy-MM-dd HH:mm").alias("utc"))
+
+
 @query("n_saturday_week", "select o_orderkey, o_orderdate::date - ((isodow(o_orderdate) + 1) % 7)::int as start from orders")
 def saturday_week(t):
     return t.orders.select("o_orderkey", temporal.saturday(F.to_date("o_orderdate")).alias("start"))

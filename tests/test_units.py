@@ -150,6 +150,38 @@ def test_text_queries_cover_every_document(spark):
         assert tuple(one(spark, text.text_key(F.lit(t)), text.display_text(F.lit(t)))) == (key(t), display(t))
 
 
+def test_date_queries_cover_every_order(spark):
+    from zoneinfo import ZoneInfo
+
+    from tessera.plans.queries import QUERIES
+
+    orders = {r["o_orderkey"]: r["o_orderdate"] for r in spark.read.parquet(f"{FOLDER}/orders.parquet").collect()}
+    zone = ZoneInfo("Asia/Tehran")
+
+    def instant(t):
+        early, late = (t - t.replace(tzinfo=zone, fold=k).utcoffset() for k in (0, 1))
+        return early.strftime("%Y-%m-%d %H:%M") if early == late else None
+
+    def year(k, t):
+        reference = t.date() + datetime.timedelta(days=k % 80 - 40)
+        fits = []
+        for y in range(reference.year - 1, reference.year + 2):
+            try:
+                day = t.date().replace(year=y)
+            except ValueError:
+                continue
+            fits += [day] if abs((day - reference).days) <= 45 else []
+        return fits[0] if len(fits) == 1 else None
+
+    small = "first second third fourth fifth sixth seventh eighth ninth".split()
+    names = [*small, *"tenth eleventh twelfth thirteenth fourteenth fifteenth sixteenth seventeenth eighteenth nineteenth twentieth".split(), *(f"twenty-{w}" for w in small), "thirtieth", "thirty-first"]
+    got = {name: dict(map(tuple, QUERIES[name](spark, FOLDER).collect())) for name in ("n_local_instant_all", "n_infer_year_all", "n_ordinal_day_all")}
+    assert got["n_local_instant_all"] == {k: instant(t) for k, t in orders.items()}
+    assert got["n_infer_year_all"] == {k: year(k, t) for k, t in orders.items()}
+    assert got["n_ordinal_day_all"] == {k: names[t.day - 1] for k, t in orders.items()}
+    assert None in got["n_local_instant_all"].values()  # clocks change at midnight there
+
+
 def test_pair_decisions_keep_conflicts(spark):
     from tessera.plans.queries import QUERIES
 
