@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Scratch
 
 MARKS = r"^((?:[ \t]*>)+)[ \t]?"
+KINDS = ("line", "sentence")
+SENTENCE = r"(?<=[.!?…؟])\x20"  # between normalised sentences
 BLOCK = 256  # root turns of a conversation that are numbered together
 
 
@@ -21,15 +23,57 @@ def normal(passage: Column) -> Column:
 
 
 def passages(messages: DataFrame) -> DataFrame:
-    """(conv, turn, key, level, first, hash): runs of lines of one quote level without a blank line, hashed as normalised text."""
+    """(conv, turn, key, level, first, hash, bodies): runs of lines of one quote level without a blank line, hashed as normalised text, and their normalised lines."""
     lines = messages.select("_conv", "_turn", "_key", F.posexplode(F.split("_text", "\n")).alias("_at", "_line"))
     lines = lines.withColumn("_level", level(F.col("_line"))).withColumn("_body", normal(F.regexp_replace("_line", MARKS, "")))
     own = Window.partitionBy("_conv", "_turn", "_key").orderBy("_at")
     fresh = (F.col("_level") != F.lag("_level", 1, -1).over(own)) | (F.lag("_body", 1, "").over(own) == "")
     lines = lines.withColumn("_run", F.sum(fresh.cast("int")).over(own)).where("_body <> ''")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_body"))), lambda x: x["_body"]), " ")
-    runs = lines.groupBy("_conv", "_turn", "_key", "_run", "_level").agg(body.alias("_passage"), F.min("_at").alias("_first"))
-    return runs.select("_conv", "_turn", "_key", "_level", "_first", F.sha2("_passage", 256).alias("_hash"))
+    bodies = F.transform(F.array_sort(F.collect_list(F.struct("_at", "_body"))), lambda x: x["_body"])
+    runs = lines.groupBy("_conv", "_turn", "_key", "_run", "_level").agg(bodies.alias("_bodies"), F.min("_at").alias("_first"))
+    return runs.select("_conv", "_turn", "_key", "_level", "_first", F.sha2(F.array_join("_bodies", " "), 256).alias("_hash"), "_bodies")
+
+
+def units(bodies: Column, kind: str, quoted: bool) -> Column:
+    """Hashes of lines or sentences: of a quotation, its only one or each two neighbours; of a message, every one and each two neighbours."""
+    each = bodies if kind == "line" else F.split(F.array_join(bodies, " "), SENTENCE)
+    two = F.transform(F.slice(F.arrays_zip(each.alias("a"), F.slice(each, 2, F.greatest(F.size(each), F.lit(1))).alias("b")), 1, F.greatest(F.size(each) - 1, F.lit(0))), lambda x: F.concat(x["a"], F.lit("\n"), x["b"]))
+    every = F.when(F.size(each) == 1, each).otherwise(two) if quoted else F.concat(each, two)
+    return F.array_distinct(F.transform(every, lambda x: F.sha2(F.concat(F.lit(kind + " "), x), 256)))
+
+
+def by_parts(unfound: DataFrame, told: DataFrame, scratch: Scratch) -> DataFrame:
+    """(conv, turn, key, level, first, part): the latest earlier turn that has all lines of a passage, else all its sentences, each beside the next.
+
+    Each pass looks up, for every unit of a passage, the latest turn up to a
+    bound; the least of these is the next bound, until all units agree, so that
+    no pairs of repeated lines are made.
+    """
+    talks = unfound.select("_conv").distinct()
+    own = F.filter(F.transform(F.filter(F.split("_text", "\n"), lambda x: ~x.rlike(MARKS)), normal), lambda x: x != "")
+    wrote = told.join(talks, "_conv", "left_semi").select("_conv", "_turn", own.alias("_own")).where(F.size("_own") > 0)
+    wrote = wrote.select("_conv", "_turn", F.explode(F.concat(*(units(F.col("_own"), k, False) for k in KINDS))).alias("_unit")).distinct()
+    wrote = scratch.save(wrote.select("_conv", "_unit", F.col("_turn").alias("_below"), F.col("_turn").alias("_source")), "wrote")
+    names = ["_conv", "_turn", "_key", "_level", "_first", "_kind"]
+    asked = None
+    for kind in KINDS:
+        one = unfound.select(*names[:-1], F.lit(kind).alias("_kind"), F.explode(units(F.col("_bodies"), kind, True)).alias("_unit"), F.col("_turn").alias("_below"))
+        asked = one if asked is None else asked.union(one)
+    asked = scratch.save(asked, "asked-0")
+    before = Window.partitionBy("_conv", "_unit").orderBy("_below").rangeBetween(Window.unboundedPreceding, -1)
+    found, turn = None, 0
+    while True:
+        both = asked.unionByName(wrote, allowMissingColumns=True).withColumn("_said", F.max("_source").over(before)).where("_kind is not null")
+        ends = both.groupBy(*names).agg(F.min("_said").alias("_least"), F.max("_said").alias("_most"), (F.count("_said") == F.count("*")).alias("_all")).where("_all")
+        ends = scratch.save(ends, f"ends-{turn}")
+        agreed = ends.where("_least = _most").select(*names, F.col("_least").alias("_part"))
+        found = agreed if found is None else found.union(agreed)
+        more = ends.where("_least < _most")
+        if more.isEmpty():
+            part = F.coalesce(*(F.max(F.when(F.col("_kind") == k, F.col("_part"))) for k in KINDS))
+            return found.groupBy(*names[:-1]).agg(part.alias("_part"))
+        turn += 1
+        asked = scratch.save(asked.drop("_below").join(more.select(*names, (F.col("_least") + 1).alias("_below")), names), f"asked-{turn}")
 
 
 def linked(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -38,7 +82,9 @@ def linked(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn",
     Lines that begin with ">" marks are quotes of that nesting level.  Quoted
     passages, normalised and hashed, are looked up among the passages and whole
     texts that earlier turns of the conversation wrote themselves; the latest
-    such turn is meant.  ``reply_to`` is the latest message quoted at the
+    such turn is meant.  A passage that is not found so is looked up by its
+    lines, then by its sentences: the latest earlier turn that wrote all of
+    them, each beside the next, is meant.  ``reply_to`` is the latest message quoted at the
     outermost level at which any is found, ``thread`` the first message of the
     chain of replies, and ``place`` the message's number, from 0, in its
     conversation by thread and turn, so that replies follow what they answer.
@@ -66,10 +112,15 @@ def linked(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn",
     own_text = normal(F.array_join(F.filter(F.split("_text", "\n"), lambda x: ~x.rlike(MARKS)), " "))
     whole = told.select("_conv", "_turn", own_text.alias("_own")).where("_own <> ''").select("_conv", "_turn", F.sha2("_own", 256).alias("_hash"))
     written = passages(told).where("_level = 0").select("_conv", "_turn", "_hash").union(whole).distinct()
-    both = quotes.select("_conv", "_turn", "_key", "_level", "_first", "_hash", F.lit(None).cast("long").alias("_source"))
+    both = quotes.select("_conv", "_turn", "_key", "_level", "_first", "_hash", "_bodies", F.lit(None).cast("long").alias("_source"))
     both = both.unionByName(written.withColumn("_source", F.col("_turn")), allowMissingColumns=True)
     before = Window.partitionBy("_conv", "_hash").orderBy("_turn").rangeBetween(Window.unboundedPreceding, -1)
     found = both.withColumn("_said", F.max("_source").over(before)).where("_level is not null")
+    found = scratch.save(found, "found")
+    unfound = found.where("_said is null")
+    if not unfound.isEmpty():
+        parts = by_parts(unfound, told, scratch)
+        found = found.join(parts, ["_conv", "_turn", "_key", "_level", "_first"], "left").withColumn("_said", F.coalesce("_said", "_part"))
     links = found.groupBy("_conv", "_turn", "_key").agg(F.count("*").alias("n_quotes"), F.count("_said").alias("n_linked"), F.max_by("_said", F.when(F.col("_said").isNotNull(), F.struct(-F.col("_level"), F.col("_said")))).alias("reply_to"))
     links = scratch.save(links, "links")
     threads = roots(links.where("reply_to is not null").groupBy("_conv", "_turn").agg(F.min("reply_to").alias("_up")), scratch)

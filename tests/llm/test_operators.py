@@ -253,6 +253,17 @@ def test_chat_links_quotes(spark):
     assert chat.linked(made).count() == len(talk)
 
 
+def test_chat_links_quotes_of_lines_and_sentences(spark):
+    talk = [
+        (0, "Alpha one.\nBeta two. Gamma three.\nDelta four.\n\nEpsilon five.\nZeta six."), (1, "Delta four."), (2, "Alpha one.\nOther things"), (3, "> Beta two. Gamma three.\nOne line"), (4, "> gamma three.\nOne sentence"),
+        (5, "> Delta four.\n> Epsilon five.\nTwo paragraphs"), (6, "> Delta four.\nA whole message"), (7, "> Alpha one.\n> Beta two. Gamma three.\nFirst line said again later"),
+        (8, "> Alpha one.\n> Zeta six.\nNever side by side"), (9, "> Beta\nPart of a sentence"), (10, "> Two\n> paragraphs\nWrapped"),
+    ]
+    made = spark.createDataFrame([(1, k, "user", t) for k, t in talk], "conv_id long, turn int, role string, text string")
+    got = {r["turn"]: (r["reply_to"], r["n_linked"]) for r in chat.linked(made).collect()}
+    assert {k: got[k] for k in range(3, 11)} == {3: (0, 1), 4: (0, 1), 5: (0, 1), 6: (1, 1), 7: (0, 1), 8: (None, 0), 9: (None, 0), 10: (5, 1)}
+
+
 def test_quality_counts(docs):
     got = {r["doc_id"]: r for r in quality.judge(docs, max_docs=3).collect()}
     for i, t in rows(docs):
