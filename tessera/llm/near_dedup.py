@@ -75,6 +75,19 @@ def signed(docs: DataFrame, width: int, k: int, id_column: str, text: str) -> Da
     return docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text")).mapInArrow(sign, f"doc {kind}, n_shingles long, node binary, signature binary")
 
 
+def keyed(docs: DataFrame, width: int, text: str) -> DataFrame:
+    """All columns, and ``_node``, which names the set."""
+    at = docs.columns.index(text)
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in slices(batches, text):
+            node = [set_key(shingles(known.of(t.encode().lower().split()), width)) for t in batch.column(at).to_pylist()]
+            yield pa.record_batch([*batch.columns, pa.array(node, pa.binary())], names=[*batch.schema.names, "_node"])
+
+    return docs.mapInArrow(key, docs.withColumn("_node", F.lit(None).cast("binary")).schema)
+
+
 def briefed(nodes: DataFrame, id_column: str, docs: DataFrame) -> DataFrame:
     """``nodes`` with ``brief``: the lowest byte of each coordinate."""
 
@@ -235,6 +248,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     kept only if no document of their component has an id; an empty table gives
     no rows; other columns are not read.
     """
+    return marked(docs, width, percent, k, rounds, id_column, text).select(id_column, "n_shingles", "component_id", "kept")
+
+
+def marked(docs: DataFrame, width: int, percent: int, k: int = 64, rounds: int = 1, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """The columns of ``near_duplicates``, the key of each row's set, and ``part``, the key of its component; null for a text without words."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     t = match_threshold(k, percent / 100)
@@ -286,10 +304,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
         joined = every.join(roots, "node", "left").withColumn("part", F.coalesce("root", "node"))
     least = joined.where("part is not null").groupBy("part").agg(F.min("doc").alias("_least"))
     joined = joined.join(least, "part", "left").withColumn("component_id", F.when(F.col("part").isNull(), F.col("doc")).otherwise(F.col("_least")))
-    return joined.select(F.col("doc").alias(id_column), "n_shingles", "component_id", F.col("doc").eqNullSafe(F.col("component_id")).alias("kept"))
+    return joined.select(F.col("doc").alias(id_column), "n_shingles", "component_id", F.col("doc").eqNullSafe(F.col("component_id")).alias("kept"), "node", "part")
 
 
 def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document, all columns, of each group; of rows that share the kept id, one."""
-    kept = near_duplicates(docs, width, percent, id_column=id_column, text=text).where("kept").select(F.col(id_column).alias("_kept")).distinct()
-    return docs.join(kept, F.col(id_column).eqNullSafe(F.col("_kept")), "left_semi")
+    """One row, all columns, of each group: one with the kept id; every row whose text is null or without words.
+
+    Rows are told by id and by a key of the set of shingles, so one that shares
+    its id with the kept row of another group goes with its own group.
+    """
+    found = marked(docs, width, percent, id_column=id_column, text=text)
+    kept = found.where("kept and part is not null").groupBy("part").agg(F.min(F.struct(id_column, "node")).alias("x"))
+    kept = kept.select(F.col(f"x.{id_column}").alias("_kept"), F.col("x.node").alias("_set"))
+    worded = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = keyed(docs.where(worded), width, text)
+    own = Window.partitionBy(id_column, "_node").orderBy(F.xxhash64(text), *(c for c in docs.columns if c not in (id_column, text) and docs.schema[c].dataType.typeName() != "map"))
+    one = rows.join(kept, F.col(id_column).eqNullSafe(F.col("_kept")) & (F.col("_node") == F.col("_set")), "left_semi")
+    one = one.withColumn("_nth", F.row_number().over(own)).where("_nth = 1")
+    return one.select(*docs.columns).union(docs.where(~worded))

@@ -75,6 +75,14 @@ def test_near_copies_that_no_pivot_links(spark):
     assert got == brute.near(made, 3, 85)
 
 
+def test_one_row_is_kept_of_each_group(spark):
+    a, b, c, d = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "red green blue white black pink", "sun moon star comet planet ring")
+    made = [(1, a), (1, a), (2, a), (3, b), (1, b), (5, c), (5, c + "  "), (None, d), (None, d), (6, c), (None, "no id and quite other words here"), (7, ""), (7, ""), (None, None), (None, None), (8, " \n")]
+    got = near_dedup.without_near_duplicates(spark.createDataFrame(made, "doc_id long, text string").repartition(3)).collect()
+    kept = sorted(((r["doc_id"] or 0, (r["text"] or "").strip()) for r in got))
+    assert kept == sorted([(1, a), (1, b), (5, c), (0, d), (0, "no id and quite other words here"), (7, ""), (7, ""), (0, ""), (0, ""), (8, "")])
+
+
 def test_leaks(docs, spark):
     items = [(0, " ".join(texts()[6].split()[20:70])), (1, "Two words"), (2, ""), (3, None), (4, "not there at all")]
     found = decontaminate.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string"))
