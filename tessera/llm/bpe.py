@@ -25,6 +25,8 @@ import numpy as np
 import regex
 import tiktoken
 
+from tessera.llm.common import held
+
 # Character classes.
 END, LETTER, ONE, R, V, ELL, E, NUMBER, OTHER, QUOTE, SPACE, BLANK = range(12)
 # States.
@@ -332,6 +334,6 @@ class Machine:
         return pieces, counts.tolist()
 
 
-@functools.cache
 def machine(path: str) -> Machine:
-    return Machine(path)
+    """A worker's machine for a tokenizer file, kept until another operator needs the memory."""
+    return held(path, lambda: Machine(path))

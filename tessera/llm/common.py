@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
-import hashlib
-import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,37 +25,45 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only where it is unset (local tests)."""
+    """The shared folder the session names in spark.checkpoint.dir; there is no other choice, as a local one would not be shared."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file:" + tempfile.mkdtemp(prefix="scratch-")
-        spark.sparkContext.setCheckpointDir(root)
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return root.rstrip("/")
 
 
+#: Shuffle files of a finished query go with it, not when the driver next collects its garbage.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive lost executors.
 
-    ``save`` writes a frame and reads it back, ``drop`` deletes a table that no
-    remaining plan reads.
+    ``save`` writes a frame and reads it back, ``drop`` deletes tables that no
+    remaining plan reads.  A table that a returned plan reads stays as long as
+    that plan may run: the driver deletes the folder when it ends.  No table is
+    written in more than ``files`` files, where that is given: small tables in
+    many files cost more than their rows.
     """
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, files: int | None = None):
+        self.spark, self.files = spark, files
         self.root = f"{scratch_root(spark)}/tables-{uuid.uuid4().hex}"
+        _delete_at_exit(spark, self.root)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        before = self.spark.conf.get(CLEAN, None)
+        try:
+            self.spark.conf.set(CLEAN, "true")
+            (df.coalesce(self.files) if self.files else df).write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.unset(CLEAN) if before is None else self.spark.conf.set(CLEAN, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+            _delete(self.spark, f"{self.root}/{name}")
 
     def release(self) -> None:
         """Let Spark delete shuffle files of finished jobs now rather than when the driver next collects garbage."""
@@ -65,11 +72,62 @@ class Scratch:
             self.spark._jvm.System.gc()
 
 
-def partitions_for(df: DataFrame, text: str, bytes_each: int) -> int:
-    """As many partitions as give each about ``bytes_each`` of text: one pass over one column, one number back."""
-    spark = df.sparkSession
-    total = df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bytes_each), 1)
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
+_held: dict = {}
+
+
+def held(key, build: Callable):
+    """What a worker keeps between batches and tasks: one thing at a time, so that a worker's memory does not add up over operators."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = build()
+    return _held[key]
+
+
+def lean(step: Callable, key=None) -> Callable:
+    """A function for ``mapInArrow`` that first forgets what other operators held, and gives freed memory back at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(key)
+        try:
+            yield from step(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def forget_others(key) -> None:
+    if key not in _held:
+        _held.clear()
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on with what its allocators keep."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def text_bytes(df: DataFrame, text: str) -> int:
+    """Bytes of a column: one pass over it, one number back."""
+    return df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+
+
+def files_for(size: int, bytes_each: int = 16 << 20, least: int = 12) -> int:
+    """Files that tables made from so many bytes of text may take."""
+    return max(least, -(-size // bytes_each))
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
@@ -86,21 +144,47 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, chars: int = 4_000_00
             yield batch.slice(at)
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, remembered; forgets everything beyond ``most`` words, so memory is bounded."""
-
-    def __init__(self, most: int = 300_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+class Words:
+    """The words of a batch of texts: 64-bit ``hashes`` of all words in order, ``sizes`` by text, ``begins`` of each.  No word becomes a Python object."""
+
+    def __init__(self, texts: pa.Array, lower: bool = False):
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        found = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+        self.hashes, full = word_hashes(found.flatten())
+        ends = np.concatenate([[0], np.cumsum(full)])
+        offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(found).to_numpy(zero_copy_only=False))])
+        self.sizes = np.diff(ends[offsets])
+        self.begins = np.cumsum(self.sizes) - self.sizes
+
+    def each(self) -> Iterator[np.ndarray]:
+        for a, n in zip(self.begins.tolist(), self.sizes.tolist(), strict=True):
+            yield self.hashes[a : a + n]
+
+    def starts(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(text, place in it) of every window of ``width`` words."""
+        n = np.maximum(self.sizes - width + 1, 0)
+        owner = np.repeat(np.arange(len(n)), n)
+        return owner, np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def word_hashes(found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the strings that are not empty, and which are not: eight bytes a step, mixed with what came before."""
+    data = found.buffers()[2]
+    edge = np.frombuffer(found.buffers()[1], np.int32, len(found) + 1, 4 * found.offset).astype(np.int64)
+    sizes = np.diff(edge)
+    full = sizes > 0
+    at, left = edge[:-1][full], sizes[full]
+    h = mixed(left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    bytes_ = np.concatenate([np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8), np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(bytes_) - 7,), "<u8", bytes_, strides=(1,))
+    keep = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    own = np.arange(len(at))
+    while len(own):
+        h[own] = mixed(h[own] ^ (eight[at[own]] & keep[np.minimum(left[own], 8)]))
+        own = own[left[own] > 8]
+        at[own] += 8
+        left[own] -= 8
+    return h, full
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import Remembered
-from tessera.llm.common import Scratch, slices
+from tessera.llm.common import Scratch, files_for, held, lean, slices, text_bytes
 
 LETTERS = re.compile(r"[^\W\d_]+")
 SHARES = 64  # parts of a language's terms at the last count taken, ranked apart first
@@ -142,12 +142,13 @@ def learn(training: DataFrame, lang: str = "lang", text: str = "text", words_eac
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text", 16_000_000):
-            by: dict[str, Counter] = {}
+        for batch in slices(batches, "_text"):
+            by: dict[str, list[str]] = {}
             for name, t in zip(batch.column("_lang").to_pylist(), batch.column("_text").to_pylist(), strict=True):
-                by.setdefault(name, Counter()).update(words(t))
-            rows = [(w, name, n) for name, c in by.items() for w, n in c.items()]
-            yield pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int64()))], names=["term", "lang", "n"])
+                by.setdefault(name, []).extend(words(t))
+            for name, found in by.items():
+                terms, n = pa.array(found, pa.string()).value_counts().flatten()
+                yield pa.record_batch([terms, pa.array([name] * len(terms), pa.string()), n], names=["term", "lang", "n"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,8 +157,8 @@ def learn(training: DataFrame, lang: str = "lang", text: str = "text", words_eac
                 c = by.setdefault(name, Counter())
                 for n in range(1, LONGEST + 1):
                     c.update(ngrams(w, n))
-            rows = [(g, name, n) for name, c in by.items() for g, n in c.items()]
-            yield pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int64()))], names=["term", "lang", "n"])
+            for name, c in by.items():
+                yield pa.record_batch([pa.array(list(c), pa.string()), pa.array([name] * len(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["term", "lang", "n"])
 
     schema = "term string, lang string, n long"
 
@@ -178,9 +179,9 @@ def learn(training: DataFrame, lang: str = "lang", text: str = "text", words_eac
         return out
 
     read = training.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("_lang"), F.col(text).alias("_text"))
-    scratch = Scratch(training.sparkSession)
-    counted = scratch.save(read.mapInArrow(count, schema).groupBy("term", "lang").agg(F.sum("n").alias("n")), "words")
-    grams = scratch.save(counted.mapInArrow(cut, schema).groupBy("term", "lang").agg(F.sum("n").alias("n")), "grams")
+    scratch = Scratch(training.sparkSession, files_for(text_bytes(training, text)))
+    counted = scratch.save(read.mapInArrow(lean(count), schema).groupBy("term", "lang").agg(F.sum("n").alias("n")), "words")
+    grams = scratch.save(counted.mapInArrow(lean(cut), schema).groupBy("term", "lang").agg(F.sum("n").alias("n")), "grams")
     def norm(df: DataFrame) -> tuple[dict[str, int], int]:
         return {r["lang"]: r["n"] for r in df.groupBy("lang").agg(F.sum("n").alias("n")).collect()}, df.select("term").distinct().count()
 
@@ -204,8 +205,10 @@ def predict(docs: DataFrame, model: Model, columns: list[Column | str], text: st
     counted word and n-gram takes part.
 
     Null texts and texts without a letter are ``und`` with score 0, and so is
-    every text if nothing was learned; repeated rows are predicted each; an
-    empty table gives no rows; columns that are not asked for are not read.
+    every text if nothing was learned; a very long text is scored whole; of
+    languages that tie the first in order is predicted; repeated rows and null
+    ids are predicted each; an empty table gives no rows; columns that are not
+    asked for are not read, and those asked for may have any names.
     """
     spark = docs.sparkSession
     key = uuid.uuid4().hex
@@ -249,22 +252,23 @@ def predict(docs: DataFrame, model: Model, columns: list[Column | str], text: st
     def added(logs: str, times: Column) -> Column:
         return F.array(*(F.sum(F.col(logs)[i] * times) for i in range(wide)))
 
-    read = docs.select(*columns, F.col(text).alias("_text"))
-    names = [f.name for f in read.schema.fields[:-1]]
+    asked = docs.select(*columns).columns
+    read = docs.select(*columns, F.col(text)).toDF(*(f"a{i}" for i in range(len(asked))), "_text")  # whatever they are called
+    names = [f"a{i}" for i in range(len(asked))]
     kept = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields[:-1]] + ["_size long", "_total array<double>"])
-    seen = read.mapInArrow(look, f"{kept}, _terms array<string>, _times array<long>")
+    seen = read.mapInArrow(lean(look, key), f"{kept}, _terms array<string>, _times array<long>")
     if not whole:
-        scratch = Scratch(spark)
+        scratch = Scratch(spark, files_for(text_bytes(docs, text)))
         counted, grams = model.tables
         seen = scratch.save(seen.withColumn("_row", F.monotonically_increasing_id()), "seen")
         rare = seen.select("_row", F.explode(F.arrays_zip("_terms", "_times")).alias("x")).select("_row", F.col("x._terms").alias("term"), F.col("x._times").alias("times"))
-        rated = by_lang(rare.select("term").distinct().join(counted, "term", "left"), "term").mapInArrow(rate, "term string, length int, k long, logs array<double>, lengths array<int>, missing array<string>")
+        rated = by_lang(rare.select("term").distinct().join(counted, "term", "left"), "term").mapInArrow(lean(rate, key), "term string, length int, k long, logs array<double>, lengths array<int>, missing array<string>")
         rated = scratch.save(rated, "rated")
         ready = rated.where((F.size("missing") == 0) & (F.col("k") > 0)).select("term", "k", "logs")
         left = rated.where(F.size("missing") > 0)
         asked = left.select("term", F.explode(F.arrays_zip("lengths", "missing")).alias("x")).select("term", F.col("x.lengths").alias("length"), F.col("x.missing").alias("gram"))
         wanted = grams.withColumnRenamed("term", "gram").join(asked.select("gram").distinct(), "gram", "left_semi")
-        wanted = by_lang(wanted, "gram").mapInArrow(rate_grams, "gram string, logs array<double>")
+        wanted = by_lang(wanted, "gram").mapInArrow(lean(rate_grams, key), "gram string, logs array<double>")
         parts = asked.join(wanted, "gram").select("term", "length", F.lit(1).cast("long").alias("k"), "logs").union(left.where("k > 0").select("term", "length", "k", "logs"))
         parts = parts.groupBy("term", "length").agg(F.sum("k").alias("k"), added("logs", F.lit(1.0)).alias("logs"))
         parts = parts.groupBy("term").agg(F.max_by(F.struct("k", "logs"), "length").alias("x")).select("term", "x.k", "x.logs")
@@ -273,26 +277,25 @@ def predict(docs: DataFrame, model: Model, columns: list[Column | str], text: st
         more = rare.join(rates, "term").groupBy("_row").agg(added("logs", F.col("times")).alias("_more"))
         seen = seen.join(more, "_row", "left").withColumn("_total", F.when(F.col("_more").isNull(), F.col("_total")).otherwise(F.zip_with("_total", "_more", lambda a, b: a + b)))
     if not wide:
-        return seen.select(*names, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return seen.select(*names, F.lit("und"), F.lit(0.0)).toDF(*asked, "lang_pred", "score")
     top = F.array_max("_total")
     odds = F.transform("_total", lambda x: F.exp((x - top) / F.greatest(F.lit(1.0), F.col("_size") / 8)))  # neighbouring words are not independent
     best = F.element_at(F.array(*map(F.lit, model.languages)), F.array_position("_total", top).cast("int"))
     lettered = F.col("_size") > 0
     score = F.when(lettered, 1 / F.aggregate(odds, F.lit(0.0), lambda a, b: a + b)).otherwise(0.0)
-    return seen.select(*names, F.when(lettered, best).otherwise("und").alias("lang_pred"), score.alias("score"))
-
-
-_models: dict[str, Model] = {}
+    return seen.select(*names, F.when(lettered, best).otherwise("und"), score).toDF(*asked, "lang_pred", "score")
 
 
 def _received(key: str, sent) -> Model:
     """The broadcast model, kept by a worker between batches and tasks."""
-    if key not in _models:
-        _models.clear()
-        m = _models[key] = Model.__new__(Model)
+
+    def build() -> Model:
+        m = Model.__new__(Model)
         m.languages, m.words, m.word_logs, m.grams, m.gram_logs, m.word_norm, m.gram_norm = sent.value
         m.ready()
-    return _models[key]
+        return m
+
+    return held(key, build)
 
 
 def held_out(id_column: str = "doc_id") -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import machine
-from tessera.llm.common import slices
+from tessera.llm.common import lean, slices
 
 
 def token_counts(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -41,4 +41,4 @@ def token_counts(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", tex
 
     read = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text"), F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("_bytes"))
     kind = docs.schema[id_column].dataType.simpleString()
-    return read.mapInArrow(count, f"_id {kind}, n_bytes long, n_tokens long").withColumnRenamed("_id", id_column)
+    return read.mapInArrow(lean(count, tokenizer), f"_id {kind}, n_bytes long, n_tokens long").withColumnRenamed("_id", id_column)
