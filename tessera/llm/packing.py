@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import machine
-from tessera.llm.common import Scratch, slices
+from tessera.llm.common import Scratch, files_for, lean, slices, text_bytes
 
 PIECE = "_id {}, piece int, start long, length long, ids_crc32 long"
 
@@ -46,18 +48,26 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, room: int, id_column: s
             yield pa.record_batch([batch.column("_id").take(pa.array(rows, pa.int64())), *(pa.array(x, t) for x, t in zip(rest, (pa.int32(), *[pa.int64()] * 3), strict=True))], names=["_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text")).mapInArrow(cut, PIECE.format(kind))
+    return docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text")).mapInArrow(lean(cut, tokenizer), PIECE.format(kind))
 
 
-def best_pattern(value: np.ndarray, room: int) -> np.ndarray:
-    """Knapsack pricing: how many pieces of each length fit in ``room`` and are worth most together.
+class Solution(NamedTuple):
+    """``plan``: (copies, pieces of each length in one sequence); ``fractional``: size of the linear program's cover; ``bound``: no packing has fewer."""
+
+    plan: list[tuple[int, dict[int, int]]]
+    fractional: float
+    bound: int
+
+
+def knapsack(value: np.ndarray, room: int) -> tuple[float, list[int]]:
+    """Knapsack pricing: what the best pattern is worth, and for each capacity a piece of its best pattern (0: a place stays empty).
 
     Dynamic programming over capacities; ``value[k]`` is what a piece of length
-    k is worth, minus infinity where there is none, and ``value[0]`` is 0: one
-    place stays empty.
+    k is worth, minus infinity where there is none.  With the picks, the best
+    pattern that holds a given piece takes a few steps, so one program prices a
+    pattern for every length.
     """
-    best = np.zeros(room + 1)
-    pick = np.zeros(room + 1, np.int64)
+    best, pick = np.zeros(room + 1), np.zeros(room + 1, np.int64)
     value = np.append(value[1:], 0.0)
     value[room:] = -np.inf
     back = np.zeros(room + 1)  # back[room - c] = best[c]
@@ -69,58 +79,110 @@ def best_pattern(value: np.ndarray, room: int) -> np.ndarray:
         else:
             best[c] = best[c - 1]
         back[room - c] = best[c]
-    pattern = np.zeros(room + 1, np.int64)
-    c = room
+    return float(best[room]), pick.tolist()
+
+
+def pattern_with(length: int, pick: list[int], room: int) -> dict[int, int]:
+    """The best pattern that holds a piece of ``length``, as pieces by length."""
+    out, c = {length: 1}, room - length
     while c > 0:
-        pattern[pick[c]] += 1
-        c -= max(1, int(pick[c]))
-    pattern[0] = 0
-    return pattern
-
-
-def filled(pattern: np.ndarray, rest: np.ndarray, room: int) -> np.ndarray:
-    """Add the longest pieces that still fit."""
-    pattern = pattern.copy()
-    space = room - int((pattern * np.arange(room + 1)).sum())
-    more = np.flatnonzero((rest > pattern)[: space + 1])
-    for k in more[::-1].tolist():
-        if k and (n := min(space // k, int(rest[k] - pattern[k]))) > 0:
-            pattern[k] += n
-            space -= n * k
-    return pattern
-
-
-def solve(counts: dict[int, int], room: int, step: float = 0.1) -> list[tuple[int, dict[int, int]]]:
-    """Sequences for a histogram: a list of (copies, pieces of each length in one sequence).
-
-    The configuration program asks for the fewest patterns that cover the
-    histogram.  Multiplicative weights solve it: each length has a price, a
-    knapsack dynamic program finds the pattern worth most at these prices, and
-    the prices of lengths fall by the part of their pieces that the pattern
-    covers, against the part all lengths have covered by then.  Rounding goes
-    along: of each pattern all whole copies that the remaining pieces allow are
-    taken, so the copies cover the histogram exactly and no piece twice, and
-    each round ends at least one length's use at that number.  The work depends
-    on ``room``, not on how many pieces there are.
+        if k := pick[c]:
+            out[k] = out.get(k, 0) + 1
+        c -= k or 1
+    return out
+
+
+def relax(need: np.ndarray, room: int, rounds: int = 60, rate: float = 2.0) -> tuple[dict[tuple, float], float]:
+    """The configuration linear program by multiplicative weights: (copies of each pattern, lower bound).
+
+    The program asks for the least sum of copies so that every length is covered
+    as often as it occurs.  In each round a knapsack program prices, for every
+    length whose cover is behind the round's share, the best pattern that holds
+    it, and copies of it are added until it is not.  The weight of a length
+    falls exponentially with how far it is covered beyond its share, so that
+    patterns turn to pieces that are short.  Weights divided by the worth of the
+    best pattern are feasible for the dual program, so each round proves a bound.
     """
-    rest = np.zeros(room + 1, np.int64)
-    for k, v in counts.items():
-        rest[k] = v
-    lengths = np.arange(room + 1)
-    need = np.maximum(rest, 1)
-    base = lengths * (1 + lengths / room / 4)  # dual feasible but for a factor; long pieces, hard to place late, first
-    all_places = max(1, int((rest * lengths).sum()))
-    copies: dict[bytes, int] = {}
+    lengths = np.flatnonzero(need)
+    base = np.log(lengths * (1 + lengths / room / 4))  # long pieces, hard to place late, weigh a little more than their places
+    covered, copies = np.zeros(room + 1), {}
+    over, bound = np.zeros(len(lengths)), float(need @ np.arange(room + 1)) / room
+    for turn in range(1, rounds + 1):
+        log = base - rate * over
+        value = np.full(room + 1, -np.inf)
+        value[lengths] = np.exp(log - log.max())
+        worth, pick = knapsack(value, room)
+        bound = max(bound, float(need[lengths] @ value[lengths]) / worth)
+        goal = need * (turn / rounds)
+        for k in lengths[::-1].tolist():
+            if (behind := goal[k] - covered[k]) > 1e-9:
+                pattern = pattern_with(k, pick, room)
+                n = behind / pattern[k]
+                for j, a in pattern.items():
+                    covered[j] += n * a
+                key = tuple(sorted(pattern.items(), reverse=True))
+                copies[key] = copies.get(key, 0.0) + n
+        over = covered[lengths] / goal[lengths] - 1
+    return copies, bound
+
+
+def rounded(need: np.ndarray, room: int, copies: dict[tuple, float], least: int, batch: int = 8) -> dict[tuple, int]:
+    """Whole copies that cover the histogram exactly.
+
+    Of each pattern of the linear program that fills ``least`` places its copies
+    are taken, rounded down, as far as there are pieces; the fullest first.  The
+    pieces left are packed from the longest on: the best pattern that holds it
+    at prices renewed after every ``batch`` lengths, of pieces that are there,
+    filled with the longest that still fit.
+    """
+    rest, lengths = need.copy(), np.arange(room + 1)
+    plan: dict[tuple, int] = {}
+
+    def take(key: tuple, most: int) -> None:
+        n = min(most, *(int(rest[k]) // a for k, a in key))
+        if n > 0:
+            plan[key] = plan.get(key, 0) + n
+            for k, a in key:
+                rest[k] -= n * a
+
+    places = {key: sum(k * a for k, a in key) for key in copies}
+    for key in sorted((k for k in copies if places[k] >= least), key=lambda k: (-places[k], -copies[k], k)):
+        take(key, int(copies[key]))
+    start, all_places = np.maximum(rest, 1), max(1, int(rest @ lengths))
     while rest.any():
-        behind = rest / need - (rest * lengths).sum() / all_places
-        price = base * np.exp(step * behind)
-        pattern = best_pattern(np.where(rest > 0, price, -np.inf), room)
-        pattern = filled(np.minimum(pattern, rest), rest, room)
-        used = pattern > 0
-        n = int(np.min(rest[used] // pattern[used]))
-        copies[pattern.tobytes()] = copies.get(pattern.tobytes(), 0) + n
-        rest -= n * pattern
-    return [(n, {int(k): int(p[k]) for k in np.flatnonzero(p)}) for key, n in copies.items() if (p := np.frombuffer(key, np.int64)) is not None]
+        behind = rest / start - (rest @ lengths) / all_places
+        price = lengths * (1 + lengths / room / 4) * np.exp(0.1 * behind)
+        _, pick = knapsack(np.where(rest > 0, price, -np.inf), room)
+        for k in np.flatnonzero(rest)[: -batch - 1 : -1].tolist():
+            while rest[k]:
+                pattern, space = {}, room
+                for j, a in pattern_with(k, pick, room).items():
+                    if a := min(a, int(rest[j])):
+                        pattern[j] = a
+                        space -= a * j
+                for j in np.flatnonzero(rest[: space + 1])[::-1].tolist():
+                    if j <= space and (a := min(space // j, int(rest[j]) - pattern.get(j, 0))) > 0:
+                        pattern[j] = pattern.get(j, 0) + a
+                        space -= a * j
+                take(tuple(sorted(pattern.items(), reverse=True)), 1 << 62)
+    return plan
+
+
+def solve(counts: dict[int, int], room: int) -> Solution:
+    """Sequences for a histogram of lengths, 1 to ``room``: the configuration program solved, then rounded.
+
+    Rounding is done twice, from all patterns of the program and from its full
+    ones only, and the smaller result taken.  The work depends on ``room``, not
+    on how many pieces there are.
+    """
+    need = np.zeros(room + 1, np.int64)
+    for k, v in counts.items():
+        need[k] = v
+    if not need.any():
+        return Solution([], 0.0, 0)
+    copies, bound = relax(need, room)
+    plan = min((rounded(need, room, copies, least) for least in (room, 0)), key=lambda p: sum(p.values()))
+    return Solution([(n, dict(key)) for key, n in plan.items()], sum(copies.values()), math.ceil(bound - 1e-6))
 
 
 def slots(plan: list[tuple[int, dict[int, int]]], room: int) -> dict[int, np.ndarray]:
@@ -139,26 +201,29 @@ def slots(plan: list[tuple[int, dict[int, int]]], room: int) -> dict[int, np.nda
     return {k: np.array(v, np.int64) for k, v in out.items()}
 
 
-def pack(cut: DataFrame, room: int, salts: int = 256, scratch: Scratch | None = None) -> DataFrame:
+def pack(cut: DataFrame, room: int, rows_each: int = 100_000, files: int | None = None) -> DataFrame:
     """Give every piece (id, piece, length, ...) a sequence of at most ``room`` and its offset there.
 
     The histogram has ``room`` bins at most and is all that the driver sees; the
     plan's slot table is as bounded and travels with the task.  A piece's rank
     among those of its length comes from a row number within (length, salt) and
-    the sizes of the salts before (``room`` x ``salts`` rows), so a length that a
-    third of all pieces share is dealt over ``salts`` tasks.  Repeated rows are
-    ranked apart; null ids are placed like any other; no rows give no rows.
+    the sizes of the salts before; there are as many salts as give a task about
+    ``rows_each`` rows even of a length that all pieces share, and the table of
+    sizes is joined on the keys by which the rows are dealt already.  Repeated
+    rows are ranked apart; null ids are placed like any other; no rows give no
+    rows.
     """
     spark = cut.sparkSession
-    cut = (scratch or Scratch(spark)).save(cut, "pieces")
+    cut = Scratch(spark, files).save(cut, "pieces")
+    histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    salts = -(-max(histogram.values(), default=1) // rows_each)
     salted = cut.withColumn("_salt", F.pmod(F.xxhash64("_id", "piece"), F.lit(salts)).cast("int"))
     sizes = salted.groupBy("length", "_salt").count()
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    places = spark.sparkContext.broadcast(slots(solve(histogram, room), room))
+    places = spark.sparkContext.broadcast(slots(solve(histogram, room).plan, room))
     local = Window.partitionBy("length", "_salt").orderBy("_id", "piece", "start")
-    ranked = salted.withColumn("_rank", F.row_number().over(local) - 1).join(F.broadcast(sizes), ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
+    ranked = salted.withColumn("_rank", F.row_number().over(local) - 1).join(sizes, ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = places.value
@@ -176,9 +241,15 @@ def pack(cut: DataFrame, room: int, salts: int = 256, scratch: Scratch | None =
 
     names = cut.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
-    return ranked.select(*names, "_rank").mapInArrow(place, schema)
+    return ranked.select(*names, "_rank").mapInArrow(lean(place), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, room: int = 1024, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Documents to packed pieces: (id, piece, start, length, ids_crc32, sequence_id, offset)."""
-    return pack(pieces(docs, tokenizer, end_id, room, id_column, text), room).withColumnRenamed("_id", id_column)
+    """Documents to packed pieces: (id, piece, start, length, ids_crc32, sequence_id, offset).
+
+    Null and empty texts are one piece that holds ``end_id``; a text of any
+    length is tokenized whole and cut into pieces of ``room``; of equal lengths
+    any order will do, and repeated rows and null ids are packed each; other
+    columns are not read; an empty table gives no rows.
+    """
+    return pack(pieces(docs, tokenizer, end_id, room, id_column, text), room, files=files_for(text_bytes(docs, text))).withColumnRenamed("_id", id_column)
