@@ -252,9 +252,9 @@ def predict(docs: DataFrame, model: Model, columns: list[Column | str], text: st
     def added(logs: str, times: Column) -> Column:
         return F.array(*(F.sum(F.col(logs)[i] * times) for i in range(wide)))
 
-    asked = docs.select(*columns).columns
-    read = docs.select(*columns, F.col(text)).toDF(*(f"a{i}" for i in range(len(asked))), "_text")  # whatever they are called
-    names = [f"a{i}" for i in range(len(asked))]
+    given = docs.select(*columns).columns
+    read = docs.select(*columns, F.col(text)).toDF(*(f"a{i}" for i in range(len(given))), "_text")  # whatever they are called
+    names = [f"a{i}" for i in range(len(given))]
     kept = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields[:-1]] + ["_size long", "_total array<double>"])
     seen = read.mapInArrow(lean(look, key), f"{kept}, _terms array<string>, _times array<long>")
     if not whole:
@@ -277,13 +277,13 @@ def predict(docs: DataFrame, model: Model, columns: list[Column | str], text: st
         more = rare.join(rates, "term").groupBy("_row").agg(added("logs", F.col("times")).alias("_more"))
         seen = seen.join(more, "_row", "left").withColumn("_total", F.when(F.col("_more").isNull(), F.col("_total")).otherwise(F.zip_with("_total", "_more", lambda a, b: a + b)))
     if not wide:
-        return seen.select(*names, F.lit("und"), F.lit(0.0)).toDF(*asked, "lang_pred", "score")
+        return seen.select(*names, F.lit("und"), F.lit(0.0)).toDF(*given, "lang_pred", "score")
     top = F.array_max("_total")
     odds = F.transform("_total", lambda x: F.exp((x - top) / F.greatest(F.lit(1.0), F.col("_size") / 8)))  # neighbouring words are not independent
     best = F.element_at(F.array(*map(F.lit, model.languages)), F.array_position("_total", top).cast("int"))
     lettered = F.col("_size") > 0
     score = F.when(lettered, 1 / F.aggregate(odds, F.lit(0.0), lambda a, b: a + b)).otherwise(0.0)
-    return seen.select(*names, F.when(lettered, best).otherwise("und"), score).toDF(*asked, "lang_pred", "score")
+    return seen.select(*names, F.when(lettered, best).otherwise("und"), score).toDF(*given, "lang_pred", "score")
 
 
 def _received(key: str, sent) -> Model:
