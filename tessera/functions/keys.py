@@ -65,12 +65,18 @@ def valid_url(url: Column) -> Column:
 
 
 def registration_key(url: Column) -> Column:
-    """The address without tracking parameters; null for home pages and for what may not be linked."""
-    name = lambda p: F.lower(F.split_part(p, F.lit("="), F.lit(1)))
-    kept = F.filter(parameters(url), lambda p: ~name(p).isin(*REGISTRATION_TRACKING))
-    fragment = F.try_parse_url(url, F.lit("REF"))
-    whole = F.concat(_queried(F.concat(F.lower(F.try_parse_url(url, F.lit("HOST"))), path(url)), kept), F.coalesce(F.concat(F.lit("#"), fragment), F.lit("")))
-    return F.when(valid_url(url) & ((path(url) != "") | (F.size(kept) > 0)), whole)
+    """The address without tracking parameters; null for home pages and for what may not be linked.
+
+    Scheme, port, trailing slash, fragment and the order of parameters all tell
+    addresses apart; a home page stays one whatever its parameters.
+    """
+    part = lambda k: F.regexp_extract(url, r"^([A-Za-z]+)://([^/?#\s]+)([^?#]*)(?:\?([^#]*))?(#.*)?$", k)
+    name = lambda p: F.lower(F.coalesce(F.try_url_decode(F.split_part(p, F.lit("="), F.lit(1))), F.lit("")))
+    kept = F.filter(F.split(part(4), "&"), lambda p: ~name(p).isin(*REGISTRATION_TRACKING))
+    query, fragment = F.array_join(kept, "&"), F.when(F.char_length(part(5)) > 1, part(5)).otherwise("")
+    whole = F.concat(F.lower(part(1)), F.lit("://"), F.lower(part(2)), part(3), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)), fragment)
+    good = url.rlike(r"^(?i:https?)://[^\s/@?#:]+(:[0-9]{0,5})?([/?#]\S*)?$")
+    return F.when(good & (F.regexp_replace(part(3), "/", "") != ""), whole)
 
 
 def canonical_url(url: Column, drop: tuple[str, ...] = ()) -> Column:

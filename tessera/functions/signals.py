@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions import text as texts
+from tessera.functions.temporal import bound
 
 # English vocabularies and the weights of the score.
 STRONG = ("workshop", "seminar", "concert", "festival", "webinar")
@@ -25,7 +26,10 @@ def found(tokens: Column, vocabulary: tuple[str, ...]) -> Column:
 
 def signals(text: Column) -> Column:
     """Counts of distinct terms by kind, and whether there is a date, a clock, a price."""
-    tokens = texts.tokens(text)
+    return bound(texts.tokens(text), lambda tokens: _signals(text, tokens))
+
+
+def _signals(text: Column, tokens: Column) -> Column:
     size = lambda v: F.size(found(tokens, v))
     return F.struct(
         size(STRONG).alias("strong"), size(WEAK).alias("weak"), size(ATTENDANCE).alias("attendance"), size(REGISTRATION).alias("registration"),

@@ -10,11 +10,15 @@ from pyspark.sql.types import StringType
 # Digits and letters folded one for one, and separators that no reader sees.
 DIGITS_FROM = "۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩"
 DIGITS_TO = "01234567890123456789"
-LETTERS_FROM = "يىكةۀأإٱ"
-LETTERS_TO = "ییکههااا"
-HIDDEN = "‌​‍‎‏ ‪‫‬⁦⁩"
+LETTERS_FROM = "يىكةأإآٱ"
+LETTERS_TO = "ییکهاااا"
+FOLDED_FROM, FOLDED_TO = "يىك", "ییک"
+HIDDEN = "\u200c\u200b\u200d\u200e\u200f\ufeff\u00a0\u2066\u2067\u2068\u2069"
 PERSIAN_DIGITS = "۰۱۲۳۴۵۶۷۸۹"
-GENERIC_TITLE = ("the", "a", "an", "of", "and", "in", "at", "for", "event", "workshop", "course", "class", "session")
+GENERIC_TITLE = (
+    "event", "events", "workshop", "concert", "exhibition", "festival", "the", "a", "an", "of", "and", "in", "at", "for",
+    "نمایشگاه", "رویداد", "ایونت", "کارگاه", "کنسرت", "جشنواره", "و", "در", "از", "به", "برای",
+)
 
 
 def normalize(text: Column) -> Column:
@@ -24,7 +28,7 @@ def normalize(text: Column) -> Column:
 
 def fold(text: Column) -> Column:
     """As ``normalize``, with the zero-width non-joiner a space, other format characters dropped and blanks collapsed."""
-    plain = F.translate(text, DIGITS_FROM + LETTERS_FROM + "‌", DIGITS_TO + LETTERS_TO + " ")
+    plain = F.translate(text, DIGITS_FROM + FOLDED_FROM + "\u200c", DIGITS_TO + FOLDED_TO + " ")
     return F.trim(F.regexp_replace(F.lower(F.regexp_replace(plain, r"\p{Cf}", "")), r"\s+", " "))
 
 
@@ -44,19 +48,32 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(normalize(text), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
-def title_tokens(text: Column) -> Column:
-    """Distinct tokens that tell titles apart."""
+def is_number(token: Column) -> Column:
+    return token.rlike(r"^\p{N}+$")
+
+
+def distinctive(key: Column) -> Column:
+    """Distinct tokens, of a ``text_key``, that tell titles apart."""
     generic = F.array(*map(F.lit, GENERIC_TITLE))
-    return F.array_sort(F.array_except(F.filter(F.split(text_key(text, True), " "), lambda t: t != ""), generic))
+    return F.array_sort(F.array_except(F.filter(F.split(key, " "), lambda t: t != ""), generic))
+
+
+def title_tokens(text: Column) -> Column:
+    return distinctive(text_key(text, True))
+
 
+def title_relation(key_a: Column, key_b: Column, a: Column, b: Column) -> Column:
+    """weak, exact, different, strong or partial, of two titles' keys and distinctive tokens.
 
-def title_relation(a: Column, b: Column) -> Column:
-    """weak, exact, different, strong or partial, of two arrays of distinctive tokens."""
-    numbers = lambda x: F.array_sort(F.filter(x, lambda t: t.rlike("[0-9]")))
+    A title of numbers and generic words alone is weak.  Numbers must agree;
+    then two shared tokens and 0.85 of all make a strong relation.
+    """
+    numbers = lambda x: F.array_sort(F.filter(x, is_number))
+    named = lambda x: F.exists(x, lambda t: ~is_number(t))
     shared, every = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
     return (
-        F.when((F.size(a) == 0) | (F.size(b) == 0), "weak")
-        .when(F.array_sort(a) == F.array_sort(b), "exact")
+        F.when(~named(a) | ~named(b), "weak")
+        .when(F.coalesce(key_a == key_b, F.lit(False)), "exact")
         .when(numbers(a) != numbers(b), "different")
         .when((shared >= 2) & (100 * shared >= 85 * every), "strong")
         .when(shared > 0, "partial")

@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
+import functools
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import text
+from tessera.functions import keys, text
 from tessera.operators.storage import settled
 
-# Fields of a context whose disagreement speaks against a match.
-CONFLICTS = ("city", "venue_name", "address", "start_date", "start_time")
+# Places and clocks that are compared, kinds of schedules that name no single day, and fields whose diagnostics leave a date reliable.
+PLACES = ("city", "venue_name", "address")
+CLOCKS = ("start_time", "end_time")
+UNDECIDED = ("discrete", "recurring", "conflict")
+PRECISE = ("exact", "day")
+PRICE_FIELDS = ("price_text", "price_amount", "currency")
+
+#: What ``prepared`` expects of a context beside candidate_id; a column that is missing counts as null.
+CONTEXT = {
+    "is_event": "boolean", "title": "string", "city": "string", "venue_name": "string", "address": "string", "registration_url": "string", "start_date": "date", "end_date": "date",
+    "start_time": "string", "end_time": "string", "timezone": "string", "schedule_kind": "string", "date_precision": "string", "diagnostics": "array<struct<code:string,field:string>>",
+    "occurrences": "array<struct<start_date:date,end_date:date,start_time:string,end_time:string,timezone:string,date_precision:string,diagnostics:array<string>>>",
+    "publisher_key": "string", "source_id": "string", "source_url": "string", "identity_slot": "string", "content_url": "string",
+}
 
 
 def differ(a: Column, b: Column) -> Column:
@@ -22,73 +37,163 @@ def same(a: Column, b: Column) -> Column:
 
 
 def reliable(c: Column) -> Column:
-    """A dated single schedule without doubts may be compared."""
-    return c["start_date"].isNotNull() & c["date_precision"].isin("date", "datetime")
+    """Names a context one day without doubt?  No range, no several days, and no diagnostic but on the price."""
+    doubts = F.exists(F.coalesce(c["diagnostics"], F.array()), lambda d: ~d["field"].isin(*PRICE_FIELDS))
+    return c["start_date"].isNotNull() & c["end_date"].isNull() & c["date_precision"].isin(*PRECISE) & ~F.coalesce(c["schedule_kind"].isin(*UNDECIDED), F.lit(False)) & ~doubts
+
 
+def prepared(contexts: DataFrame) -> DataFrame:
+    """Contexts with all columns of ``CONTEXT`` and what pairs are compared by, computed once for each: keys, tokens, dated occurrences."""
+    missing = {k: F.lit(None).cast(kind) for k, kind in CONTEXT.items() if k not in contexts.columns}
+    made = contexts.withColumns(missing) if missing else contexts
+    made = made.withColumn("is_event", F.coalesce("is_event", F.lit(True)))
+    made = made.withColumns({f"{f}_key": text.text_key(F.nullif(F.col(f), F.lit(""))) for f in ("title", *PLACES)})
+    made = made.withColumn("tokens", text.distinctive(F.coalesce("title_key", F.lit("")))).withColumn("weak", ~F.exists("tokens", lambda t: ~text.is_number(t)))
+    made = made.withColumn("place_words", F.array_distinct(F.filter(F.split(F.coalesce("address_key", F.lit("")), " "), lambda w: w != "")))
+    made = made.withColumn("registration", keys.registration_key(F.col("registration_url"))).withColumn("home", keys.registration_key(F.col("source_url")))
+    dated = F.filter(F.coalesce("occurrences", F.array()), lambda o: o["date_precision"].isin(*PRECISE) & (F.size(F.coalesce(o["diagnostics"], F.array())) == 0))
+    part = lambda x: F.coalesce(x.cast("string"), F.lit("-"))
+    made = made.withColumn("sittings", F.array_sort(F.array_distinct(F.transform(dated, lambda o: F.concat_ws("|", *(part(o[c]) for c in ("start_date", "end_date", "start_time", "end_time", "timezone")))))))
+    made = made.withColumn("days", F.array_distinct(F.transform(dated, lambda o: o["start_date"])))
+    whole = F.array(F.struct(F.col("start_date").alias("d"), F.coalesce("end_date", "start_date").alias("e"), F.col("start_time").alias("s"), F.col("end_time").alias("t"), F.col("timezone").alias("z")))
+    each = F.transform("occurrences", lambda o: F.struct(o["start_date"].alias("d"), F.coalesce(o["end_date"], o["start_date"]).alias("e"), o["start_time"].alias("s"), o["end_time"].alias("t"), o["timezone"].alias("z")))
+    made = made.withColumn("hours", F.filter(F.when(F.size(F.coalesce("occurrences", F.array())) > 0, each).otherwise(whole), lambda o: o["d"].isNotNull() & o["s"].isNotNull() & o["t"].isNotNull()))
+    return made.withColumn("reliable", F.coalesce(reliable(F.struct(*CONTEXT)), F.lit(False)))
 
-def match_pair(a: Column, b: Column) -> tuple[Column, Column]:
-    """(kind, reasons) of two contexts; symmetric, without scores or transitivity.
 
-    A conflict makes a pair distinct, but for a venue or address wording beside
-    two shared title tokens, four shared address tokens and the same clock: that
-    is possible.  Same needs a strong title and one page, or a reliable date with
-    the publisher, or with start time and place or registration.
+def matched(pairs: DataFrame) -> DataFrame:
+    """(a, b, kind, reasons) of pairs of prepared contexts; symmetric, without scores or transitivity.
+
+    Any conflict makes a pair distinct, but for differently written places beside
+    a shared name, shared address words and overlapping days with the same hours:
+    that is possible.  Same needs a strong title and one page of a publisher, or
+    a reliable date in one zone with the publisher, or with the start time and a
+    place or registration.  Dates and clocks that are not reliable are uncertain
+    and conflict with nothing.
     """
-    ta, tb = text.title_tokens(F.coalesce(a["title"], F.lit(""))), text.title_tokens(F.coalesce(b["title"], F.lit("")))
-    relation = text.title_relation(ta, tb)
-    strong = relation.isin("strong", "exact")
-    conflict = {c: differ(a[c], b[c]) for c in CONFLICTS}
-    conflict["title"] = relation == "different"
-    conflict["registration_url"] = F.lit(False)
-    words = lambda c: F.split(text.text_key(F.coalesce(c["address"], F.lit("")), True), " ")
-    variant = (F.size(F.array_intersect(ta, tb)) >= 2) & (F.size(F.array_intersect(words(a), words(b))) >= 4) & same(a["start_time"], b["start_time"]) & same(a["start_date"], b["start_date"])
-    hard = F.lit(False)
-    for c in ("city", "start_date", "start_time", "title"):
-        hard = hard | conflict[c]
-    soft = conflict["venue_name"] | conflict["address"]
-    date = same(a["start_date"], b["start_date"]) & reliable(a) & reliable(b) & same(a["timezone"], b["timezone"])
-    place = same(a["venue_name"], b["venue_name"]) | same(a["address"], b["address"])
-    registration = same(a["registration_url"], b["registration_url"])
-    publisher, page = same(a["publisher_key"], b["publisher_key"]), same(a["source_url"], b["source_url"]) & differ(a["source_id"], b["source_id"])
-    sure = strong & (page | (date & (publisher | (same(a["start_time"], b["start_time"]) & (place | registration)))))
-    maybe = strong | registration | (same(a["start_date"], b["start_date"]) & (place | same(a["city"], b["city"])))
-    kind = F.when(hard | (soft & ~variant), "distinct").when(soft, "possible").when(sure, "same_event").when(maybe, "possible").otherwise("insufficient")
-    named = {f"{k}_conflict": v for k, v in conflict.items()} | {"title_" + r: relation == r for r in ("exact", "strong", "partial", "weak")}
-    named |= {"same_date": date, "same_publisher": publisher, "same_page": page, "same_place": place, "same_registration": registration}
+    a, b, c = F.col("a"), F.col("b"), F.col
+    no = F.lit(False)
+    key = lambda x: F.when(~F.coalesce(x["registration"].isin(a["home"], b["home"]), no), x["registration"])
+    primary = F.coalesce((a["identity_slot"] == "primary") & (b["identity_slot"] == "primary"), no)
+    meet = lambda x, y: x["z"].eqNullSafe(y["z"]) & (x["s"] == y["s"]) & (x["t"] == y["t"]) & (F.greatest(x["d"], y["d"]) <= F.least(x["e"], y["e"]))
+    facts = pairs.withColumns({
+        "title": text.title_relation(a["title_key"], b["title_key"], a["tokens"], b["tokens"]),
+        "sure": a["reliable"] & b["reliable"],
+        "zone": same(a["timezone"], b["timezone"]),
+        "several": (F.size(a["sittings"]) > 0) & (F.size(b["sittings"]) > 0) & (a["sittings"] != b["sittings"]),
+        "day": same(a["start_date"], b["start_date"]),
+        "otherday": differ(a["start_date"], b["start_date"]),
+        "u": key(a), "v": key(b),
+        "publisher": a["publisher_key"].eqNullSafe(b["publisher_key"]),
+        "hours": F.exists(a["hours"], lambda x: F.exists(b["hours"], lambda y: meet(x, y))),
+        "events": a["is_event"] & b["is_event"],
+    })
+    flags = {
+        "conflicting_occurrence_dates": c("several") & ~F.arrays_overlap(a["days"], b["days"]),
+        "conflicting_exact_date": c("otherday") & c("sure"),
+        "distinctive_title_conflict": c("title") == "different",
+        "timezone_conflict": differ(a["timezone"], b["timezone"]),
+        "different_occurrence_sets": c("several"),
+        "exact_date_match": c("day") & c("sure"),
+        "uncertain_date_match": c("day") & ~c("sure"),
+        "uncertain_date_difference": c("otherday") & ~c("sure"),
+        "distinctive_title_exact": c("title") == "exact",
+        "distinctive_title_strong": c("title") == "strong",
+        "title_similarity_only": c("title") == "partial",
+        "registration_url_match": same(c("u"), c("v")),
+        "different_registration_urls": differ(c("u"), c("v")),
+        "same_publisher": c("publisher"),
+        "same_source_page": c("publisher") & differ(a["source_id"], b["source_id"]) & primary & same(a["content_url"], b["content_url"]),
+    }
+    for f in PLACES:
+        flags |= {f"{f}_conflict": differ(a[f"{f}_key"], b[f"{f}_key"]), f"{f}_match": same(a[f"{f}_key"], b[f"{f}_key"])}
+    for f in CLOCKS:
+        flags |= {f"conflicting_{f}": differ(a[f], b[f]) & c("sure") & c("zone"), f"uncertain_{f}_difference": differ(a[f], b[f]) & ~(c("sure") & c("zone")), f"{f}_match": same(a[f], b[f]) & c("zone")}
+    hard = ("conflicting_occurrence_dates", "conflicting_exact_date", "distinctive_title_conflict", "city_conflict", "timezone_conflict", "conflicting_start_time", "conflicting_end_time")
+    words = (F.size(F.array_intersect(a["tokens"], b["tokens"])) >= 2) & (F.size(F.array_intersect(a["place_words"], b["place_words"])) >= 4)
+    told = facts.select("a", "b", "day", "zone", "hours", "events", words.alias("words"), F.struct(*(v.alias(k) for k, v in flags.items())).alias("f"))
+    f = lambda k: c(f"f.{k}")
+    strong, place, soft = f("distinctive_title_exact") | f("distinctive_title_strong"), f("venue_name_match") | f("address_match"), f("venue_name_conflict") | f("address_conflict")
+    certain = strong & ~f("different_occurrence_sets") & (f("same_source_page") | (f("exact_date_match") & c("zone") & (c("f.same_publisher") | (f("start_time_match") & (place | f("registration_url_match"))))))
+    judged = told.withColumns({
+        "hard": functools.reduce(Column.__or__, map(f, hard)), "soft": soft, "variant": soft & c("words") & c("hours"),
+        "certain": certain, "maybe": strong | f("registration_url_match") | (c("day") & (place | f("city_match"))),
+    })
+    kind = (
+        F.when(~c("events"), "insufficient").when(~c("hard") & c("variant"), "possible").when(c("hard") | c("soft"), "distinct")
+        .when(c("certain"), "same_event").when(c("maybe"), "possible").otherwise("insufficient")
+    )
+    named = {k: f(k) for k in flags} | {"overlapping_schedule_address_variant": ~c("hard") & c("variant"), "insufficient_occurrence_evidence": ~c("hard") & ~c("soft") & ~c("certain")}
     reasons = F.array_sort(F.array_compact(F.array(*(F.when(v, F.lit(k)) for k, v in named.items()))))
-    return kind, reasons
-
+    return judged.select("a", "b", kind.alias("kind"), F.when(c("events"), reasons).otherwise(F.array(F.lit("not_two_events"))).alias("reasons"))
 
-def blocked_pairs(contexts: DataFrame, percent: int = 85) -> DataFrame:
-    """(a, b) structs of contexts that can be same or possible, each pair once, the lesser candidate_id first.
 
-    Strong titles share one of the rarest n - ceil(0.85 n) + 1 tokens of either
-    side, so common tokens make no blocks of their own; the other ways to a
-    match share a page, a registration key, a date and place, or a date, clock
-    and token.  Pairs outside the blocks are distinct or insufficient.
-    """
-    c = F.struct(*contexts.columns)
-    words = contexts.select("candidate_id", "start_date", "start_time", text.title_tokens(F.coalesce("title", F.lit(""))).alias("w"))
-    words = words.select("candidate_id", "start_date", "start_time", F.size("w").alias("n"), F.explode("w").alias("x"))
+def rare_tokens(contexts: DataFrame, percent: int = 85) -> DataFrame:
+    """(candidate_id, x): of each title the n - ceil(0.85 n) + 1 rarest tokens; two strongly related titles share one."""
+    words = contexts.select("candidate_id", F.size("tokens").alias("n"), F.explode("tokens").alias("x"))
     often = words.groupBy("x").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("candidate_id").orderBy("df", "x"))
-    rare = words.join(often, "x").withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    title = rare.select("candidate_id", F.concat(F.lit("t|"), "x").alias("k"))
-    clock = words.where("start_date is not null and start_time is not null").select("candidate_id", F.concat_ws("|", F.lit("c"), "start_date", "start_time", "x").alias("k"))
-    places = F.array_compact(F.array(*(F.when(F.col(x).isNotNull() & F.col("start_date").isNotNull(), F.concat_ws("|", F.lit(x), "start_date", x)) for x in ("city", "venue_name", "address"))))
-    direct = F.array_compact(F.array(*(F.when(F.col(x).isNotNull(), F.concat_ws("|", F.lit(x), x)) for x in ("registration_url", "source_url"))))
-    keyed = title.union(clock).union(contexts.select("candidate_id", F.explode(F.concat(places, direct)).alias("k")))
-    other = keyed.select(F.col("candidate_id").alias("other"), "k")
-    pairs = keyed.join(other, "k").where("candidate_id < other").select("candidate_id", "other").distinct()
+    return words.join(often, "x").withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("candidate_id", "x")
+
+
+def met(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
+    """(candidate_id, other) of rows (candidate_id, k) that share a key, the lesser first; of one table, or across two."""
+    other = (left if right is None else right).select(F.col("candidate_id").alias("other"), "k")
+    pairs = left.join(other, "k").where("candidate_id < other" if right is None else "candidate_id <> other")
+    return pairs.select(F.least("candidate_id", "other").alias("candidate_id"), F.greatest("candidate_id", "other").alias("other"))
+
+
+def joined(pairs: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Pairs of ids, each once, to pairs of contexts: (a, b)."""
+    c = F.struct("candidate_id", *contexts.drop("candidate_id").columns)
     left = contexts.select("candidate_id", c.alias("a"))
     right = contexts.select(F.col("candidate_id").alias("other"), c.alias("b"))
-    return pairs.join(left, "candidate_id").join(right, "other").select("a", "b")
+    return pairs.distinct().join(left, "candidate_id").join(right, "other").select("a", "b")
+
+
+def sure_pairs(contexts: DataFrame) -> DataFrame:
+    """(a, b) structs of prepared contexts that can be the same event.
+
+    They share a rare title token beside a page, or beside a reliable date and
+    the publisher or the start time; so a title that many announcements share
+    makes no block of its own.
+    """
+    own = rare_tokens(contexts.where("is_event")).join(contexts, "candidate_id")
+    dated = F.when(F.col("reliable"), F.concat_ws("|", "x", "start_date"))
+    keys_ = F.array_compact(F.array(F.when(F.col("publisher_key").isNotNull(), F.concat(dated, F.lit("|p|"), "publisher_key")), F.concat(dated, F.lit("|c|"), "start_time"), F.concat("x", F.lit("|u|"), "content_url"), F.when(F.col("publisher_key").isNull(), F.concat(dated, F.lit("|n")))))
+    return joined(met(own.select("candidate_id", F.explode(keys_).alias("k")).distinct()), contexts)
+
+
+def blocked_pairs(contexts: DataFrame) -> DataFrame:
+    """(a, b) structs of prepared contexts that can be same or possible, each pair once, the lesser candidate_id first.
+
+    Strong titles share a rare token; two reliable dates must agree as well, so
+    those meet by token and date.  Titles that share nothing are a conflict, so
+    all other blocks hold a title token beside what two contexts share: day and
+    place, registration, or hours and an address word; titles too weak to differ
+    are met apart.  Pairs outside the blocks are distinct or insufficient, and a
+    block makes few pairs that are not returned as possible.
+    """
+    own = contexts.where("is_event")
+    rare = rare_tokens(own).join(own.select("candidate_id", "reliable", "start_date"), "candidate_id")
+    firm = rare.where("reliable").select("candidate_id", F.concat_ws("|", F.lit("t"), "x", "start_date").alias("k"))
+    loose = rare.where("not reliable").select("candidate_id", F.concat_ws("|", F.lit("t"), "x").alias("k"))
+    every = rare.where("reliable").select("candidate_id", F.concat_ws("|", F.lit("t"), "x").alias("k"))
+    places = F.array_compact(F.array(*(F.when(F.col(f"{f}_key").isNotNull() & F.col("start_date").isNotNull(), F.concat_ws("|", F.lit(f), "start_date", f"{f}_key")) for f in PLACES), F.when(F.col("registration").isNotNull(), F.concat_ws("|", F.lit("r"), "registration"))))
+    at = own.select("candidate_id", "tokens", "weak", F.explode(places).alias("p"))
+    shared = at.where("not weak").select("candidate_id", F.explode(F.transform("tokens", lambda x: F.concat_ws("|", "p", x))).alias("k"))
+    clock = own.where((F.size("tokens") >= 2) & (F.size("place_words") >= 4)).select("candidate_id", "tokens", "place_words", F.explode("hours").alias("h"))
+    clock = clock.select("candidate_id", F.explode("tokens").alias("x"), "place_words", F.concat_ws("|", F.lit("h"), "h.s", "h.t").alias("h")).select("candidate_id", F.explode(F.transform("place_words", lambda w: F.concat_ws("|", "h", "x", w))).alias("k"))
+    faint = at.where("weak").select("candidate_id", F.col("p").alias("k"))
+    pairs = met(firm.union(loose).union(shared).union(clock).distinct()).union(met(loose, every)).union(met(faint, at.select("candidate_id", F.col("p").alias("k"))))
+    return joined(pairs, contexts)
 
 
-def decisions(contexts: DataFrame) -> DataFrame:
-    """(candidate_id_a, candidate_id_b, kind, reasons) of all blocked pairs."""
-    kind, reasons = match_pair(F.col("a"), F.col("b"))
-    return blocked_pairs(contexts).select(F.col("a.candidate_id").alias("candidate_id_a"), F.col("b.candidate_id").alias("candidate_id_b"), kind.alias("kind"), reasons.alias("reasons"))
+def decisions(contexts: DataFrame, sure: bool = False) -> DataFrame:
+    """(candidate_id_a, candidate_id_b, kind, reasons) of all blocked pairs, or of those alone that can be the same event; contexts need not be prepared."""
+    made = contexts if "sittings" in contexts.columns else prepared(contexts)
+    pairs = sure_pairs(made) if sure else blocked_pairs(made)
+    return matched(pairs).select(F.col("a.candidate_id").alias("candidate_id_a"), F.col("b.candidate_id").alias("candidate_id_b"), "kind", "reasons")
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -110,21 +215,30 @@ def complete_link(contexts: DataFrame, decided: DataFrame) -> DataFrame:
 
     Only components of same-event edges meet in a task; across them no edge is
     the same event, so the order within a component gives the order overall.
+    The work there is in proportion to the edges.
     """
     edges = decided.where("kind = 'same_event'").select("candidate_id_a", "candidate_id_b")
     roots = components(edges, "candidate_id_a", "candidate_id_b")
     own = edges.join(roots, edges["candidate_id_a"] == roots["id"]).select("root", F.col("candidate_id_a").alias("a"), F.col("candidate_id_b").alias("b"))
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
-        known = set(zip(part["a"], part["b"], strict=True))
-        groups: list[list[str]] = []
-        for x in sorted(set(part["a"]) | set(part["b"])):
-            home = next((g for g in groups if all((y, x) in known for y in g)), None)
-            if home is None:
-                groups.append([x])
-            else:
-                home.append(x)
-        return pd.DataFrame([(x, g[0]) for g in groups for x in g], columns=["candidate_id", "group_id"])
+        earlier: dict[str, list[str]] = {}
+        for x, y in zip(part["a"], part["b"], strict=True):
+            earlier.setdefault(x, [])
+            earlier.setdefault(y, []).append(x)
+        home: dict[str, int] = {}
+        size: list[int] = []
+        for x in sorted(earlier):
+            seen = Counter(home[y] for y in earlier[x])  # groups by how many members are the same event as x
+            at = min((g for g, n in seen.items() if n == size[g]), default=len(size))
+            if at == len(size):
+                size.append(0)
+            size[at] += 1
+            home[x] = at
+        first: dict[int, str] = {}
+        for x, g in home.items():
+            first.setdefault(g, x)
+        return pd.DataFrame([(x, first[g]) for x, g in home.items()], columns=["candidate_id", "group_id"])
 
     grouped = own.groupBy("root").applyInPandas(fold, "candidate_id string, group_id string")
     return contexts.select("candidate_id").join(grouped, "candidate_id", "left").select("candidate_id", F.coalesce("group_id", "candidate_id").alias("group_id"))

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from tessera.functions import keys, signals, temporal, text
+from tessera.functions.temporal import bound
 from tessera.operators import entities, relational, schedules
+from tessera.operators.storage import settled
 from tessera.plans.registry import query
 from tessera.streaming import logs
 
 REFERENCE = "1998-06-15"
+NOW = datetime.datetime(1998, 6, 15, 8, 0, tzinfo=datetime.UTC)
 
 #: One announcement for each order and part, with every branch of the rules.
 SQL = """a as (select o_orderkey, l_partkey, o_custkey, c_nationkey, o_orderdate::date as day, p_retailprice, p_name, o_orderkey || ':' || l_partkey id,
@@ -49,8 +54,8 @@ def announcements(t):
 
 
 def classified(t):
-    rows = announcements(t).withColumn("s", signals.signals(F.col("txt")))
-    return rows.withColumn("kind", signals.classify(F.col("s"))).withColumn("title", signals.title(F.col("txt")))
+    rows = announcements(t).withColumn("s", bound(F.col("txt"), signals.signals))
+    return rows.withColumn("kind", bound(F.col("s"), signals.classify)).withColumn("title", bound(F.col("txt"), signals.title))
 
 
 @query("x_signal_counts", f"with {SQL} select id, strong::int strong, registration::int registration, place::int place, retrospective::int retrospective, has_date, has_time, has_price, named from c")
@@ -160,33 +165,81 @@ def admission_summary(t):
     return classified(t).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-RELEVANCE = f"case when o_orderkey % 23 = 0 then 'cancelled' when o_orderkey % 29 = 0 then 'review' when o_orderkey % 5 = 0 then 'undated' when day + (o_orderkey % 4)::int < date '{REFERENCE}' then 'past' when day > date '{REFERENCE}' + 60 then 'beyond_horizon' when day < date '{REFERENCE}' then 'ongoing' else 'upcoming' end"
+#: The window ends at the midnight of Tehran after 60 more days: 1998-08-14 19:30 in UTC.
+RELEVANCE = "case when o_orderkey % 23 = 0 then 'otherwise_excluded' when o_orderkey % 29 = 0 or o_orderkey % 5 = 0 then 'needs_schedule_review' when (day + (o_orderkey % 4)::int + 1)::timestamp <= timestamp '1998-06-15 08:00' then 'expired' when day::timestamp >= timestamp '1998-08-14 19:30' then 'beyond_horizon' else 'actionable' end"
+REASON = "case when o_orderkey % 23 = 0 then 'explicit_cancelled' when o_orderkey % 29 = 0 or o_orderkey % 5 = 0 then 'unresolved_date_or_clock' when (day + (o_orderkey % 4)::int + 1)::timestamp <= timestamp '1998-06-15 08:00' then 'last_date_passed' when day::timestamp >= timestamp '1998-08-14 19:30' then 'starts_after_horizon' else 'ongoing_or_upcoming' end"
+
+
+def event_of(start, stop, cancelled, unsafe, zone="UTC"):
+    """An event without sessions, as ``relevance`` reads it."""
+    none = lambda kind: F.lit(None).cast(kind)
+    sessions = "array<struct<occurrence_id:string,start_date:date,end_date:date,start_time:string,end_time:string,timezone:string,date_precision:string,starts_at:timestamp,ends_at:timestamp,diagnostics:array<string>>>"
+    code = F.struct(F.lit("conflicting_dates").alias("code"), F.lit("temporal").alias("field"))
+    return F.struct(
+        start.alias("start_date"), stop.alias("end_date"), none("string").alias("start_time"), none("string").alias("end_time"), F.lit(zone).alias("timezone"),
+        F.when(start.isNull(), "unknown").otherwise("day").alias("date_precision"), none("timestamp").alias("starts_at"), none("timestamp").alias("ends_at"),
+        F.when(cancelled, "cancelled").otherwise("unknown").alias("status"), none("string").alias("schedule_kind"), none("string").alias("recurrence_rule"),
+        F.when(unsafe, F.array(code)).alias("diagnostics"), none(sessions).alias("occurrences"),
+    )
 
 
-def disposition():
+def disposed(rows):
+    """The rows with where their announcement stands at the reference instant."""
     k = F.col("o_orderkey")
-    start = temporal.parse_iso(F.col("txt"))
-    return schedules.relevance(start, F.date_add(start, (k % 4).cast("int")), F.lit(REFERENCE).cast("date"), 60, k % 23 == 0, k % 29 == 0)
+    start = F.col("said_day")
+    stop = F.when(k % 4 > 0, F.date_add(start, (k % 4).cast("int")))
+    made = rows.withColumn("said_day", temporal.parse_iso(F.col("txt")))
+    return made.withColumn("r", schedules.relevance(event_of(start, stop, k % 23 == 0, k % 29 == 0), NOW, 60))
 
 
-@query("e_relevance", f"with {SQL} select id, {RELEVANCE} disposition from c")
+@query("e_relevance", f"with {SQL} select id, {RELEVANCE} disposition, {REASON} reason from c")
 def relevance(t):
-    return announcements(t).select("id", disposition().alias("disposition"))
+    return disposed(announcements(t)).select("id", "r.disposition", "r.reason")
 
 
 @query("e_relevance_sessions", f"with {SQL} select {RELEVANCE} disposition, count(*) n from c where kind = 'event' group by 1")
 def relevance_sessions(t):
-    return classified(t).where("kind = 'event'").groupBy(disposition().alias("disposition")).agg(F.count("*").alias("n"))
-
-
-@query("flagship", f"with {SQL}, m as (select o_custkey, title, count(*) n, min(day) as first_day, case when count(distinct kind) = 1 then min(kind) end kind, count(*) filter (where {RELEVANCE} = 'upcoming') upcoming, min('event:' || sha256(to_json([id, 'primary'])::varchar)) event_id from c where kind = 'event' group by 1, 2) select * from m")
+    return disposed(classified(t).where("kind = 'event'")).groupBy("r.disposition").agg(F.count("*").alias("n"))
+
+
+@query("e_relevance_occurrences", """with s as (select l_orderkey, l_linenumber, l_shipdate::date as day, (l_shipdate + to_days(1)) <= timestamp '1995-06-15 08:00' gone, l_shipdate >= timestamp '1995-06-29 19:30' later, l_linenumber % 5 = 0 doubt from (select distinct l_orderkey, l_linenumber, l_shipdate from lineitem)),
+d as (select l_orderkey, count(*) filter (where not gone and not later and not doubt) n_actionable, bool_or(doubt and not gone) doubt, bool_or(later and not doubt) later from s group by 1)
+select l_orderkey, case when n_actionable > 0 then 'actionable' when doubt then 'needs_schedule_review' when later then 'beyond_horizon' else 'expired' end disposition,
+  case when n_actionable > 0 then 'supported_occurrences_in_window' when doubt then 'unresolved_sessions' when later then 'remaining_sessions_after_horizon' else 'all_sessions_ended' end reason, n_actionable from d""")
+def relevance_occurrences(t):
+    """Orders as events, shipments as their sessions; every fifth session has a shape that is not verified."""
+    none = lambda kind: F.lit(None).cast(kind)
+    session = F.struct(
+        F.col("l_linenumber").cast("string").alias("occurrence_id"), F.to_date("l_shipdate").alias("start_date"), none("date").alias("end_date"), none("string").alias("start_time"), none("string").alias("end_time"),
+        F.lit("UTC").alias("timezone"), F.lit("day").alias("date_precision"), none("timestamp").alias("starts_at"), none("timestamp").alias("ends_at"),
+        F.when(F.col("l_linenumber") % 5 == 0, F.array(F.lit("unverified_shape"))).alias("diagnostics"),
+    )
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_shipdate").distinct().groupBy("l_orderkey").agg(F.collect_list(session).alias("sessions"))
+    event = event_of(none("date"), none("date"), F.lit(False), F.lit(False)).withField("occurrences", F.col("sessions"))
+    r = schedules.relevance(event, datetime.datetime(1995, 6, 15, 8, 0, tzinfo=datetime.UTC), 14)
+    return rows.select("l_orderkey", r.alias("r")).select("l_orderkey", "r.disposition", "r.reason", F.size("r.occurrence_ids").cast("long").alias("n_actionable"))
+
+
+_FLAGSHIP = f"""with {SQL}, named as (select *, case when has_date then day end d, list_sort(list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'), lambda x: not list_contains(['event','events','workshop','concert','exhibition','festival','the','a','an','of','and','in','at','for'], x)))) tk from c where kind = 'event'),
+joined as (select min(id) anchor, min(title) title, o_custkey, d start_date, count(*) n_members, count(distinct o_orderkey) n_orders from named group by o_custkey, tk, d, case when d is null then id end)
+select 'event:' || sha256(to_json([anchor, 'primary'])::varchar) event_id, title, o_custkey, start_date, n_members, n_orders, n_members > 1 merged,
+  case when start_date is null then 'needs_schedule_review' when (start_date + 1)::timestamp <= timestamp '1998-06-15 08:00' then 'expired' when start_date::timestamp >= timestamp '1998-08-14 19:30' then 'beyond_horizon' else 'actionable' end disposition from joined"""
+
+
+@query("flagship", _FLAGSHIP)
 def flagship(t):
-    """Which announcements are events, which are one event, and what is upcoming at the reference instant."""
-    events = classified(t).where("kind = 'event'")
-    upcoming = F.count_if(disposition() == "upcoming")
-    event_id = F.min(keys.stable_id("event", "id", F.lit("primary")))
-    kind = relational.unanimous(F.col("kind"), F.col("id"))
-    return events.groupBy("o_custkey", "title").agg(F.count("*").alias("n"), F.min("day").alias("first_day"), kind.alias("kind"), upcoming.alias("upcoming"), event_id.alias("event_id"))
+    """Announcements to events: classification, pair decisions, complete-link groups, survivorship, and what is actionable at the reference instant."""
+    found = classified(t).where("kind = 'event'")
+    named = found.select(F.col("id").alias("candidate_id"), "title", "o_orderkey", "o_custkey", F.col("c_nationkey").cast("string").alias("city"), F.col("o_custkey").cast("string").alias("publisher_key"), temporal.parse_iso(F.col("txt")).alias("start_date"))
+    made = settled(entities.prepared(named.withColumn("timezone", F.lit("UTC")).withColumn("date_precision", F.when(F.col("start_date").isNull(), "unknown").otherwise("day"))))
+    decided = settled(entities.decisions(made, sure=True))
+    groups = entities.complete_link(made, decided)
+    members = made.join(groups, "candidate_id")
+    kept = entities.survivors(members, "group_id", F.col("candidate_id"), ["title", "o_custkey", "start_date"])
+    orders = members.groupBy("group_id").agg(F.count_distinct("o_orderkey").alias("n_orders"))
+    never = F.lit(False)
+    rows = kept.join(orders, "group_id").withColumn("r", schedules.relevance(event_of(F.col("start_date"), F.lit(None).cast("date"), never, never), NOW, 60))
+    return rows.select(keys.stable_id("event", "group_id", F.lit("primary")).alias("event_id"), "title", "o_custkey", "start_date", "n_members", "n_orders", (F.col("n_members") > 1).alias("merged"), "r.disposition")
 
 
 def contexts(t):
@@ -194,19 +247,19 @@ def contexts(t):
     rows = t.part.groupBy(F.col("p_name").alias("title")).agg(F.lpad(F.min("p_partkey").cast("string"), 9, "0").alias("candidate_id"), F.min("p_size").alias("size"), F.min("p_brand").alias("publisher_key"))
     none = F.lit(None).cast("string")
     city, day = (F.col("size") % 2).cast("string"), F.date_add(F.lit(REFERENCE).cast("date"), (F.col("size") % 3).cast("int"))
-    return rows.select("candidate_id", "title", city.alias("city"), none.alias("venue_name"), none.alias("address"), none.alias("registration_url"), day.alias("start_date"), F.lit(None).cast("int").alias("start_time"), F.lit("UTC").alias("timezone"), F.lit("date").alias("date_precision"), "publisher_key", F.col("candidate_id").alias("source_id"), F.col("candidate_id").alias("source_url"))
+    return rows.select("candidate_id", "title", city.alias("city"), none.alias("venue_name"), none.alias("address"), none.alias("registration_url"), day.alias("start_date"), F.lit(None).cast("string").alias("start_time"), F.lit("UTC").alias("timezone"), F.lit("day").alias("date_precision"), "publisher_key", F.col("candidate_id").alias("source_id"), F.col("candidate_id").alias("source_url"))
 
 
 _DECIDED = """with x as (select p_name title, lpad(min(p_partkey)::varchar, 9, '0') k, min(p_size) % 3 d, min(p_size) % 2 n, min(p_brand) o from part group by 1),
-w as (select *, list_sort(list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'), lambda y: not list_contains(['the','a','an','of','and','in','at','for','event','workshop','course','class','session'], y)))) w from x),
-p as (select a.k a, b.k b, a.o = b.o sp, a.w = b.w ex, len(list_intersect(a.w, b.w)) s, len(list_distinct(list_concat(a.w, b.w))) u from w a join w b on a.k < b.k and a.d = b.d and a.n = b.n)
-select a candidate_id_a, b candidate_id_b, case when s = 0 then 'distinct' when (ex or (s >= 2 and 100 * s >= 85 * u)) and sp then 'same_event' else 'possible' end kind from p"""
+w as (select *, list_sort(list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'), lambda y: not list_contains(['event','events','workshop','concert','exhibition','festival','the','a','an','of','and','in','at','for'], y)))) w from x),
+p as (select a.k a, b.k b, a.o = b.o sp, len(list_intersect(a.w, b.w)) s, len(list_distinct(list_concat(a.w, b.w))) u from w a join w b on a.k < b.k and a.d = b.d and a.n = b.n)
+select a candidate_id_a, b candidate_id_b, case when s >= 2 and 100 * s >= 85 * u and sp then 'same_event' else 'possible' end kind from p where s > 0"""
 
 
 @query("e_pair_decisions", _DECIDED)
 def pair_decisions(t):
-    """Of candidates with one day and city; other pairs conflict in one of them."""
-    return entities.decisions(contexts(t)).where(~F.arrays_overlap("reasons", F.array(F.lit("city_conflict"), F.lit("start_date_conflict")))).select("candidate_id_a", "candidate_id_b", "kind")
+    """Pairs of one day and city with a shared title token; others conflict."""
+    return entities.decisions(contexts(t)).where("kind <> 'distinct'").select("candidate_id_a", "candidate_id_b", "kind")
 
 
 @query("e_pair_decisions_all")
@@ -215,11 +268,17 @@ def pair_decisions_all(t):
     return entities.decisions(contexts(t)).select("candidate_id_a", "candidate_id_b", "kind", F.array_sort("reasons").alias("reasons"))
 
 
-@query("e_reliable", "select o_orderkey, o_orderkey % 3 <> 2 reliable from orders")
+@query("e_reliable", "select o_orderkey, o_orderkey % 3 <> 2 and o_orderkey % 5 <> 0 and o_orderkey % 7 <> 0 and o_orderkey % 11 not in (1, 2) reliable from orders")
 def reliable(t):
-    k = F.col("o_orderkey") % 3
-    start = F.when(k != 2, F.to_date("o_orderdate"))
-    return t.orders.select("o_orderkey", F.struct(start.alias("start_date"), schedules.precision(start, F.lit(None)).alias("date_precision")).alias("c")).select("o_orderkey", entities.reliable(F.col("c")).alias("reliable"))
+    """Undated, ranges, several days, and doubts about the date or only about the price."""
+    k = F.col("o_orderkey")
+    start = F.when(k % 3 != 2, F.to_date("o_orderdate"))
+    stop = F.when(k % 5 == 0, F.date_add("o_orderdate", 2))
+    doubt = lambda code, field: F.array(F.struct(F.lit(code).alias("code"), F.lit(field).alias("field")))
+    doubts = F.when(k % 11 == 1, doubt("inferred_year", "source_date_text")).when(k % 11 == 2, doubt("unreliable_temporal_ocr", "temporal")).when(k % 11 == 3, doubt("ambiguous_price", "price_text"))
+    never = F.lit(False)
+    context = F.struct(start.alias("start_date"), stop.alias("end_date"), schedules.precision(start, stop, F.lit(None), never).alias("date_precision"), schedules.kind(start, stop, never, F.when(k % 7 == 0, 2).otherwise(1)).alias("schedule_kind"), doubts.alias("diagnostics"))
+    return t.orders.select("o_orderkey", context.alias("c")).select("o_orderkey", entities.reliable(F.col("c")).alias("reliable"))
 
 
 @query("e_fact_conflict", "select a.s_suppkey a, b.s_suppkey b, coalesce(nullif(a.s_nationkey % 7, 0) <> nullif(b.s_nationkey % 7, 0), false) conflict from supplier a join supplier b on a.s_suppkey < b.s_suppkey")
@@ -252,16 +311,32 @@ def slot_selection(t):
     return t.events.groupBy("user_id", "event_type").agg(F.coalesce(F.max(usable), F.max("event_id")).alias("event_id"))
 
 
-@query("e_complete_link")
+def walks(t):
+    """Orders as announcements of one walk a customer, some without a clock: these are the same as two that exclude each other."""
+    k = F.col("o_orderkey")
+    clock = F.when(k % 3 == 1, "10:00").when(k % 3 == 2, "11:00")
+    city = F.lit("Shiraz")
+    return t.orders.select(
+        F.lpad(k.cast("string"), 9, "0").alias("candidate_id"), F.concat(F.lit("Garden walk "), F.col("o_custkey").cast("string")).alias("title"), city.alias("city"), F.col("o_custkey").cast("string").alias("publisher_key"),
+        F.lit("1998-06-20").cast("date").alias("start_date"), clock.alias("start_time"), F.lit("UTC").alias("timezone"), F.lit("day").alias("date_precision"),
+    )
+
+
+#: Groups take the clock of their first member that has one; what has another clock is the second group.
+_WALKS = """o as (select lpad(o_orderkey::varchar, 9, '0') id, o_custkey c, o_orderkey % 3 t from orders), f as (select c, min(id) g1, min_by(t, id) filter (where t > 0) t1 from o group by 1),
+h as (select o.c, min(id) g2 from o join f using (c) where t > 0 and t <> t1 group by 1), g as (select o.id, o.c, o.t, case when t = 0 or t = t1 then g1 else g2 end grp from o join f using (c) left join h using (c))"""
+
+
+@query("e_complete_link", f"with {_WALKS} select id candidate_id, grp group_id from g")
 def complete_link(t):
-    made = contexts(t)
-    return entities.complete_link(made, entities.decisions(made))
+    made = entities.prepared(walks(t))
+    return entities.complete_link(made, entities.decisions(made, sure=True))
 
 
-@query("e_blocked_edges")
+@query("e_blocked_edges", f"with {_WALKS} select a.id candidate_id_a, b.id candidate_id_b, 'all_member_grouping_blocked' code from g a join g b on a.c = b.c and a.id < b.id and (a.t = 0 or b.t = 0 or a.t = b.t) and a.grp <> b.grp")
 def blocked_edges(t):
-    made = contexts(t)
-    decided = entities.decisions(made)
+    made = settled(entities.prepared(walks(t)))
+    decided = settled(entities.decisions(made, sure=True))
     return entities.blocked_edges(decided, entities.complete_link(made, decided))
 
 
@@ -299,11 +374,12 @@ def status(t):
     return t.events.agg(F.count("*").alias("n_events"), F.count_distinct("user_id").alias("n_keys"), F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("latest"))
 
 
-@query("d_fingerprint", "select lang, sha256(string_agg(doc_id::varchar || ':' || sha256(text), ',' order by doc_id)) fingerprint from documents group by 1")
+@query("d_fingerprint", "select lang, lpad(doc_id % 1000, 3, '0') part, sha256(string_agg(doc_id::varchar || ':' || sha256(text), ',' order by doc_id)) fingerprint from (select doc_id, doc_id % 1000 k, text, lang from documents) group by 1, 2".replace("lpad(doc_id % 1000, 3, '0')", "k"))
 def fingerprint(t):
+    """One for each share of a language's documents, so that no task holds a language."""
     part = F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2("text", 256))
     rows = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", part.alias("p")))), lambda x: x["p"])
-    return t.documents.groupBy("lang").agg(F.sha2(F.array_join(rows, ","), 256).alias("fingerprint"))
+    return t.documents.groupBy("lang", (F.col("doc_id") % 1000).alias("part")).agg(F.sha2(F.array_join(rows, ","), 256).alias("fingerprint"))
 
 
 @query("r_tumbling", "select strftime(date_trunc('day', ts), '%Y-%m-%d') start, event_type, count(*) n from events group by 1, 2")

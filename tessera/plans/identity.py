@@ -65,7 +65,7 @@ def website_key(t):
     return t.pages.select("page_id", keys.website_key(F.col("url")).alias("website_key"))
 
 
-_REGISTRATION = f"""select page_id, case when {VALID} and ({BARE} <> '' or len(p) > 0) then {RAW_HOST} || {BARE} || case when len(p) > 0 then '?' || array_to_string(p, '&') else '' end
+_REGISTRATION = f"""select page_id, case when {VALID} and {BARE} <> '' then regexp_extract(url, '^([a-z]+://[^/?#]+[^?#]*)', 1) || case when len(p) > 0 then '?' || array_to_string(p, '&') else '' end
   || case when contains(url, '#') then '#' || regexp_extract(url, '#(.*)$', 1) else '' end end registration_key
 from (select *, list_filter({PARAMS}, lambda q: not list_contains(['utm_source','utm_medium','utm_campaign','utm_term','utm_content','fbclid','gclid'], lower(split_part(q, '=', 1)))) p from pages)"""
 

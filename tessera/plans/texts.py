@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tessera.functions import temporal, text
 from tessera.plans.registry import query
 
-ARABIC = "translate(%s, '۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩يىكةۀأإٱ', '01234567890123456789ییکههااا')"
+ARABIC = "translate(%s, '۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩يىكةأإآٱ', '01234567890123456789ییکهاااا')"
+GENERIC = "['event','events','workshop','concert','exhibition','festival','the','a','an','of','and','in','at','for']"  # those in Latin letters
 #: An announcement line in Persian letters and digits made of a number, the same in both engines.
 WORDING_SQL = "translate(o_orderkey::varchar, '0123456789', '۰۱۲۳۴٥٦٧۸۹') || ' كارگاه Workshop ' || o_orderpriority"
 
@@ -43,21 +44,22 @@ def tokenize(t):
     return t.documents.select("doc_id", F.size(w).cast("long").alias("n"), F.sha2(F.array_join(w, " "), 256).alias("token_hash"))
 
 
-@query("t_title_key", "select p_partkey, array_to_string(list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(lower(p_name), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '' and not list_contains(['the','a','an','of','and','in','at','for','event','workshop','course','class','session'], x)))), ' ') title_key from part")
+@query("t_title_key", f"select p_partkey, array_to_string(list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(lower(p_name), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda x: x <> '' and not list_contains({GENERIC}, x)))), ' ') title_key from part")
 def title_key(t):
     return t.part.select("p_partkey", F.array_join(text.title_tokens(F.col("p_name")), " ").alias("title_key"))
 
 
 _PAIRS = """with n as (select min(p_partkey) k, list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+')) w from part group by p_name),
 p as (select a.k a, b.k b, len(list_intersect(a.w, b.w)) s, len(list_distinct(list_concat(a.w, b.w))) u from n a join n b on a.k < b.k)
-select a, b, case when s = u then 'exact' when s >= 2 and 100 * s >= 85 * u then 'strong' when s > 0 then 'partial' else 'different' end relation from p"""
+select a, b, case when s >= 2 and 100 * s >= 85 * u then 'strong' when s > 0 then 'partial' else 'different' end relation from p"""
 
 
 @query("t_title_relation", _PAIRS)
 def title_relation(t):
-    names = t.part.groupBy("p_name").agg(F.min("p_partkey").alias("k")).select("k", text.title_tokens(F.col("p_name")).alias("w"))
-    pairs = names.select(F.col("k").alias("a"), F.col("w").alias("wa")).join(names.select(F.col("k").alias("b"), F.col("w").alias("wb")), F.col("a") < F.col("b"))
-    return pairs.select("a", "b", text.title_relation(F.col("wa"), F.col("wb")).alias("relation"))
+    key = text.text_key(F.col("p_name"), True)
+    names = t.part.groupBy("p_name").agg(F.min("p_partkey").alias("k")).select("k", key.alias("n"), text.distinctive(key).alias("w"))
+    pairs = names.select(F.struct("*").alias("x")).join(names.select(F.struct("*").alias("y")), F.col("x.k") < F.col("y.k"))
+    return pairs.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), text.title_relation(F.col("x.n"), F.col("y.n"), F.col("x.w"), F.col("y.w")).alias("relation"))
 
 
 @query("t_phrase_hits", "with v as (select distinct unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) w from benchmark) select doc_id, count(w)::bigint n_terms from (select doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))) x from documents) left join v on v.w = x group by doc_id")
@@ -191,10 +193,24 @@ def ordinal_day_all(t):
     return t.orders.select("o_orderkey", ordinals.word(F.dayofmonth("o_orderdate")).alias("word"))
 
 
-@query("n_parse_clock", "select o_orderkey, case when h between 1 and 6 then null else h * 3600 + 1800 end::int as seconds, case when h between 1 and 6 then 'ambiguous_meridiem' end code from (select o_orderkey, o_orderkey % 24 h from orders)")
+_CLOCKS = """select o_orderkey, case k when 0 then h * 3600 + 1800 when 1 then (h % 12 + 12) * 3600 when 2 then case when h between 6 and 11 then (h + 12) * 3600 end when 3 then 9 * 3600 when 5 then case when h not between 1 and 6 then h * 3600 end end::int as seconds,
+  case k when 3 then case when h = 0 then null else 34200 end end::int as end_seconds,
+  case k when 2 then case when h not between 6 and 11 then 'ambiguous_meridiem' end when 4 then 'unparsed_temporal' when 5 then case when h between 1 and 6 then 'ambiguous_meridiem' end end code
+from (select o_orderkey, o_orderkey % 6 k, case o_orderkey % 6 when 1 then 1 + o_orderkey % 12 when 2 then 1 + o_orderkey % 11 when 3 then 1 else o_orderkey % 24 end h from orders)"""
+
+
+@query("n_parse_clock", _CLOCKS)
 def parse_clock(t):
-    got = temporal.parse_clock(F.concat(F.lit("at "), (F.col("o_orderkey") % 24).cast("string"), F.lit(":30")))
-    return t.orders.select("o_orderkey", got["seconds"].cast("int").alias("seconds"), got["code"].alias("code"))
+    """Clocks, halves of the day, Persian parts of the day, ranges, other numbers, and bare hours."""
+    key = F.col("o_orderkey")
+    n = lambda x: x.cast("string")
+    line = (
+        F.when(key % 6 == 0, F.concat(F.lit("زمان: "), n(key % 24), F.lit(":30"))).when(key % 6 == 1, F.concat(n(1 + key % 12), F.lit(" p.m.")))
+        .when(key % 6 == 2, F.concat(F.translate(n(1 + key % 11), "0123456789", text.PERSIAN_DIGITS), F.lit(" شب"))).when(key % 6 == 3, "از ساعت 9:00 تا 9:30")
+        .when(key % 6 == 4, F.concat(n(key % 24), F.lit(" people"))).otherwise(F.concat(F.lit("ساعت "), n(key % 24)))
+    )
+    got = temporal.parse_clock(line)
+    return t.orders.select("o_orderkey", *(got[c].cast("int").alias(c) for c in ("seconds", "end_seconds")), got["code"].alias("code"))
 
 
 @query("n_local_instant", "select o_orderkey, strftime(o_orderdate - interval '3 hours 30 minutes', '%Y-%m-%d %H:%M') utc from orders where year(o_orderdate) in (1999, 1995) and month(o_orderdate) in (1, 2, 11, 12)")
@@ -214,12 +230,12 @@ def saturday_week(t):
     return t.orders.select("o_orderkey", temporal.saturday(F.to_date("o_orderdate")).alias("start"))
 
 
-@query("n_price", "select p_partkey, case when p_partkey % 5 = 0 then 0 when p_partkey % 5 = 4 then null else floor(p_retailprice) * case when p_partkey % 5 = 3 then 1000 else 1 end end::decimal(38,6) amount, case when p_partkey % 5 in (1, 3) then 'USD' when p_partkey % 5 = 2 then 'TOMAN' end currency, case when p_partkey % 5 = 4 then 'ambiguous_price' end code from part")
+@query("n_price", "select p_partkey, case when p_partkey % 5 = 0 then 0 when p_partkey % 5 = 4 then null else floor(p_retailprice) * case when p_partkey % 5 = 3 then 1000 else 1 end end::decimal(38,6) amount, case p_partkey % 5 when 1 then 'USD' when 2 then 'TOMAN' when 3 then 'GBP' end currency, case when p_partkey % 5 = 4 then 'ambiguous_price' end code from part")
 def price(t):
     k, amount = F.col("p_partkey") % 5, F.floor("p_retailprice").cast("string")
-    line = F.when(k == 0, "Free").when(k == 1, F.concat(F.lit("Price: "), amount, F.lit(" USD"))).when(k == 2, F.concat(F.translate(amount, "0123456789", text.PERSIAN_DIGITS), F.lit(" تومان"))).when(k == 3, F.concat(F.lit("$"), amount, F.lit(" thousand"))).otherwise(F.concat(amount, F.lit(" or more")))
+    line = F.when(k == 0, "Free").when(k == 1, F.concat(F.lit("Price: "), amount, F.lit(" USD"))).when(k == 2, F.concat(F.translate(amount, "0123456789", text.PERSIAN_DIGITS), F.lit(" تومان"))).when(k == 3, F.concat(F.lit("£ "), amount, F.lit(" thousand."))).otherwise(F.concat(amount, F.lit(" or more")))
     got = temporal.price(line)
-    return t.part.select("p_partkey", *(got[c].alias(c) for c in ("amount", "currency", "code")))
+    return t.part.select("p_partkey", got["amount"].cast("decimal(38,6)").alias("amount"), got["currency"].alias("currency"), got["code"].alias("code"))
 
 
 @query("n_status", "select o_orderkey, case o_orderkey % 4 when 0 then 'invalid' when 1 then 'unresolved' when 2 then 'partial' else 'normalized' end status from orders")
@@ -234,7 +250,7 @@ def status_counts(t):
     return status(t).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("n_precision_kind", "select o_orderkey, case when o_orderkey % 3 = 0 then 'datetime' when o_orderkey % 3 = 1 then 'date' else 'unknown' end date_precision, case when o_orderkey % 3 = 2 then 'unknown' when o_orderkey % 2 = 0 then 'range' else 'single' end schedule_kind from orders")
+@query("n_precision_kind", "select o_orderkey, case when o_orderkey % 3 = 2 then 'unknown' when o_orderkey % 2 = 0 then 'range' when o_orderkey % 5 = 0 then 'inferred' when o_orderkey % 3 = 0 then 'exact' else 'day' end date_precision, case when o_orderkey % 11 = 0 then 'recurring' when o_orderkey % 7 = 0 then 'discrete' when o_orderkey % 3 = 2 then 'unknown' when o_orderkey % 2 = 0 then 'range' else 'single' end schedule_kind from orders")
 def precision_kind(t):
     from tessera.operators import schedules
 
@@ -242,7 +258,7 @@ def precision_kind(t):
     start = F.when(k % 3 != 2, F.to_date("o_orderdate"))
     stop = F.when((k % 3 != 2) & (k % 2 == 0), F.date_add(start, 2))
     clock = F.when(k % 3 == 0, F.lit(36000))
-    return t.orders.select("o_orderkey", schedules.precision(start, clock).alias("date_precision"), schedules.kind(start, stop).alias("schedule_kind"))
+    return t.orders.select("o_orderkey", schedules.precision(start, stop, clock, k % 5 == 0).alias("date_precision"), schedules.kind(start, stop, k % 11 == 0, F.when(k % 7 == 0, 3).otherwise(1)).alias("schedule_kind"))
 
 
 @query("n_session_expand", "select l_orderkey, strftime(min(l_shipdate), '%Y-%m-%d') first_day, strftime(max(l_shipdate + to_days(l_quantity::int)), '%Y-%m-%d') last_day, count(*) n_sessions from lineitem group by 1")
@@ -273,10 +289,19 @@ def stale_cache(t):
     return joined.select("user_id", F.when(F.col("checked").isNull(), "check").when(stale, "recheck").otherwise("reuse").alias("decision"))
 
 
-@query("p_classify_failure", "select event_id, case event_type when 'error' then 'network' when 'click' then 'blocked' when 'view' then 'ok' else 'unknown' end status from events")
-def classify_failure(t):
-    from tessera.operators import readiness
+_FAILED = """select event_id, case k when 0 then 'unavailable' when 1 then 'policy_blocked' when 2 then case when h = 429 then 'temporary_failure' else 'access_restricted' end when 3 then 'temporary_failure' when 4 then case when h = 429 or h >= 500 then 'temporary_failure' else 'parse_failure' end when 5 then case when h = 429 or h >= 500 then 'temporary_failure' else 'unavailable' end else 'temporary_failure' end status,
+  case k when 1 then 'robots:robots' when 3 then 'listing:dns' when 4 then 'detail:layout' else 'collect:collection_failure' end || case when h is not null then ':http_' || h else '' end report
+from (select event_id, event_id % 7 k, case event_id % 4 when 0 then 429 when 1 then 503 when 2 then 404 end h from events)"""
 
-    return t.events.select("event_id", readiness.failure(F.col("event_type")).alias("status"))
 
+@query("p_classify_failure", _FAILED)
+def classify_failure(t):
+    """Failures made of event numbers: a kind, a category, an operation and an HTTP status."""
+    from tessera.operators import readiness
 
+    k, h = F.col("event_id") % 7, F.col("event_id") % 4
+    kind = F.when(k == 0, "disabled").when(k == 1, "restricted").when(k == 2, "authentication").when(k == 5, "unavailable").otherwise("error")
+    category = F.when(k == 1, "robots").when(k == 3, "dns").when(k == 4, "layout").otherwise("a secret message")
+    operation = F.when(k == 1, "robots").when(k == 3, "listing").when(k == 4, "detail").otherwise("other")
+    status = F.when(h == 0, 429).when(h == 1, 503).when(h == 2, 404)
+    return t.events.select("event_id", readiness.failure(kind, category, status).alias("status"), readiness.safe_failure(operation, category, status).alias("report"))

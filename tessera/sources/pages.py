@@ -10,11 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# What readers do not see, and what ends a line.
-HIDDEN = {"script", "style", "noscript", "template", "nav", "head", "svg"}
-BLOCKS = {"p", "div", "section", "article", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "br", "tr", "table", "header", "footer"}
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-DEPTH = 150
+# Tags without an end, what readers do not see, and what ends a line.
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+HIDDEN = {"script", "style", "noscript", "template", "svg", "nav", "header", "footer", "form", "button", "iframe"}
+BLOCKS = {"div", "p", "section", "article", "main", "h1", "h2", "h3", "h4", "li", "ul", "ol", "dl", "tr", "br", "hr"}
+DEPTH = 150  # a page with more open elements is refused as a whole
+
+
+class TooDeep(ValueError):
+    """More elements are open at once than a page may have."""
 
 
 def links(html: Column) -> Column:
@@ -27,42 +31,56 @@ def marked(text: Column, mark: str) -> Column:
 
 
 class _Reader(HTMLParser):
+    """Counts open elements by tag; text is kept while no hidden element is open."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.parts: list[str] = []
-        self.open: list[tuple[str, bool]] = []
-
-    def hidden(self) -> bool:
-        return bool(self.open) and self.open[-1][1]
+        self.tags: list[str] = []
+        self.hidden_from: int | None = None  # how many elements were open when the outermost hidden one began
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if len(self.tags) >= DEPTH:
+            raise TooDeep
         if tag in BLOCKS:
             self.parts.append("\n")
-        if tag not in VOID and len(self.open) < DEPTH:
-            named = dict(attrs)
-            gone = tag in HIDDEN or "hidden" in named or named.get("aria-hidden") == "true"
-            self.open.append((tag, gone or self.hidden()))
+        if tag in VOID:
+            return
+        if self.hidden_from is None and (tag in HIDDEN or unseen({k: v or "" for k, v in attrs})):
+            self.hidden_from = len(self.tags)
+        self.tags.append(tag)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.parts.append("\n")
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                del self.open[k:]
-                break
+        if tag in self.tags:
+            while self.tags.pop() != tag:  # what was left open inside ends with it
+                pass
+            if self.hidden_from is not None and len(self.tags) <= self.hidden_from:
+                self.hidden_from = None
 
     def handle_data(self, data: str) -> None:
-        if not self.hidden():
+        if self.hidden_from is None:
             self.parts.append(data)
 
 
+def unseen(attributes: dict[str, str]) -> bool:
+    """Do an element's attributes hide it from readers?"""
+    style = "".join(attributes.get("style", "").split()).lower()
+    marks = ("hidden" in attributes, attributes.get("role") == "status", attributes.get("aria-hidden") == "true", "sr-only" in attributes.get("class", "").split())
+    return any(marks) or "display:none" in style or "visibility:hidden" in style
+
+
 def visible(html: str | None) -> str | None:
-    """The text a reader sees, a line for each block, blanks collapsed; a broken page gives what could be read."""
+    """The text a reader sees, a line for each block, blanks collapsed; a broken page gives what could be read, one that nests too deep nothing."""
     if html is None:
         return None
     reader = _Reader()
-    reader.feed(html)
-    reader.close()
+    try:
+        reader.feed(html)
+        reader.close()
+    except TooDeep:
+        return None
     lines = (" ".join(line.split()) for line in "".join(reader.parts).split("\n"))
     return "\n".join(line for line in lines if line)
 

@@ -35,6 +35,43 @@ def changes(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(classify, "user_id long, event_id long, change string", "content string", "append", GroupStateTimeout.NoTimeout)
 
 
+def pending(events: DataFrame, wait: str = "15 minutes", late: str = "1 minute") -> DataFrame:
+    """(user_id, event_id, outcome): each ``ask`` is answered by the key's next event, or expires when the watermark has passed ``wait`` after it.
+
+    The state of a key is its open question, and it is dropped with the answer or
+    by the time-out.
+    """
+    from datetime import timedelta
+
+    amount, unit = wait.split()
+    span = timedelta(**{unit if unit.endswith("s") else f"{unit}s": int(amount)})
+
+    def settle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out = []
+        open_id, asked = state.get if state.exists else (None, None)
+        if state.hasTimedOut:
+            out.append((key[0], open_id, "expired"))
+            state.remove()
+        else:
+            rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+            for event, kind, ts in zip(rows["event_id"], rows["event_type"], rows["ts"], strict=True):
+                if open_id is not None:
+                    out.append((key[0], open_id, "expired" if ts - asked >= span else "answered"))
+                    open_id = None
+                if kind == "ask":
+                    open_id, asked = event, ts
+            if open_id is None:
+                if state.exists:
+                    state.remove()
+            else:
+                state.update((open_id, asked))
+                state.setTimeoutTimestamp(int((asked + span).timestamp() * 1000))
+        yield pd.DataFrame(out, columns=["user_id", "event_id", "outcome"])
+
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return timed.groupBy("user_id").applyInPandasWithState(settle, "user_id long, event_id long, outcome string", "event_id long, asked timestamp", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def once(events: DataFrame, key: str, time: str = "ts", late: str = "1 day") -> DataFrame:
     """The first row of each key within the watermark."""
     return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark([key])

@@ -5,7 +5,7 @@ import itertools
 
 from pyspark.sql import functions as F
 
-from tessera.functions import ordinals, temporal, text
+from tessera.functions import keys, ordinals, temporal, text
 from tessera.operators import entities, snapshots
 from tessera.sources import jsonl, pages, sinks
 from tessera.streaming import logs
@@ -36,6 +36,45 @@ def test_prices(spark):
     assert price("رایگان") == (0.0, None, None)
     assert price("۲۵۰ هزار تومان") == (250_000.0, "TOMAN", None)
     assert price("10 usd or 12 usd") == (None, None, "ambiguous_price")
+    assert price("هزینه ثبت نام: ۱٬۲۰۰٬۰۰۰ ریال.") == (1_200_000.0, "IRR", None)
+    assert price("Admission: £ 12.5") == (12.5, "GBP", None) and price("2 million US dollars") == (2_000_000.0, "USD", None)
+    assert price("ورودی رایگان") == price("Free admission") == (0.0, None, None)
+    assert price("$5") == price("5k usd") == price("500") == price("1" * 19 + " usd") == (None, None, "ambiguous_price")
+    assert price("  ")[2] == price(None)[2] == "missing_price" and price("5 usd" + " " * 5000)[2] == "price_too_long"
+
+
+def test_clocks(spark):
+    def clock(line):
+        got = temporal.parse_clock(F.lit(line))
+        return tuple(one(spark, got["seconds"], got["end_seconds"], got["code"]))
+
+    h = 3600
+    assert clock("18:30") == (18.5 * h, None, None) and clock("ساعت ۱۸") == (18 * h, None, None)
+    assert clock("5 p.m.") == (17 * h, None, None) and clock("12 am") == (0, None, None) and clock("13 pm")[2] == "invalid_time"
+    assert clock("۵ عصر") == (17 * h, None, None) and clock("۸ شب") == (20 * h, None, None) and clock("۱۲ شب")[2] == "ambiguous_meridiem"
+    assert clock("۱۰ تا ۲ ظهر") == (10 * h, 14 * h, None) and clock("از ۴ تا ۸ عصر") == (16 * h, 20 * h, None)
+    assert clock("ساعت 17 تا 19:30") == (17 * h, 19.5 * h, None) and clock("22:00 - 02:00") == (22 * h, 2 * h, "ambiguous_overnight")
+    assert clock("ساعت ۵")[2] == clock("ساعت 5 تا 9")[2] == "ambiguous_meridiem" and clock("ساعت 5:00") == (5 * h, None, None)
+    assert clock("25:00")[2] == "invalid_time" and clock("10 people")[2] == clock("17")[2] == "unparsed_temporal"
+    assert clock("") == clock(" . ") == (None, None, None) and clock("زمان: 9:15.") == (9.25 * h, None, None)
+
+
+def test_title_relations_and_registration_keys(spark):
+    def relation(a, b):
+        ka, kb = text.text_key(F.lit(a)), text.text_key(F.lit(b))
+        return one(spark, text.title_relation(ka, kb, text.distinctive(ka), text.distinctive(kb)))[0]
+
+    assert relation("Workshop 3", "Workshop 3") == relation("کارگاه", "Clay") == "weak"
+    assert relation("Clay Workshop!", "clay workshop") == "exact" and relation("The clay", "clay") == "partial"
+    assert relation("Clay kiln 1", "Clay kiln 2") == "different" and relation("Clay 2nd kiln", "Clay kiln") == "partial"
+    assert relation("one two three four five six seven", "seven one two three four five six") == "strong"
+
+    def key(url):
+        return one(spark, keys.registration_key(F.lit(url)))[0]
+
+    assert key("HTTPS://Tix.example:443/a/?b=2&utm_source=x&a=1&a=1#t") == "https://tix.example:443/a/?b=2&a=1&a=1#t"
+    assert key("https://tix.example/?id=1") is None and key("https://u@tix.example/a") is None and key("ftp://tix.example/a") is None and key("/a") is None
+    assert key("http://tix.example/a") != key("https://tix.example/a") != key("https://tix.example/a/")
 
 
 def test_text(spark):
@@ -49,24 +88,44 @@ def test_html(spark):
     assert [r["text"] for r in got] == ["One& two\nthree", None, ""]
 
 
-CONTEXT = "candidate_id string, title string, city string, venue_name string, address string, registration_url string, start_date string, start_time int, timezone string, date_precision string, publisher_key string, source_id string, source_url string"
+CONTEXT = "candidate_id string, title string, city string, venue_name string, address string, registration_url string, start_date date, start_time string, end_time string, timezone string, date_precision string, publisher_key string, source_id string, source_url string, content_url string, identity_slot string, diagnostics array<struct<code:string,field:string>>"
 
 
 def contexts(spark):
-    base = ("Clay pottery evening", "Shiraz", None, None, None, "2026-10-22", 61200, "Asia/Tehran", "datetime")
-    rows = [("a", *base, "p1", "s1", "u1"), ("b", *base, "p1", "s2", "u2"), ("c", *base, "p2", "s3", "u3"), ("d", base[0], "Shiraz", None, None, None, "2026-10-23", *base[6:], "p1", "s1", "u4"), ("e", "Glass", None, None, None, None, None, None, None, "unknown", "p9", "s9", "u9")]
-    return spark.createDataFrame(rows, CONTEXT)
-
-
-def test_pairs_are_symmetric_and_blocks_lose_nothing(spark):
-    c = contexts(spark)
+    day = lambda n: datetime.date(2026, 10, n)
+    name = "Clay pottery evening"
+    row = lambda i, **x: ({"candidate_id": i, "title": name, "city": "Shiraz", "start_date": day(22), "start_time": "17:00", "timezone": "Asia/Tehran", "date_precision": "day", "publisher_key": "p1", "source_id": i, "source_url": f"https://{i}.example", "content_url": f"https://{i}.example/1", "identity_slot": "primary"} | x)
+    place = {"venue_name": "Blue Hall", "address": "12 North Garden Street floor 2", "start_time": "17:00", "end_time": "19:00"}
+    rows = [
+        row("a"), row("b"), row("c", publisher_key="p2"), row("d", start_date=day(23)), row("e", title="Glass", start_date=None, city=None, publisher_key="p9"),
+        row("f", start_date=day(24), diagnostics=[("inferred_year", "source_date_text")]), row("g", title="Clay glazing", publisher_key="p3"), row("h", title="2026 event", publisher_key="p4"),
+        row("i", publisher_key="p5", **place), row("j", publisher_key="p6", **(place | {"address": "North Garden Street 12 floor two, back", "venue_name": "Hall Blue"})),
+        row("k", title="Clay kiln", city=None, start_date=None, publisher_key="p7", registration_url="https://t.example/x?utm_source=a&id=1"), row("l", title="Clay wheel", city="Yazd", start_date=None, publisher_key="p8", registration_url="https://t.example/x?id=1"),
+        row("m", publisher_key="p2", timezone="UTC"), row("n", start_time="18:00"), row("o", title=None, publisher_key="p10"),
+    ]
+    return spark.createDataFrame([{k.split()[0]: r.get(k.split()[0]) for k in CONTEXT.replace("array<struct<code:string,field:string>>", "x").split(", ")} for r in rows], CONTEXT)
+
+
+def test_pairs_follow_the_rules_are_symmetric_and_blocks_lose_nothing(spark):
+    c = entities.prepared(contexts(spark))
     rows = c.select(F.struct(*c.columns).alias("a"))
     both = rows.crossJoin(rows.withColumnRenamed("a", "b")).where("a.candidate_id <> b.candidate_id")
-    kind, reasons = entities.match_pair(F.col("a"), F.col("b"))
-    every = {(r[0], r[1]): (r[2], tuple(r[3])) for r in both.select("a.candidate_id", "b.candidate_id", kind, reasons).collect()}
+    every = {(r[0], r[1]): (r[2], tuple(r[3])) for r in entities.matched(both).select("a.candidate_id", "b.candidate_id", "kind", "reasons").collect()}
     assert all(every[x, y] == every[y, x] for x, y in every)
-    assert every["a", "b"][0] == "same_event" and every["a", "d"][0] == "distinct" and every["a", "c"][0] == "possible"
-    found = {(r[0], r[1]): r[2] for r in entities.decisions(c).collect()}
+    assert every["a", "b"] == ("same_event", ("city_match", "distinctive_title_exact", "exact_date_match", "same_publisher", "start_time_match"))
+    assert every["a", "c"] == ("possible", ("city_match", "distinctive_title_exact", "exact_date_match", "insufficient_occurrence_evidence", "start_time_match"))
+    assert every["a", "d"] == ("distinct", ("city_match", "conflicting_exact_date", "distinctive_title_exact", "same_publisher", "start_time_match"))
+    assert every["a", "f"] == ("possible", ("city_match", "distinctive_title_exact", "insufficient_occurrence_evidence", "same_publisher", "start_time_match", "uncertain_date_difference"))
+    assert every["a", "g"] == ("possible", ("city_match", "exact_date_match", "insufficient_occurrence_evidence", "start_time_match", "title_similarity_only"))
+    assert every["a", "h"][0] == "possible" and every["a", "o"][0] == "possible" and every["a", "e"][0] == "distinct"
+    assert every["i", "j"] == ("possible", ("address_conflict", "city_match", "distinctive_title_exact", "end_time_match", "exact_date_match", "overlapping_schedule_address_variant", "start_time_match", "venue_name_conflict"))
+    assert every["k", "l"] == ("possible", ("insufficient_occurrence_evidence", "registration_url_match", "start_time_match", "title_similarity_only"))
+    assert every["a", "m"] == ("distinct", ("city_match", "distinctive_title_exact", "exact_date_match", "timezone_conflict"))
+    assert every["a", "n"][0] == "distinct" and "conflicting_start_time" in every["a", "n"][1]
+    assert every["e", "k"] == ("distinct", ("distinctive_title_conflict", "start_time_match"))
+    sure = {(r[0], r[1]): r[2] for r in entities.decisions(contexts(spark), sure=True).collect()}
+    assert {k for k, v in sure.items() if v == "same_event"} == {k for k, v in every.items() if v[0] == "same_event" and k[0] < k[1]}
+    found = {(r[0], r[1]): r[2] for r in entities.decisions(contexts(spark)).collect()}
     assert {k for k, v in every.items() if v[0] in ("same_event", "possible") and k[0] < k[1]} <= set(found)
     assert all(every[k][0] == v for k, v in found.items())
 
@@ -194,9 +253,9 @@ def test_pair_decisions_keep_conflicts(spark):
     conflicts = 0
     for r in got:
         a, b = size[r["candidate_id_a"]], size[r["candidate_id_b"]]
-        assert ("city_conflict" in r["reasons"], "start_date_conflict" in r["reasons"]) == (a % 2 != b % 2, a % 3 != b % 3)
+        assert ("city_conflict" in r["reasons"], "conflicting_exact_date" in r["reasons"]) == (a % 2 != b % 2, a % 3 != b % 3)
         conflicts += a % 6 != b % 6
         assert a % 6 == b % 6 or r["kind"] != "same_event"
     assert conflicts
-    agreed = {(r["candidate_id_a"], r["candidate_id_b"], r["kind"]) for r in got if not {"city_conflict", "start_date_conflict"} & set(r["reasons"])}
+    agreed = {(r["candidate_id_a"], r["candidate_id_b"], r["kind"]) for r in got if not {"city_conflict", "conflicting_exact_date", "distinctive_title_conflict"} & set(r["reasons"])}
     assert agreed == set(map(tuple, QUERIES["e_pair_decisions"](spark, FOLDER).collect()))
