@@ -14,6 +14,7 @@ LETTERS_FROM = "يىكةأإآٱ"
 LETTERS_TO = "ییکهاااا"
 FOLDED_FROM, FOLDED_TO = "يىك", "ییک"
 HIDDEN = "\u200c\u200b\u200d\u200e\u200f\ufeff\u00a0\u2066\u2067\u2068\u2069"
+DISPLAY_EDGE = "^[ «»“”\"،,.؛:]+|[ «»“”\"،,.؛:]+$"
 PERSIAN_DIGITS = "۰۱۲۳۴۵۶۷۸۹"
 GENERIC_TITLE = (
     "event", "events", "workshop", "concert", "exhibition", "festival", "the", "a", "an", "of", "and", "in", "at", "for",
@@ -92,9 +93,17 @@ def detect_language(text: Column) -> Column:
     return F.when(persian > latin, "fa").when(latin > persian, "en")
 
 
+@F.pandas_udf(StringType())
+def composed(text: pd.Series) -> pd.Series:
+    """NFC, for text beyond ASCII."""
+    return text.str.normalize("NFC")
+
+
 def display_text(text: Column) -> Column:
-    plain = F.regexp_replace(F.translate(text, "يك", "یک"), r"[\p{Cf}&&[^‌]]", "")
-    return F.regexp_replace(F.trim(F.regexp_replace(plain, r"\s+", " ")), "^[\"'«»“”]+|[\"'«»“”]+$", "")
+    """Spelling for display: NFC, Persian letters, no format characters but the non-joiner, blanks collapsed, quotes and stops at the ends dropped."""
+    whole = F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(composed(text))
+    plain = F.regexp_replace(F.translate(whole, "يك", "یک"), r"[\p{Cf}&&[^\u200c]]", "")
+    return F.regexp_replace(F.regexp_replace(plain, r"(?U)\s+", " "), DISPLAY_EDGE, "")
 
 
 def agreement_key(text: Column) -> Column:
@@ -102,10 +111,13 @@ def agreement_key(text: Column) -> Column:
 
 
 def near_word(a: Column, b: Column, noisy: Column) -> Column:
-    """Equal, one character longer, or, where readings are noisy, one substitution in a word of four or more."""
-    longer = (F.abs(F.char_length(a) - F.char_length(b)) == 1) & (a.startswith(b) | b.startswith(a))
-    swapped = noisy & (F.char_length(a) == F.char_length(b)) & (F.char_length(a) >= 4) & (F.levenshtein(a, b) == 1)
-    return (a == b) | longer | swapped
+    """Does a reading ``a`` render the word ``b``: equal, one more character at its end, or, where readings are noisy, one letter beyond ASCII for another in a word of four or more."""
+    extra = F.char_length(a) == F.char_length(b) + 1
+    cut = F.when(extra, F.substring(a, F.lit(1), F.char_length(b))).otherwise(a)
+    pairs = F.filter(F.arrays_zip(F.split(cut, "").alias("x"), F.split(b, "").alias("y")), lambda p: p["x"] != p["y"])
+    letters = F.forall(pairs, lambda p: p["x"].rlike(r"^[\p{L}&&[^\x00-\x7F]]$") & p["y"].rlike(r"^[\p{L}&&[^\x00-\x7F]]$"))
+    swapped = noisy & (F.char_length(cut) == F.char_length(b)) & (F.char_length(b) >= 4) & (F.size(pairs) == 1) & letters
+    return (a == b) | (extra & a.startswith(b)) | swapped
 
 
 def string_form(value: Column) -> Column:
@@ -117,14 +129,34 @@ def string_form(value: Column) -> Column:
 
 
 def quality(text: Column) -> dict[str, Column]:
-    """Ratios of letters and words, stray letters, the score, and the first rule that speaks against a reading."""
-    n = F.regexp_count(text, F.lit(r"\S"))
-    letters = F.regexp_count(text, F.lit(r"[\p{L}\p{N}]")) / n
-    parts = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    words = F.size(F.filter(parts, lambda w: w.rlike(r"[\p{L}\p{N}]{2}"))) / F.size(parts)
-    score = F.bround(0.5 * letters + 0.5 * words, 3)
-    reason = F.when(n == 0, "empty").when(letters < 0.5, "mostly_symbols").when(words < 0.5, "fragmented").otherwise("usable")
-    return {"letter_ratio": F.bround(F.coalesce(letters, F.lit(0.0)), 3), "word_ratio": F.bround(F.coalesce(words, F.lit(0.0)), 3), "score": F.coalesce(score, F.lit(0.0)), "verdict": reason}
+    """Ratios of letters and of words, the score, and the first rule that speaks against a reading, or plausible.
+
+    Short Latin fragments speak against a text that is mostly Persian; a line
+    without a word, or with as many of them as Persian words, is noisy.
+    """
+    marks = "[\u200c\u200e\u200f\u2066\u2067\u2068\u2069]"
+    value = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", ""))
+    split = lambda x: F.filter(F.transform(F.split(x, r"\s+"), lambda t: F.regexp_replace(t, f"^{marks}+|{marks}+$", "")), lambda t: t != "")
+    word = lambda t: t.rlike(r"(?s)\p{L}.*\p{L}")
+    persian = lambda t: t.rlike("[\u0600-\u06ff]")
+    fragment = lambda t: t.rlike("[A-Za-z]") & ~persian(t) & (F.char_length(t) <= 3)
+    share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    tokens = split(value)
+    seen = F.regexp_replace(value, rf"\s|{marks}", "")
+    letters = share(F.regexp_count(seen, F.lit(r"\p{L}")), F.char_length(seen))
+    words = share(F.size(F.filter(tokens, word)), F.size(tokens))
+    mostly = F.regexp_count(seen, F.lit("[\\p{L}&&[\u0600-\u06ff]]")) > F.regexp_count(seen, F.lit("[A-Za-z]"))
+    stray = F.size(F.filter(tokens, fragment))
+    lines = F.filter(F.split(value, r"\r\n|[\n\x0b\f\r\u0085\u2028\u2029]"), lambda x: x.rlike(r"\S"))
+    few = lambda own: (F.size(F.filter(own, word)) == 0) | (mostly & F.exists(own, fragment) & (F.size(F.filter(own, fragment)) >= F.size(F.filter(own, lambda t: word(t) & persian(t)))))
+    noisy = F.size(F.filter(lines, lambda x: few(split(x))))
+    noise = share(noisy, F.size(lines))
+    score = F.greatest(F.lit(0.0), F.bround(0.5 * letters + 0.5 * words - F.when(mostly, share(stray, F.size(tokens))).otherwise(0.0) - 0.5 * noise, 3))
+    reason = (
+        F.when(value == "", "empty").when(letters < 0.5, "mostly_symbols").when(words < 0.5, "fragmented")
+        .when(mostly & (stray >= 3) & (share(stray, F.size(tokens)) >= 0.15), "mixed_script_noise").when((noisy >= 2) & (noise >= 0.3), "noisy_lines").otherwise("plausible")
+    )
+    return {"letter_ratio": F.bround(letters, 3), "word_ratio": F.bround(words, 3), "score": F.when(value == "", 0.0).otherwise(score), "verdict": reason}
 
 
 def clip(text: Column, most: int) -> Column:

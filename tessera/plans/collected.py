@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import dates, net, phrases, temporal
+from tessera.functions import analysis, dates, net, phrases, temporal
 from tessera.functions import text as texts
 from tessera.operators import readings, registry
 from tessera.plans.registry import query
@@ -101,3 +101,33 @@ def media_paths(t):
 def structured_occurrence(t):
     kind = F.when(F.col("event_type") == "view", "date").when(F.col("event_type") == "click", "time").when(F.col("event_type") == "purchase", "price").otherwise("other")
     return readings.structured_occurrence(t.events.withColumn("kind", kind), F.col("user_id")).withColumnRenamed("slot", "user_id")
+
+
+def bilingual():
+    """Announcements in two languages, made of an order's number and status."""
+    k, name = F.col("o_orderkey") % 6, F.col("o_orderstatus")
+    return (
+        F.when(k == 0, F.concat(F.lit("کارگاه «"), name, F.lit("»\nپنجشنبه ۵ آبان ساعت ۱۸\nثبت نام کنید")))
+        .when(k == 1, F.concat(F.lit("گالری "), name, F.lit("\nساعات کاری: هر روز 10:00")))
+        .when(k == 2, "کارگاه سفال هفته گذشته برگزار شد")
+        .when(k == 3, F.concat(F.lit('Concert "'), name, F.lit('" on friday 7 pm, tickets for free')))
+        .when(k == 4, F.concat(F.lit("کلاسیک رویدادهای "), name))
+        .otherwise("An exhibition. https://x.example/register/ticket")
+    )
+
+
+@query("x_classify_bilingual", "select o_orderkey, case o_orderkey % 6 when 0 then 'event' when 1 then 'place' when 3 then 'event' else 'other' end kind, case o_orderkey % 6 when 2 then 'non_event: retrospective_without_new_attendance' end guard from orders")
+def classify_bilingual(t):
+    rows = t.orders.select("o_orderkey", bilingual().alias("txt")).withColumn("s", analysis.signals(F.col("txt")))
+    return rows.select("o_orderkey", analysis.classify(F.col("txt"), F.col("s")).alias("kind"), analysis.guard(F.col("txt")).alias("guard"))
+
+
+_KINDS = """select o_orderkey, case o_orderkey % 6 when 0 then 'attendance,date,event_strong,named_event,time' when 1 then 'place_context,place_term,time' when 2 then 'event_strong,retrospective' when 3 then 'date,event_strong,named_event,price,registration,time' when 5 then 'event_strong,url' else '' end kinds,
+  case o_orderkey % 6 when 0 then 7.5 when 1 then 1.0 when 2 then -2.0 when 3 then 8.5 when 5 then 2.0 else 0.0 end::double event_score from orders"""
+
+
+@query("x_signals", _KINDS)
+def signals_of(t):
+    """Kinds of signals and the score of an event; where one stands is tested on hand-made lines."""
+    rows = t.orders.select("o_orderkey", analysis.signals(bilingual()).alias("s"))
+    return rows.select("o_orderkey", F.array_join(F.array_sort(F.array_distinct(F.transform("s", lambda x: x["kind"]))), ",").alias("kinds"), analysis.score(F.col("s"))[0].cast("double").alias("event_score"))

@@ -81,10 +81,9 @@ def lines(t):
     return t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "x")).select("doc_id", "line", F.sha2("x", 256).alias("line_hash"))
 
 
-@query("t_display_text", "select doc_id, sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))) display_hash from documents where not regexp_matches(text, '^\\s*[\"''«»“”]|[\"''«»“”]\\s*$')")
+@query("t_display_text", "select doc_id, sha256(regexp_replace(regexp_replace(nfc_normalize(text), '\\s+', ' ', 'g'), '^[ «»“”\",،.؛:]+|[ «»“”\",،.؛:]+$', '', 'g')) display_hash from documents")
 def display_text(t):
-    plain = t.documents.where(~F.col("text").rlike("^\\s*[\"'«»“”]|[\"'«»“”]\\s*$"))
-    return plain.select("doc_id", F.sha2(text.display_text(F.col("text")), 256).alias("display_hash"))
+    return t.documents.select("doc_id", F.sha2(text.display_text(F.col("text")), 256).alias("display_hash"))
 
 
 @query("t_display_text_all")
@@ -103,12 +102,14 @@ def agreement_key(t):
     return t.documents.select("doc_id", F.sha2(text.agreement_key(F.col("text")), 256).alias("agreement_hash"))
 
 
-@query("t_near_word", "select c_custkey, c_mktsegment = x or (abs(length(c_mktsegment) - length(x)) = 1 and (starts_with(c_mktsegment, x) or starts_with(x, c_mktsegment))) or (c_custkey % 2 = 0 and length(c_mktsegment) = length(x) and length(x) >= 4 and levenshtein(c_mktsegment, x) = 1) near from (select *, case c_custkey % 4 when 0 then substr(c_mktsegment, 1, length(c_mktsegment) - 1) when 1 then c_mktsegment when 2 then substr(c_mktsegment, 1, length(c_mktsegment) - 1) || '#' else 'zz' end x from customer)")
+@query("t_near_word", "select c_custkey, c_custkey % 4 in (0, 1) or c_custkey % 8 = 2 near from customer")
 def near_word(t):
+    """Readings with one character more, the same, one letter for another beyond ASCII or not, and another word."""
     k, word = F.col("c_custkey"), F.col("c_mktsegment")
+    tail = F.expr("substr(c_mktsegment, 2)")
     cut = F.expr("substr(c_mktsegment, 1, length(c_mktsegment) - 1)")
-    other = F.when(k % 4 == 0, cut).when(k % 4 == 1, word).when(k % 4 == 2, F.concat(cut, F.lit("#"))).otherwise("zz")
-    return t.customer.select("c_custkey", text.near_word(word, other, k % 2 == 0).alias("near"))
+    other = F.when(k % 4 == 0, cut).when(k % 4 == 1, word).when(k % 8 == 2, F.concat(F.lit("ü"), tail)).when(k % 8 == 6, F.concat(F.lit("z"), tail)).otherwise("zz")
+    return t.customer.select("c_custkey", text.near_word(F.when(k % 4 == 2, F.concat(F.lit("é"), tail)).otherwise(word), other, k % 2 == 0).alias("near"))
 
 
 @query("t_string_form", "select form, count(*) n from (select case when regexp_matches(v, '^[0-9]+$') then 'integer' when regexp_matches(v, '^[0-9]+\\.[0-9]+$') then 'decimal' when regexp_matches(v, '^[0-9]{4}-[0-9]{2}-[0-9]{2}') then 'date' when regexp_matches(v, '^[A-Za-z0-9_-]+$') then 'token' else 'text' end form from (select case o_orderkey % 4 when 0 then o_orderkey::varchar when 1 then o_orderstatus when 2 then strftime(o_orderdate, '%Y-%m-%d') else o_orderpriority || ' !' end v from orders)) group by 1")
@@ -131,7 +132,12 @@ def meaningful(t):
     return t.documents.select("doc_id", text.meaningful(F.col("text")).alias("meaningful"))
 
 
-@query("s_text_quality", "with q as (select doc_id, length(regexp_replace(text, '\\s', '', 'g')) n, len(regexp_extract_all(text, '[\\p{L}\\p{N}]')) l, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') p from documents), r as (select doc_id, n, l / n lr, len(list_filter(p, lambda w: regexp_matches(w, '[\\p{L}\\p{N}]{2}'))) / len(p) wr from q) select doc_id, case when n = 0 then 'empty' when lr < 0.5 then 'mostly_symbols' when wr < 0.5 then 'fragmented' else 'usable' end verdict from r")
+_QUALITY = """with q as (select doc_id, text, regexp_replace(text, '\\s', '', 'g') v, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') p, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '\\S')) ls from documents),
+r as (select doc_id, v, length(regexp_replace(v, '[^\\p{L}]', '', 'g')) / nullif(length(v), 0) lr, len(list_filter(p, lambda w: regexp_matches(w, '\\p{L}.*\\p{L}'))) / nullif(len(p), 0) wr, len(ls) n, len(list_filter(ls, lambda l: not regexp_matches(l, '\\p{L}\\S*\\p{L}'))) noisy from q)
+select doc_id, case when v = '' then 'empty' when lr < 0.5 then 'mostly_symbols' when wr < 0.5 then 'fragmented' when noisy >= 2 and noisy / n >= 0.3 then 'noisy_lines' else 'plausible' end verdict from r"""
+
+
+@query("s_text_quality", _QUALITY)
 def text_quality(t):
     return t.documents.select("doc_id", text.quality(F.col("text"))["verdict"].alias("verdict"))
 

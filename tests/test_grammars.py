@@ -6,7 +6,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import dates, net, phrases
+from tessera.functions import analysis, dates, net, phrases
 from tessera.operators import jobs, readings, registry
 from tessera.sources import pages, sinks
 from tessera.streaming import logs
@@ -181,3 +181,17 @@ def test_streams_equal_their_batch_twins(spark, tmp_path):
     assert sorted(r.event_id for r in got) == [1, 2, 3, 4, 5, 6, 7, 8]
     got = stream(spark, tmp_path, rows, logs.pending, "asked")
     assert sorted((r.user_id, r.event_id, r.outcome) for r in got) == [(2, 2, "answered"), (3, 5, "expired")]
+
+
+def test_signals_are_claimed_in_order():
+    def kinds(text):
+        return [(k, text[a:b]) for k, _, a, b in analysis.analyze(text)]
+
+    assert kinds("کارگاه سفال برگزار شد") == [("event_strong", "کارگاه"), ("retrospective", "برگزار شد")]
+    assert kinds("۳ ساعت کلاس") == [("event_weak", "کلاس")] and ("time", "ساعت") in kinds("ساعت ۱۷")
+    assert kinds("دی") == [] and ("date", "دی") in kinds("5 دی") and kinds("may be") == []
+    assert kinds("هر روز خوب") == [] and ("place_context", "هر روز") in kinds("هر روز 10:00") and ("place_context", "هر روز") in kinds("ساعات کاری هر روز")
+    assert kinds("https://a.example/register.") == [("url", "https://a.example/register")] and kinds("register") == [("registration", "register")]
+    assert ("named_event", "Clay") in kinds('workshop "Clay" today') and not any(k == "named_event" for k, _ in kinds('workshop of "Clay"'))
+    assert kinds("opening night") == [("event_strong", "opening night")] and kinds("کلاسیک") == [] == kinds("") == analysis.analyze(None)
+    assert ("date", "1404/06/19") in kinds("1404/06/19") and ("date", "مهرماه") in kinds("3 مهرماه")

@@ -184,21 +184,20 @@ FOLDER = "/root/testdata/sf0.001"
 
 def test_text_queries_cover_every_document(spark):
     import hashlib
-    import re
     import unicodedata
 
     from tessera.plans.queries import QUERIES
 
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
-    folded = str.maketrans(text.DIGITS_FROM + text.LETTERS_FROM + "‌", text.DIGITS_TO + text.LETTERS_TO + " ")
+    folded = str.maketrans(text.DIGITS_FROM + text.FOLDED_FROM + "‌", text.DIGITS_TO + text.FOLDED_TO + " ")
 
     def key(t):
         t = "".join(c for c in unicodedata.normalize("NFKC", t).translate(folded) if unicodedata.category(c) != "Cf").lower()
         return " ".join("".join(c if unicodedata.category(c)[0] in "LN" else " " for c in t).split())
 
     def display(t):
-        t = "".join(c for c in t.translate(str.maketrans("يك", "یک")) if c == "‌" or unicodedata.category(c) != "Cf")
-        return re.sub("^[\"'«»“”]+|[\"'«»“”]+$", "", re.sub(r"[ \t\n\x0b\f\r]+", " ", t).strip(" "))
+        t = "".join(c for c in unicodedata.normalize("NFC", t).translate(str.maketrans("يك", "یک")) if c == "‌" or unicodedata.category(c) != "Cf")
+        return " ".join(t.split()).strip(' «»“”"،,.؛:')
 
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").collect()
     assert any(r["lang"] != "en" for r in docs)
@@ -259,3 +258,14 @@ def test_pair_decisions_keep_conflicts(spark):
     assert conflicts
     agreed = {(r["candidate_id_a"], r["candidate_id_b"], r["kind"]) for r in got if not {"city_conflict", "conflicting_exact_date", "distinctive_title_conflict"} & set(r["reasons"])}
     assert agreed == set(map(tuple, QUERIES["e_pair_decisions"](spark, FOLDER).collect()))
+
+
+def test_quality_of_readings(spark):
+    def verdict(line):
+        got = text.quality(F.lit(line))
+        return tuple(one(spark, got["verdict"], got["score"]))
+
+    assert verdict("") == verdict(None) == ("empty", 0.0) and verdict("1 2 3 %%%")[0] == "mostly_symbols" and verdict("a b c dd")[0] == "fragmented"
+    assert verdict("Open workshop on clay") == ("plausible", 1.0)
+    assert verdict("کارگاه ae سفال fal و نقاشی xy برای کودکان شهر") == ("mixed_script_noise", 0.65)
+    assert verdict("کارگاه سفال\n12 34\n--\nنقاشی برای کودکان و بزرگسالان شهر شیراز")[0] == "noisy_lines"
