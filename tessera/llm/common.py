@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -25,10 +26,13 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the session names in spark.checkpoint.dir; there is no other choice, as a local one would not be shared."""
+    """The shared folder the session names in spark.checkpoint.dir; where it is unset and all run in one process, as in tests, one of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file:" + tempfile.mkdtemp(prefix="scratch-")
+        spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
