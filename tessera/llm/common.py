@@ -134,7 +134,7 @@ def files_for(size: int, bytes_each: int = 16 << 20, least: int = 12) -> int:
     return max(least, -(-size // bytes_each))
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str, chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each has about ``chars`` bytes of ``column`` at most, or a single row."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

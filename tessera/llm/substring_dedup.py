@@ -140,7 +140,7 @@ def repeated_windows(read: DataFrame, width: int, n: int) -> DataFrame:
     """
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", 4_000_000):
             found = Words(batch.column("_text"))
             owner, place = found.starts(width)
             if not len(owner):
