@@ -268,3 +268,47 @@ def test_quality_of_readings(spark):
     assert verdict("Open workshop on clay") == ("plausible", 1.0)
     assert verdict("کارگاه ae سفال fal و نقاشی xy برای کودکان شهر") == ("mixed_script_noise", 0.65)
     assert verdict("کارگاه سفال\n12 34\n--\nنقاشی برای کودکان و بزرگسالان شهر شیراز")[0] == "noisy_lines"
+
+
+def test_relevance_at_an_instant(spark):
+    from tessera.operators import schedules
+
+    fields = "occurrence_id string, start_date date, end_date date, start_time string, end_time string, timezone string, date_precision string, starts_at timestamp, ends_at timestamp"
+    sessions = ", ".join(f.replace(" ", ":", 1) for f in fields.split(", "))
+    schema = f"{fields.partition(', ')[2]}, name string, status string, schedule_kind string, recurrence_rule string, diagnostics array<struct<code:string,field:string>>, occurrences array<struct<{sessions},diagnostics:array<string>>>"
+    day = lambda m, d: datetime.date(2026, m, d)
+    base = {"end_date": None, "start_time": None, "end_time": None, "timezone": "Asia/Tehran", "date_precision": "day", "starts_at": None, "ends_at": None, "status": "unknown", "schedule_kind": "single", "recurrence_rule": None, "diagnostics": None, "occurrences": None}
+    sitting = lambda i, at, **x: {"occurrence_id": i, "start_date": at, "end_date": None, "start_time": None, "end_time": None, "timezone": "Asia/Tehran", "date_precision": "day", "starts_at": None, "ends_at": None, "diagnostics": None} | x
+    review, shape = "needs_schedule_review", ["unverified_shape_timeslot"]
+    cases = [
+        ("yesterday", {"start_date": day(10, 21)}, "expired", "last_date_passed"),
+        ("today", {"start_date": day(10, 22)}, "actionable", "ongoing_or_upcoming"),
+        ("over", {"start_date": day(10, 22), "start_time": "10:00", "end_time": "12:00"}, "expired", "supported_end_reached"),
+        ("tonight", {"start_date": day(10, 22), "start_time": "18:00", "end_time": "20:00"}, "actionable", "ongoing_or_upcoming"),
+        ("closed", {"start_date": day(10, 20), "end_date": day(10, 22), "end_time": "14:00"}, "expired", "supported_end_reached"),
+        ("ongoing", {"start_date": day(10, 20), "end_date": day(10, 25), "ends_at": datetime.datetime(2026, 10, 1)}, "actionable", "ongoing_or_upcoming"),
+        ("last day", {"start_date": day(11, 5)}, "actionable", "ongoing_or_upcoming"),
+        ("after", {"start_date": day(11, 6)}, "beyond_horizon", "starts_after_horizon"),
+        ("before midnight there", {"start_date": day(11, 6), "starts_at": datetime.datetime(2026, 11, 5, 20, 29)}, "actionable", "ongoing_or_upcoming"),
+        ("reversed", {"start_date": day(10, 25), "end_date": day(10, 23)}, review, "reversed_date_range"),
+        ("undated", {"start_date": None}, review, "unresolved_date_or_clock"),
+        ("doubt", {"start_date": day(10, 25), "diagnostics": [("conflicting_dates", "temporal")]}, review, "unresolved_date_or_clock"),
+        ("price", {"start_date": day(10, 25), "diagnostics": [("ambiguous_price", "price_text")]}, "actionable", "ongoing_or_upcoming"),
+        ("cancelled", {"start_date": day(10, 25), "status": "cancelled"}, "otherwise_excluded", "explicit_cancelled"),
+        ("conflict", {"start_date": day(10, 25), "schedule_kind": "conflict"}, review, "conflicting_schedule"),
+        ("weekly", {"start_date": day(10, 25), "recurrence_rule": "FREQ=WEEKLY"}, review, "recurrence_without_verified_instances"),
+        ("overnight", {"start_date": day(10, 25), "start_time": "22:00", "end_time": "02:00"}, review, "unresolved_overnight_clock"),
+        ("hours", {"start_date": day(10, 25), "end_date": day(10, 28), "start_time": "22:00", "end_time": "02:00"}, review, "unresolved_range_hours"),
+        ("nowhere", {"start_date": day(10, 25), "timezone": "Mars/Base"}, review, "unknown_timezone"),
+        ("twice", {"start_date": day(10, 25), "end_time": "02:30", "timezone": "Europe/Berlin"}, review, "ambiguous_end_time"),
+        ("stale", {"start_date": day(10, 25), "status": "expired"}, review, "expired_status_conflicts_with_schedule"),
+        ("some left", {"start_date": None, "occurrences": [sitting("a", day(10, 20)), sitting("b", day(10, 23)), sitting("c", day(11, 20))]}, "actionable", "supported_occurrences_in_window"),
+        ("later ones", {"start_date": None, "occurrences": [sitting("a", day(10, 20)), sitting("c", day(11, 20))]}, "beyond_horizon", "remaining_sessions_after_horizon"),
+        ("all gone", {"start_date": None, "occurrences": [sitting("a", day(10, 20), diagnostics=shape)]}, "expired", "all_sessions_ended"),
+        ("held", {"start_date": None, "occurrences": [sitting("a", day(10, 20)), sitting("b", day(10, 23), diagnostics=shape)]}, review, "unresolved_sessions"),
+    ]
+    rows = spark.createDataFrame([base | {"name": name} | more for name, more, _, _ in cases], schema)
+    r = schedules.relevance(F.struct(*(c for c in rows.columns if c != "name")), datetime.datetime(2026, 10, 22, 12, 0, tzinfo=datetime.UTC), 14)
+    got = {x["name"]: x["r"] for x in rows.select("name", r.alias("r")).collect()}
+    assert {k: (x.disposition, x.reason) for k, x in got.items()} == {name: (a, b) for name, _, a, b in cases}
+    assert got["some left"].occurrence_ids == ["b"] and [(s.occurrence_id, s.reason) for s in got["held"].sessions] == [("a", "last_date_passed"), ("b", "unverified_timeslot")]
