@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 # Digits and letters folded one for one, and separators that no reader sees.
 DIGITS_FROM = "۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩"
@@ -128,35 +130,49 @@ def string_form(value: Column) -> Column:
     )
 
 
-def quality(text: Column) -> dict[str, Column]:
+READING = StructType().add("letter_ratio", DoubleType()).add("word_ratio", DoubleType()).add("score", DoubleType()).add("verdict", StringType())
+UNSEEN = "\u200c\u200e\u200f\u2066\u2067\u2068\u2069"
+PERSIAN, LATIN = re.compile("[\u0600-\u06ff]"), re.compile("[A-Za-z]")
+
+
+def assess(text: str | None) -> tuple[float, float, float, str]:
     """Ratios of letters and of words, the score, and the first rule that speaks against a reading, or plausible.
 
     Short Latin fragments speak against a text that is mostly Persian; a line
     without a word, or with as many of them as Persian words, is noisy.
     """
-    marks = "[\u200c\u200e\u200f\u2066\u2067\u2068\u2069]"
-    value = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", ""))
-    split = lambda x: F.filter(F.transform(F.split(x, r"\s+"), lambda t: F.regexp_replace(t, f"^{marks}+|{marks}+$", "")), lambda t: t != "")
-    word = lambda t: t.rlike(r"(?s)\p{L}.*\p{L}")
-    persian = lambda t: t.rlike("[\u0600-\u06ff]")
-    fragment = lambda t: t.rlike("[A-Za-z]") & ~persian(t) & (F.char_length(t) <= 3)
-    share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    value = (text or "").strip()
+    if not value:
+        return 0.0, 0.0, 0.0, "empty"
+    split = lambda x: [t for w in x.split() if (t := w.strip(UNSEEN))]
+    word = lambda t: sum(map(str.isalpha, t)) >= 2
+    fragment = lambda t: len(t) <= 3 and LATIN.search(t) is not None and PERSIAN.search(t) is None
+    share = lambda n, of: n / of if of else 0.0
+    letters = [c for c in value if c.isalpha()]
+    seen = sum(not c.isspace() and c not in UNSEEN for c in value)
     tokens = split(value)
-    seen = F.regexp_replace(value, rf"\s|{marks}", "")
-    letters = share(F.regexp_count(seen, F.lit(r"\p{L}")), F.char_length(seen))
-    words = share(F.size(F.filter(tokens, word)), F.size(tokens))
-    mostly = F.regexp_count(seen, F.lit("[\\p{L}&&[\u0600-\u06ff]]")) > F.regexp_count(seen, F.lit("[A-Za-z]"))
-    stray = F.size(F.filter(tokens, fragment))
-    lines = F.filter(F.split(value, r"\r\n|[\n\x0b\f\r\u0085\u2028\u2029]"), lambda x: x.rlike(r"\S"))
-    few = lambda own: (F.size(F.filter(own, word)) == 0) | (mostly & F.exists(own, fragment) & (F.size(F.filter(own, fragment)) >= F.size(F.filter(own, lambda t: word(t) & persian(t)))))
-    noisy = F.size(F.filter(lines, lambda x: few(split(x))))
-    noise = share(noisy, F.size(lines))
-    score = F.greatest(F.lit(0.0), F.bround(0.5 * letters + 0.5 * words - F.when(mostly, share(stray, F.size(tokens))).otherwise(0.0) - 0.5 * noise, 3))
-    reason = (
-        F.when(value == "", "empty").when(letters < 0.5, "mostly_symbols").when(words < 0.5, "fragmented")
-        .when(mostly & (stray >= 3) & (share(stray, F.size(tokens)) >= 0.15), "mixed_script_noise").when((noisy >= 2) & (noise >= 0.3), "noisy_lines").otherwise("plausible")
-    )
-    return {"letter_ratio": F.bround(letters, 3), "word_ratio": F.bround(words, 3), "score": F.when(value == "", 0.0).otherwise(score), "verdict": reason}
+    persian = sum(PERSIAN.match(c) is not None for c in letters) > sum(LATIN.match(c) is not None for c in letters)
+    letter_ratio, word_ratio = share(len(letters), seen), share(sum(map(word, tokens)), len(tokens))
+    stray = sum(map(fragment, tokens))
+    noisy, lines = 0, [split(x) for x in value.splitlines() if x.strip()]
+    for own in lines:
+        words, strays = [t for t in own if word(t)], sum(map(fragment, own))
+        noisy += not words or (persian and 0 < strays >= sum(PERSIAN.search(t) is not None for t in words))
+    noise, strayed = share(noisy, len(lines)), share(stray, len(tokens))
+    score = max(0.0, round(0.5 * letter_ratio + 0.5 * word_ratio - (strayed if persian else 0.0) - 0.5 * noise, 3))
+    rules = {"mostly_symbols": letter_ratio < 0.5, "fragmented": word_ratio < 0.5, "mixed_script_noise": persian and stray >= 3 and strayed >= 0.15, "noisy_lines": noisy >= 2 and noise >= 0.3, "plausible": True}
+    return round(letter_ratio, 3), round(word_ratio, 3), score, next(k for k, on in rules.items() if on)
+
+
+@F.pandas_udf(READING)
+def _assessed(text: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame(list(map(assess, text)), columns=READING.names)
+
+
+def quality(text: Column) -> dict[str, Column]:
+    """``assess`` of each row, by field; Python's letters are those of every script, which no built-in function counts so."""
+    found = _assessed(text)
+    return {k: found[k] for k in READING.names}
 
 
 def clip(text: Column, most: int) -> Column:
