@@ -195,3 +195,26 @@ def test_signals_are_claimed_in_order():
     assert ("named_event", "Clay") in kinds('workshop "Clay" today') and not any(k == "named_event" for k, _ in kinds('workshop of "Clay"'))
     assert kinds("opening night") == [("event_strong", "opening night")] and kinds("کلاسیک") == [] == kinds("") == analysis.analyze(None)
     assert ("date", "1404/06/19") in kinds("1404/06/19") and ("date", "مهرماه") in kinds("3 مهرماه")
+
+
+def test_saved_pages_are_a_source(spark, tmp_path):
+    from tessera.sources import saved
+
+    folder = tmp_path / "pages"
+    folder.mkdir()
+    (folder / "a.html").write_text("<p>سلام", encoding="utf-8")
+    (folder / "b.html").write_bytes(b"\xff\xfe")
+    (folder / "c.htm").write_bytes(b"x" * (saved.LARGEST + 1))
+    (folder / "d.txt").write_text("no page")
+    saved.register(spark)
+    rows = spark.read.format("saved_pages").option("each", 2).load(str(folder)).collect()
+    assert sorted((r.path.rpartition("/")[2], r.status, r.html) for r in rows) == [("a.html", "ok", "<p>سلام"), ("b.html", "encoding", None), ("c.htm", "too_large", None)]
+
+
+def test_strict_logs_refuse_bad_lines(spark, tmp_path):
+    from tessera.sources import jsonl
+
+    path = tmp_path / "log.jsonl"
+    path.write_text('{"id":"a","raw_text":"1","captured_at":"2026-01-01T00:00:00Z","seq":1}\nnot json\n')
+    with pytest.raises(Exception, match="MALFORMED|[Mm]alformed|PARSE"):
+        jsonl.read(spark, str(path), strict=True).collect()
