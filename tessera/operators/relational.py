@@ -66,3 +66,15 @@ def interval_relation(start: Column, stop: Column, outer_start: Column, outer_st
 def three_way(baseline: Column, current: Column, incoming: Column) -> Column:
     """skipped if the incoming value brings nothing, conflict if the current one moved meanwhile, else apply."""
     return F.when(incoming.eqNullSafe(baseline) | incoming.eqNullSafe(current), "skipped").when(~current.eqNullSafe(baseline), "conflict").otherwise("apply")
+
+
+def compared(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """(missing, extra): how many expected rows are not there, and how many are that are not expected; equal rows count each, and nulls are equal.
+
+    One aggregate over both, so nothing is compared pairwise.
+    """
+    names = expected.columns
+    both = expected.withColumn("_n", F.lit(1)).unionByName(actual.withColumn("_n", F.lit(-1)))
+    left = both.groupBy(*names).agg(F.sum("_n").alias("_n"))
+    side = lambda n, name: F.coalesce(F.sum(F.greatest(n, F.lit(0))), F.lit(0)).cast("long").alias(name)
+    return left.agg(side(F.col("_n"), "missing"), side(-F.col("_n"), "extra"))

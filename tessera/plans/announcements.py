@@ -137,7 +137,10 @@ def tiered_merge(t):
 @query("x_city_lookup", "select s_suppkey, n_name city from supplier join nation on n_nationkey = s_nationkey")
 def city_lookup(t):
     said = t.supplier.join(t.nation, F.col("n_nationkey") == F.col("s_nationkey")).select("s_suppkey", F.concat(F.lit("Office in "), "n_name", F.lit(", ground floor")).alias("line"))
-    return said.join(t.nation, F.rlike(F.lower("line"), F.concat(F.lit(r"\bin "), F.lower("n_name"), F.lit(r"\b")))).select("s_suppkey", F.col("n_name").alias("city"))
+    words = F.filter(F.split(F.lower("line"), r"[\s,]+"), lambda w: w != "")
+    runs = F.flatten(F.transform(F.sequence(F.lit(2), F.lit(4)), lambda n: F.transform(F.sequence(F.lit(1), F.size("w")), lambda k: F.array_join(F.slice("w", k, n), " "))))
+    grams = said.withColumn("w", words).select("s_suppkey", F.explode(F.array_distinct(runs)).alias("gram"))
+    return grams.join(t.nation.select("n_name", F.concat(F.lit("in "), F.lower("n_name")).alias("gram")), "gram").select("s_suppkey", F.col("n_name").alias("city"))
 
 
 @query("x_category_map", f"with {SQL} select id, case when kind = 'other' then null when starts_with(txt, 'Workshop ') then 'education' when starts_with(txt, 'Cafe ') then 'food' end category from c")

@@ -13,7 +13,9 @@ def allows(pages: DataFrame, rules: DataFrame) -> DataFrame:
     characters, and $ at the end for the end of the path.
     """
     form = F.regexp_replace(F.regexp_replace("rule", r"([.+?()\[\]{}|^\\])", r"\\$1"), r"\*", ".*")
-    rules = rules.select(F.concat(F.lit("^"), form).alias("_form"), F.col("allow").alias("_allow"), F.char_length("rule").alias("_n"))
+    rule = F.struct(F.char_length("rule").alias("n"), F.col("allow").alias("allow"), F.concat(F.lit("^"), form).alias("form"))
+    group = rules.agg(F.collect_list(rule).alias("_rules"))  # one row: the rules of one group, which come from one file
     path = F.coalesce(F.try_parse_url(F.col("url"), F.lit("PATH")), F.lit(""))
-    joined = pages.select("page_id", path.alias("_path")).join(rules, F.expr("_path rlike _form"), "left")
-    return joined.groupBy("page_id").agg(F.coalesce(F.max_by("_allow", F.struct("_n", "_allow")), F.lit(True)).alias("allowed"))
+    best = F.array_max(F.transform(F.filter("_rules", lambda r: F.rlike(F.col("_path"), r["form"])), lambda r: F.struct(r["n"], r["allow"])))
+    rows = pages.select("page_id", path.alias("_path")).crossJoin(F.broadcast(group))
+    return rows.select("page_id", F.coalesce(best["allow"], F.lit(True)).alias("allowed"))
