@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, language, near_dedup, packing, pseudonyms, quality, secrets, substring_dedup, token_counts
+from tessera.llm import chat, clustering, decontaminate, interactions, language, near_dedup, packing, pseudonyms, quality, secrets, substring_dedup, token_counts
 from tessera.llm.common import documents
 
 #: The key of the registered query; a deployment passes its own.
@@ -67,6 +67,16 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(written(of("assign", "access", "hex")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
+def op11_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, centres = clustering.cluster_vectors(documents(spark, sf_dir, "embeddings"), k=16, rounds=3)
+    digests = F.array(*(F.sha2(F.lit(",".join(map(str, c))), 256) for c in centres.tolist())) if len(centres) else F.array().cast("array<string>")
+    return rows.withColumn("centroid_sha256", digests[F.col("cluster")])
+
+
+def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audit_documents(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_decontamination": op2_decontamination,
@@ -78,5 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_line_frequency_quality": op9_line_frequency_quality,
     "op10_secret_scan": op10_secret_scan,
+    "op11_sort_means": op11_sort_means,
+    "op13_filter_interactions": op13_filter_interactions,
 }
-ORACLES: dict[str, str] = {"op9_line_frequency_quality": quality.ORACLE}
+ORACLES: dict[str, str] = {"op9_line_frequency_quality": quality.ORACLE, "op11_sort_means": clustering.ORACLE, "op13_filter_interactions": interactions.ORACLE}
