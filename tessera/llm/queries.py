@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, clustering, decontaminate, interactions, language, near_dedup, packing, pseudonyms, quality, secrets, substring_dedup, token_counts
+from tessera.llm import chat, clustering, decontaminate, interactions, jaccard_join, language, near_dedup, packing, pseudonyms, quality, secrets, substring_dedup, token_counts
 from tessera.llm.common import documents
 
 #: The key of the registered query; a deployment passes its own.
@@ -73,6 +73,10 @@ def op11_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("centroid_sha256", digests[F.col("cluster")])
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked(documents(spark, sf_dir), width=4, percent=85)
+
+
 def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interactions.audit_documents(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_frequency_quality": op9_line_frequency_quality,
     "op10_secret_scan": op10_secret_scan,
     "op11_sort_means": op11_sort_means,
+    "op12_jaccard_join": op12_jaccard_join,
     "op13_filter_interactions": op13_filter_interactions,
 }
-ORACLES: dict[str, str] = {"op9_line_frequency_quality": quality.ORACLE, "op11_sort_means": clustering.ORACLE, "op13_filter_interactions": interactions.ORACLE}
+ORACLES: dict[str, str] = {"op9_line_frequency_quality": quality.ORACLE, "op11_sort_means": clustering.ORACLE, "op12_jaccard_join": jaccard_join.ORACLE, "op13_filter_interactions": interactions.ORACLE}
