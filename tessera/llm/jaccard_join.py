@@ -7,6 +7,10 @@ its first n - need + l shingles, need being the least overlap of any link; two
 sets are compared only if they share as many posted shingles as the smaller of
 their two l.  A larger l costs longer lists and spares comparisons: each set
 takes the l at which the estimated sum of both is least.
+
+A meeting is not even counted where the parities of the two sets' shingles in
+256 classes differ in more classes than linked sets have shingles apart: every
+class that differs holds one such shingle at least, so this loses no link.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from tessera.llm.near_dedup import components, confirmed, full_sets, set_key, sh
 
 COUNTERS = 1 << 20  # the counts that order the shingles: 4 MB, however many documents
 LONGEST = 16  # matches that a set may ask for
+PARITY = [f"p{j}" for j in range(4)]  # a set's parities in 256 classes, 64 a column
 
 
 def occurrences(texts: DataFrame, width: int) -> np.ndarray:
@@ -65,20 +70,25 @@ def matches(others: np.ndarray, n: int, need: int) -> int:
     return 1 + int(np.argmin(read * (1 + 2 * n / l) + l))
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    return np.packbits((np.bincount((found & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view("<i8")
+
+
 def prefixed(texts: DataFrame, width: int, percent: int, table) -> DataFrame:
-    """(doc, n, node, weight, l, prefix) per document: its set's name and size, how common its shingles are, and what it posts."""
+    """(doc, n, node, weight, l, parities, prefix) per document: its set's name and size, how common its shingles are, and what it posts."""
     kind = texts.schema["_id"].dataType.simpleString()
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = table.value
         noise = int(np.median(often))  # of a counter: what other shingles put in
         for batch in slices(batches, "_text"):
-            sizes, node, weight, asked, prefix = [], [], [], [], []
+            sizes, node, weight, asked, odd, prefix = [], [], [], [], [], []
             for ids in Words(batch.column("_text"), lower=True).each():
                 found = shingles(ids, width)
                 n = len(found)
                 sizes.append(n)
                 node.append(set_key(found) if n else None)
+                odd.append(parities(found))
                 if not n:
                     weight.append(0.0), asked.append(0), prefix.append(found)
                     continue
@@ -88,17 +98,18 @@ def prefixed(texts: DataFrame, width: int, percent: int, table) -> DataFrame:
                 own = matches(np.maximum(count[order].astype(np.int64) - noise - 1, 0), n, need)
                 weight.append(float(count.mean())), asked.append(own), prefix.append(found[order[: n - need + own]])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in prefix])]).astype(np.int32)), pa.array(np.concatenate(prefix).view(np.int64)))
-            columns = [batch.column("_id"), pa.array(sizes, pa.int64()), pa.array(node, pa.binary()), pa.array(weight, pa.float64()), pa.array(asked, pa.int32()), lists]
-            yield pa.record_batch(columns, names=["doc", "n", "node", "weight", "l", "prefix"])
+            columns = [batch.column("_id"), pa.array(sizes, pa.int64()), pa.array(node, pa.binary()), pa.array(weight, pa.float64()), pa.array(asked, pa.int32()), *map(pa.array, np.stack(odd, axis=1)), lists]
+            yield pa.record_batch(columns, names=["doc", "n", "node", "weight", "l", *PARITY, "prefix"])
 
-    return texts.mapInArrow(lean(post), f"doc {kind}, n long, node binary, weight double, l int, prefix array<long>")
+    return texts.mapInArrow(lean(post), f"doc {kind}, n long, node binary, weight double, l int, {', '.join(f'{c} long' for c in PARITY)}, prefix array<long>")
 
 
 def near_enough(m: str, percent: int) -> Column:
-    """May the shingle at hand be one of the first l that the row and the set ``m`` have in common?"""
+    """May the shingle at hand be one of the first l that the row and the set ``m`` have in common, and the two be linked for all their parities tell?"""
     need = F.expr(f"({percent} * (n + {m}.n) + {99 + percent}) div {100 + percent}")
     l = F.least("l", f"{m}.l")  # noqa: E741
-    return (F.col("at") <= F.col("n") - need + l) & (F.col(f"{m}.at") <= F.col(f"{m}.n") - need + l)
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{m}.{c}"))) for c in PARITY), F.lit(0))
+    return (F.col("at") <= F.col("n") - need + l) & (F.col(f"{m}.at") <= F.col(f"{m}.n") - need + l) & (apart <= F.col("n") + F.col(f"{m}.n") - 2 * need)
 
 
 def met(pairs: DataFrame, often: Column) -> DataFrame:
@@ -108,7 +119,7 @@ def met(pairs: DataFrame, often: Column) -> DataFrame:
     return counted.where(F.col("times") >= often).select("a", "b")
 
 
-def linked(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = 2, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def linked(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = 1, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: (id, n_shingles, component_id), the least id that links reach from it, itself included.
 
     Documents link whose sets of ``width``-word shingles have 100 * intersection
@@ -129,13 +140,18 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = 2,
     texts = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text"))
     table = docs.sparkSession.sparkContext.broadcast(occurrences(texts, width))
     every = scratch.save(prefixed(texts, width, percent, table), "prefixes")
-    nodes = every.where("node is not null").groupBy("node").agg(F.min("doc").alias("doc"), F.any_value(F.struct("n", "weight", "l", "prefix")).alias("x")).select("node", "doc", "x.*")
-    nodes = scratch.save(nodes, "nodes")
+    held = ["n", "weight", "l", *PARITY]
+    full = every.where("node is not null").groupBy("node").agg(F.min("doc").alias("doc"), F.any_value(F.struct(*held, "prefix")).alias("x")).select("node", "doc", "x.*")
+    full = scratch.save(full, "full")
     every = scratch.save(every.select("doc", F.col("n").alias("n_shingles"), "node"), "every")
     scratch.drop("prefixes")
-    posted = nodes.select("node", "n", "l", "weight", F.posexplode("prefix").alias("at", "token")).withColumn("at", F.col("at") + 1)
+    posted = full.select("node", F.posexplode("prefix").alias("at", "token")).withColumn("at", F.col("at") + 1)
     several = posted.groupBy("token").agg(F.count("*").alias("_members")).where("_members > 1").select("token")
-    posted = scratch.save(posted.join(several, "token"), "postings")
+    shared = scratch.save(posted.join(several, "token"), "shared")
+    nodes = scratch.save(full.drop("prefix"), "nodes")
+    scratch.drop("full")
+    posted = scratch.save(shared.join(nodes.select("node", *held), "node"), "postings")
+    scratch.drop("shared")
     links, roots = None, None
     for turn in range(rounds + 1):
         rooted = posted.withColumn("root", F.col("node"))
@@ -144,7 +160,7 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = 2,
         if turn:  # lists in one component are done
             unlike = rooted.groupBy("token").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi").select("token")
             rooted = scratch.save(rooted.join(unlike, "token"), f"open-{turn}")
-        member = F.struct("node", "root", "n", "l", "at")
+        member = F.struct("node", "root", "n", "l", "at", *PARITY)
         if turn < rounds:
             first = F.struct("weight", "node") if turn == 0 else F.struct(F.xxhash64("node", "token", F.lit(turn)))
             middle = rooted.groupBy("token").agg(F.max_by(member, first).alias("m"))
