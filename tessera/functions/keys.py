@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -105,3 +107,60 @@ def safe_component(value: Column) -> Column:
 
 def slug(value: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(value), r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
+
+
+# Path segments of account pages.
+ACCOUNT = ("login", "logout", "signin", "signup", "auth", "account", "profile", "checkout", "tickets", "wallet", "admin")
+_ADDRESS = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#\\\s]*)([^?#]*)(\?[^#]*)?(#.*)?$"
+
+
+def _part(url: Column, k: int) -> Column:
+    return F.regexp_extract(url, _ADDRESS, k)
+
+
+def _without_dots(path: Column) -> Column:
+    """A path whose . and .. segments are resolved; none above the root."""
+    parts = F.split(path, "/")
+    step = lambda acc, p: F.when(p == ".", acc).when(p == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1)))).otherwise(F.concat(acc, F.array(p)))
+    done = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(F.lit("")), step)
+    ends = F.element_at(parts, -1).isin(".", "..")
+    return F.when(path == "", path).otherwise(F.concat(F.array_join(done, "/"), F.when(ends, "/").otherwise("")))
+
+
+def joined_address(href: Column, base: Column) -> Column:
+    """The absolute address that a link on a page names, without its fragment; null for white space or control characters in it."""
+    bare, scheme, place, path = F.regexp_replace(href, "#.*$", ""), _part(base, 1), _part(base, 2), _part(base, 3)
+    origin = F.concat(scheme, F.lit("://"), place)
+    folder = F.regexp_replace(F.when(path == "", "/").otherwise(path), "[^/]*$", "")
+    split = lambda whole: F.concat(_without_dots(F.regexp_extract(whole, r"^([^?]*)", 1)), F.regexp_extract(whole, r"^[^?]*(\?.*)?$", 1))
+    out = (
+        F.when(bare.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), bare).when(bare.startswith("//"), F.concat(scheme, F.lit(":"), bare)).when(bare == "", F.concat(origin, path, _part(base, 4)))
+        .when(bare.startswith("?"), F.concat(origin, path, bare)).when(bare.startswith("/"), F.concat(origin, split(bare))).otherwise(F.concat(origin, split(F.concat(folder, bare))))
+    )
+    return F.when(~href.rlike(r"[\s\x00-\x1f]"), out)
+
+
+def approved_address(url: Column, base: Column, drop: tuple[str, ...] = ()) -> Column:
+    """An address of the same scheme, host and port as ``base``, without fragment and tracking parameters, else null.
+
+    Also null: credentials, account pages, and paths that are encoded twice or
+    hold dots as segments, backslashes or control characters.
+    """
+    port = lambda u: F.coalesce(F.nullif(F.regexp_extract(_part(u, 2), r":([0-9]+)$", 1), F.lit("")), F.when(F.lower(_part(u, 1)) == "https", "443").otherwise("80"))
+    host_ = lambda u: F.lower(F.regexp_replace(_part(u, 2), r":[0-9]*$", ""))
+    same = (F.lower(_part(url, 1)) == F.lower(_part(base, 1))) & (host_(url) == host_(base)) & (port(url) == port(base))
+    plain = F.try_url_decode(F.replace(_part(url, 3), F.lit("+"), F.lit("%2B")))
+    refused = plain.isNull() | plain.rlike(r"[%\\\x00-\x1f]") | F.exists(F.split(F.lower(plain), "/"), lambda p: p.isin(*ACCOUNT, ".", ".."))
+    good = F.lower(_part(url, 1)).isin("http", "https") & (host_(url) != "") & ~F.contains(_part(url, 2), F.lit("@")) & ~url.rlike(r"[\s\\\x00-\x1f]")
+    name = lambda p: F.lower(F.coalesce(F.try_url_decode(F.split_part(p, F.lit("="), F.lit(1))), F.lit("")))
+    kept = F.filter(F.split(F.substring(_part(url, 4), F.lit(2), F.char_length(url)), "&"), lambda p: (p != "") & ~name(p).startswith("utm_") & ~name(p).isin(*PAGE_TRACKING, *drop))
+    query = F.array_join(kept, "&")
+    whole = F.concat(F.lower(_part(url, 1)), F.lit("://"), F.lower(_part(url, 2)), F.when(_part(url, 3) == "", "/").otherwise(_part(url, 3)), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+    return F.when(same & good & ~refused, whole)
+
+
+def detail_address(url: Column, base: Column, prefixes: tuple[str, ...], drop: tuple[str, ...] = ()) -> Column:
+    """``approved_address`` of a detail: one opaque segment after an allowed folder; else null."""
+    whole = approved_address(url, base, drop)
+    allowed = "|".join(re.escape(p) for p in prefixes)
+    return F.when(_part(whole, 3).rlike(f"^(?:{allowed})[A-Za-z0-9_-]+/?$"), whole)
