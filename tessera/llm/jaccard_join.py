@@ -23,9 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, Words, files_for, lean, slices, text_bytes
-from tessera.llm.near_dedup import components, confirmed, full_sets, set_key, shingles, sized
+from tessera.llm.near_dedup import components, confirmed, set_key, shingles, sized
 
 COUNTERS = 1 << 20  # the counts that order the shingles: 4 MB, however many documents
+BITS = 1 << 26  # of the map of sets that are read again: 8 MB, however many
 LONGEST = 16  # matches that a set may ask for
 PARITY = [f"p{j}" for j in range(4)]  # a set's parities in 256 classes, 64 a column
 
@@ -119,7 +120,36 @@ def met(pairs: DataFrame, often: Column) -> DataFrame:
     return counted.where(F.col("times") >= often).select("a", "b")
 
 
-def linked(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = 1, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def full_sets(keys: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(node, found): the shingle sets of the nodes in ``keys``, once each, from the texts, and perhaps a few more.
+
+    A map of bits says which sets to send on, so that no text is shuffled.
+    """
+    bit = F.shiftright(F.conv(F.hex(F.substring("node", 1, 4)), 16, 10).cast("long"), 6)
+    words = keys.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(b & 63))")).alias("bits")).toArrow()
+    marks = np.zeros(BITS >> 6, np.uint64)
+    marks[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    table = texts.sparkSession.sparkContext.broadcast(marks)
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = table.value
+        for batch in slices(batches, "_text"):
+            found = {}
+            for ids in Words(batch.column("_text"), lower=True).each():
+                x = shingles(ids, width)
+                key = set_key(x)
+                at = int.from_bytes(key[:4], "big") >> 6
+                if key not in found and len(x) and int(own[at >> 6]) >> (at & 63) & 1:
+                    found[key] = x
+            sizes = [len(x) for x in found.values()]
+            values = np.concatenate(list(found.values())).view(np.int64) if found else np.empty(0, np.int64)
+            sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
+            yield pa.record_batch([pa.array(list(found), pa.binary()), sets], names=["node", "found"])
+
+    return texts.select("_text").mapInArrow(lean(collect), "node binary, found array<long>").dropDuplicates(["node"])
+
+
+def linked(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = 2, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: (id, n_shingles, component_id), the least id that links reach from it, itself included.
 
     Documents link whose sets of ``width``-word shingles have 100 * intersection
@@ -141,17 +171,17 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = 1,
     table = docs.sparkSession.sparkContext.broadcast(occurrences(texts, width))
     every = scratch.save(prefixed(texts, width, percent, table), "prefixes")
     held = ["n", "weight", "l", *PARITY]
-    full = every.where("node is not null").groupBy("node").agg(F.min("doc").alias("doc"), F.any_value(F.struct(*held, "prefix")).alias("x")).select("node", "doc", "x.*")
+    full = every.where("node is not null").groupBy("node").agg(F.any_value(F.struct(*held, "prefix")).alias("x")).select("node", "x.*")
     full = scratch.save(full, "full")
     every = scratch.save(every.select("doc", F.col("n").alias("n_shingles"), "node"), "every")
     scratch.drop("prefixes")
     posted = full.select("node", F.posexplode("prefix").alias("at", "token")).withColumn("at", F.col("at") + 1)
     several = posted.groupBy("token").agg(F.count("*").alias("_members")).where("_members > 1").select("token")
     shared = scratch.save(posted.join(several, "token"), "shared")
-    nodes = scratch.save(full.drop("prefix"), "nodes")
+    nodes = scratch.save(full.select("node", *held), "nodes")
     scratch.drop("full")
     posted = scratch.save(shared.join(nodes.select("node", *held), "node"), "postings")
-    scratch.drop("shared")
+    scratch.drop("shared", "nodes")
     links, roots = None, None
     for turn in range(rounds + 1):
         rooted = posted.withColumn("root", F.col("node"))
@@ -171,14 +201,14 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = 1,
         often = F.lit(1) if 0 < turn < rounds else F.col("l")  # a list's own member meets a set in that list alone
         pairs = scratch.save(met(pairs, often), f"pairs-{turn}")
         if not pairs.isEmpty():
-            sets = scratch.save(full_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), docs, nodes, width, id_column, text).dropDuplicates(["node"]), f"sets-{turn}")
+            sets = scratch.save(full_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), texts, width), f"sets-{turn}")
             found = confirmed(pairs, sets, percent)
             links = scratch.save(found if links is None else links.union(found), f"links-{turn}")
             roots = components(links, scratch, f"parts-{turn}")
             scratch.drop(*(f"{x}-{before}{y}" for before in range(turn) for x, y in (("links", ""), ("parts", "-roots"))))
         scratch.drop(f"open-{turn}", f"pairs-{turn}", f"sets-{turn}")
         scratch.release()
-    scratch.drop("nodes", "postings")
+    scratch.drop("postings")
     table.unpersist()
     joined = every.withColumn("part", F.col("node")) if roots is None else every.join(roots, "node", "left").withColumn("part", F.coalesce("root", "node"))
     least = joined.where("part is not null").groupBy("part").agg(F.min("doc").alias("_least"))
