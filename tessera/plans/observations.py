@@ -141,14 +141,6 @@ def link_grammar(t):
     return t.pages.select("page_id", F.size(links).cast("long").alias("n_links"), F.size(F.array_distinct(links)).cast("long").alias("n_distinct"))
 
 
-@query("s_card_unique", "select link, min(page_id) page_id from (select page_id, unnest(list_distinct(regexp_extract_all(html, 'href=\"([^\"#]+)\"', 1))) link from pages) group by link having count(*) = 1")
-def card_unique(t):
-    from tessera.sources import pages
-
-    rows = t.pages.select("page_id", F.explode(F.array_distinct(pages.links(F.col("html")))).alias("link"))
-    return rows.groupBy("link").agg(F.min("page_id").alias("page_id"), F.count("*").alias("n")).where("n = 1").drop("n")
-
-
 @query("s_html_text")
 def html_text(t):
     from tessera.sources import pages
