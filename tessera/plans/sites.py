@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import keys
 from tessera.plans.registry import query
-from tessera.sources import layouts
+from tessera.sources import embedded, layouts
 
 #: The pages' menus as lists of their own site, and their articles as details.
 MENUS = layouts.Site(("/",), "article")
@@ -50,3 +50,45 @@ def approved_address(t):
         .when(k == 3, F.concat(origin, F.lit(":8080/events/a"))).when(k == 4, "/account/settings").otherwise("mailto:a@example.test")
     )
     return t.pages.select("page_id", keys.approved_address(keys.joined_address(href, F.col("url")), F.col("url"), ("ref",)).alias("address"))
+
+
+_LINES = "l as (select l_orderkey k, l_linenumber n, min(l_partkey) p, min(l_shipdate)::date as day, floor(min(l_extendedprice))::bigint price, min(l_quantity)::bigint hrs from lineitem group by all)"
+_DETAILS = f"""with {_LINES} select k, 'L' || n session_id, 'react-router:loaderData/routes/events.$id/sessions/' || (select count(*) from l b where b.k = l.k and b.n < l.n) as locator,
+  strftime(day, '%Y-%m-%d') || 'T18:00:00Z' start_iso, hrs::varchar duration_hours, price::varchar price_per_person from l where p % 7 > 1"""
+_REPORT = f"""with {_LINES}, c as (select k, unnest(case p % 7 when 0 then ['embedded_session_schema_drift', 'embedded_session_drift_field'] when 1 then ['embedded_session_schema_drift', 'embedded_session_drift_sold_out_type'] else ['embedded_session_price_unit_unknown'] end) code from l)
+select k, array_to_string(list_sort(list(distinct code)), ',') diagnostics from c group by k"""
+
+
+def embedding(t):
+    """A detail page for each order, whose script holds the order's lines as sessions; some belong to another event, some have a flag that is no flag."""
+    k = F.col("k")
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n")).agg(
+        F.min("l_partkey").alias("p"), F.to_date(F.min("l_shipdate")).alias("day"), F.floor(F.min("l_extendedprice")).cast("string").alias("price"), F.min("l_quantity").cast("long").cast("string").alias("hours")
+    )
+    posts = lines.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("n", "p", "day", "price", "hours"))).alias("s"))
+    quote = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    at = lambda i, more: (F.lit(20) + 5 * i + more).cast("string")
+
+    def session(x, i):
+        owner = F.when(x["p"] % 7 == 0, "18").otherwise("10")
+        sold = F.when(x["p"] % 7 == 1, F.concat(F.lit(',"_16":'), at(i, 1))).otherwise("")
+        whole = F.concat(F.lit('{"_9":'), at(i, 1), F.lit(',"_11":'), owner, F.lit(',"_12":'), at(i, 2), F.lit(',"_13":'), at(i, 3), F.lit(',"_14":'), at(i, 4), F.lit(',"_15":17'), sold, F.lit("}"))
+        return F.concat_ws(",", whole, quote(F.concat(F.lit("L"), x["n"].cast("string"))), quote(F.concat(x["day"].cast("string"), F.lit("T18:00:00Z"))), x["hours"], x["price"])
+
+    refs = F.concat(F.lit("["), F.array_join(F.transform("s", lambda _, i: at(i, 0)), ","), F.lit("]"))
+    head = F.concat_ws(",", F.lit('{"_1":2},"loaderData",{"_3":4},"routes/events.$id",{"_5":6,"_7":8},"event",{"_9":10},"sessions"'), refs, F.lit('"id"'), quote(k.cast("string")), F.lit('"eventId","startIso","durationHours","pricePerPerson","timeslots","soldOut",[],"another",true'))
+    table = F.concat(F.lit("["), F.concat_ws(",", head, F.array_join(F.transform("s", session), ",")), F.lit("]"))
+    script = F.concat(F.lit(f"<script>{embedded.ENQUEUE}("), quote(F.replace(table, F.lit('"'), F.lit('\\"'))), F.lit(");</script>"))
+    return posts.select(k.alias("page_id"), F.concat(F.lit("https://a.example/events/"), k.cast("string")).alias("url"), F.concat(F.lit("<main><article>x</article></main>"), script).alias("html"))
+
+
+@query("s_embedded_sessions", _DETAILS)
+def embedded_sessions(t):
+    sessions, _ = embedded.extract(embedding(t))
+    return sessions.select(F.col("page_id").alias("k"), "session_id", "locator", "start_iso", "duration_hours", "price_per_person")
+
+
+@query("s_embedded_report", _REPORT)
+def embedded_report(t):
+    _, report = embedded.extract(embedding(t))
+    return report.select(F.col("page_id").alias("k"), F.array_join("diagnostics", ",").alias("diagnostics"))
