@@ -180,16 +180,17 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = 2,
     shared = scratch.save(posted.join(several, "token"), "shared")
     nodes = scratch.save(full.select("node", *held), "nodes")
     scratch.drop("full")
-    posted = scratch.save(shared.join(nodes.select("node", *held), "node"), "postings")
-    scratch.drop("shared", "nodes")
     links, roots = None, None
     for turn in range(rounds + 1):
-        rooted = posted.withColumn("root", F.col("node"))
-        if roots is not None:
-            rooted = posted.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rooted = shared.withColumn("root", F.col("node"))
         if turn:  # lists in one component are done
+            if roots is not None:
+                rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            rooted = scratch.save(rooted, f"rooted-{turn}")
             unlike = rooted.groupBy("token").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi").select("token")
-            rooted = scratch.save(rooted.join(unlike, "token"), f"open-{turn}")
+            rooted = rooted.join(unlike, "token")
+        rooted = scratch.save(rooted.join(nodes, "node"), f"open-{turn}")
+        scratch.drop(f"rooted-{turn}")
         member = F.struct("node", "root", "n", "l", "at", *PARITY)
         if turn < rounds:
             first = F.struct("weight", "node") if turn == 0 else F.struct(F.xxhash64("node", "token", F.lit(turn)))
@@ -208,7 +209,7 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = 2,
             scratch.drop(*(f"{x}-{before}{y}" for before in range(turn) for x, y in (("links", ""), ("parts", "-roots"))))
         scratch.drop(f"open-{turn}", f"pairs-{turn}", f"sets-{turn}")
         scratch.release()
-    scratch.drop("postings")
+    scratch.drop("nodes", "shared")
     table.unpersist()
     joined = every.withColumn("part", F.col("node")) if roots is None else every.join(roots, "node", "left").withColumn("part", F.coalesce("root", "node"))
     least = joined.where("part is not null").groupBy("part").agg(F.min("doc").alias("_least"))
