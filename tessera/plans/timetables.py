@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import reconciliation as rc
+from tessera.operators import recurrence
 from tessera.plans.registry import query
 
 
@@ -62,3 +63,33 @@ def covered_rows(t):
     rows = t.lineitem.select(F.col("l_orderkey").alias("k"), F.when(n % 2 == 1, F.col("l_returnflag")).alias("f"), F.when(n % 3 > 0, F.col("l_suppkey") % 5).alias("m"), F.when(n % 5 > 0, F.col("l_linestatus")).alias("s"))
     by = t.lineitem.where(n <= 2).select(F.col("l_orderkey").alias("k"), F.col("l_returnflag").alias("f"), (F.col("l_suppkey") % 5).alias("m"), F.col("l_linestatus").alias("s"))
     return rc.covered(rows, by, ["k"], ["f", "m", "s"]).groupBy("k").agg(F.count("*").alias("n_covered"))
+
+
+@query("n_recurrence", """with w as (select o_orderkey k, o_orderdate::date as day, case when o_orderkey % 4 = 0 then 'FREQ=DAILY' when o_orderkey % 4 < 3 then 'FREQ=WEEKLY;BYDAY=' || upper(strftime(o_orderdate, '%a')[1:2]) end r from orders),
+c as (select k, r, d::date d from w, generate_series(day, day + interval 30 day, interval 1 day) x(d) where r = 'FREQ=DAILY' or (k % 4 = 1 and dayofweek(d) = dayofweek(day)) or (k % 4 = 2 and dayofweek(d) = dayofweek(day)))
+select w.k o_orderkey, w.r as rule, case when w.k % 4 < 3 then '18:30' end start_time, case when w.r is not null then (select count(*) from c where c.k = w.k) end n_days, (select max(d) from c where c.k = w.k) last_day from w""")
+def recurrence_rules(t):
+    """Every day, and every weekday of the order's day in two wordings, for a month; a fourth recurs without a rule."""
+    k, day = F.col("o_orderkey") % 4, F.to_date("o_orderdate")
+    names = F.array(*map(F.lit, ("دوشنبه", "سه‌شنبه", "چهارشنبه", "پنجشنبه", "جمعه", "شنبه", "یکشنبه")))
+    name = F.element_at(names, F.weekday(day) + 1)
+    text = (
+        F.when(k == 0, "هر روز ساعت ۱۸:۳۰").when(k == 1, F.concat(F.lit("زمان: هر "), name, F.lit(" ساعت 18:30"))).when(k == 2, F.concat(name, F.lit("‌ها 18:30"))).otherwise("every month, ask us")
+    )
+    rows = t.orders.select("o_orderkey", day.alias("day"), recurrence.recurring(text, F.lit("UTC")).alias("r"))
+    days = recurrence.instances(F.col("r.recurrence_rule"), F.col("day"), F.date_add("day", 30))
+    return rows.withColumn("d", days).select("o_orderkey", F.col("r.recurrence_rule").alias("rule"), F.col("r.start_time").alias("start_time"), F.when(F.col("d").isNotNull(), F.size("d").cast("long")).alias("n_days"), F.array_max("d").alias("last_day"))
+
+
+@query("n_recurring_instants", """with s as (select o_orderkey k, o_orderdate::date as day, o_orderdate::date + (7 * i)::int d from orders, range(0, 5) x(i))
+select k o_orderkey, count(*) n, count(*) filter (where month(d) in (3, 10) and day(d) >= 25 and dayofweek(d) = 0) n_ambiguous,
+  min(case when not (month(d) in (3, 10) and day(d) >= 25 and dayofweek(d) = 0) then (d + interval 2 hour + interval 30 minute) - case when (month(d) between 4 and 9) or (month(d) = 3 and day(d) - dayofweek(d) >= 25) or (month(d) = 10 and day(d) - dayofweek(d) < 25) then interval 2 hour else interval 1 hour end end)::timestamp first_instant
+from s where year(d) >= 1996 group by k""")
+def recurring_instants(t):
+    """Five weekly nights at half past two in a zone with daylight saving, from 1996 on: the nights when clocks change have no instant."""
+    day = F.to_date("o_orderdate")
+    rule = F.concat(F.lit("FREQ=WEEKLY;BYDAY="), F.upper(F.substring(F.date_format(day, "EEE"), 1, 2)))
+    days = F.filter(recurrence.instances(rule, day, F.date_add(day, 34)), lambda d: F.year(d) >= 1996)
+    made = t.orders.select("o_orderkey", recurrence.sittings(days, F.lit("02:30"), F.lit(None).cast("string"), F.lit("Europe/Berlin")).alias("s")).where("size(s) > 0")
+    unsafe = F.filter("s", lambda o: F.array_contains(o["diagnostics"], "ambiguous_local_time"))
+    return made.select("o_orderkey", F.size("s").cast("long").alias("n"), F.size(unsafe).cast("long").alias("n_ambiguous"), F.array_min(F.transform("s", lambda o: o["starts_at"])).alias("first_instant"))
