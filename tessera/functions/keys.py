@@ -86,7 +86,8 @@ def canonical_url(url: Column, drop: tuple[str, ...] = ()) -> Column:
     gone = (*PAGE_TRACKING, *drop)
     name = lambda p: F.lower(F.split_part(p, F.lit("="), F.lit(1)))
     kept = F.filter(parameters(url), lambda p: ~(name(p).startswith("utm_") | name(p).isin(*gone)))
-    base = F.concat(F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))), F.lit("://"), F.lower(F.try_parse_url(url, F.lit("HOST"))), F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")))
+    place = F.regexp_extract(url, r"^[A-Za-z]+://([^/?#]*)", 1)  # host and port: another port is another site
+    base = F.concat(F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))), F.lit("://"), F.lower(place), F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")))
     return F.when(valid_url(url), _queried(base, kept))
 
 

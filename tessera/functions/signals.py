@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions import text as texts
+from tessera.functions.phrases import tokenized
 from tessera.functions.temporal import bound
+from tessera.functions.vocabulary import PLACEHOLDERS
 
 # English vocabularies and the weights of the score.
 STRONG = ("workshop", "seminar", "concert", "festival", "webinar")
@@ -16,7 +18,6 @@ REGISTRATION = ("register", "registration", "ticket")
 PLACE = ("cafe", "museum", "gallery")
 PLACE_CONTEXT = ("menu", "visit", "open")
 RETROSPECTIVE = ("enjoyed", "held", "attended")
-PLACEHOLDERS = ("untitled", "unknown", "n a", "none", "event", "no title", "tba", "tbd")
 URL = r"https?://[^\s\"'<>)]+"
 
 
@@ -98,7 +99,7 @@ def admission(kind: Column, title_: Column, text: Column) -> Column:
     return (
         F.when(kind != "event", "not_established_event")
         .when(title_.isNull() | (key == ""), "missing_title")
-        .when(key.isin(*PLACEHOLDERS), "placeholder_title")
+        .when(key.isin(*sorted({" ".join(t.text for t in tokenized(p)) for p in PLACEHOLDERS})), "placeholder_title")
         .when(~F.contains(texts.text_key(text, True), key), "unsupported_title")
     )
 

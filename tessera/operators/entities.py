@@ -253,6 +253,6 @@ def blocked_edges(decided: DataFrame, groups: DataFrame) -> DataFrame:
 
 def survivors(members: DataFrame, group: str, anchor: Column, fields: list[str]) -> DataFrame:
     """One row a group: each field's value where all known ones agree, else null, and the names of fields that conflict."""
-    value = lambda f: F.when(F.count_distinct(f) == 1, F.min_by(f, F.when(F.col(f).isNotNull(), anchor)))
-    conflicts = F.array_compact(F.array(*(F.when(F.count_distinct(f) > 1, F.lit(f)) for f in fields)))
+    value = lambda f: F.when(F.min(f) == F.max(f), F.min(f))
+    conflicts = F.array_compact(F.array(*(F.when(F.min(f) != F.max(f), F.lit(f)) for f in fields)))
     return members.groupBy(group).agg(*(value(f).alias(f) for f in fields), conflicts.alias("conflicts"), F.count("*").alias("n_members"))

@@ -31,8 +31,8 @@ def alone(df: DataFrame, keys: list[str], flag: str = "accepted") -> DataFrame:
 
 
 def unanimous(value: Column, anchor: Column) -> Column:
-    """The value if all non-null ones of a group agree, else null."""
-    return F.when(F.count_distinct(value) == 1, F.min_by(value, F.when(value.isNotNull(), anchor)))
+    """The value if all non-null ones of a group agree, else null; what agrees is one value, so ``anchor`` does not matter."""
+    return F.when(F.min(value) == F.max(value), F.min(value))
 
 
 def compatible(a: Column, b: Column) -> Column:

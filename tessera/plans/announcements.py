@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import keys, signals, temporal, text
 from tessera.functions.temporal import bound
+from tessera.operators import admission as admissions
 from tessera.operators import entities, relational, schedules
 from tessera.operators.storage import settled
 from tessera.plans.registry import query
@@ -157,6 +158,34 @@ def admission(t):
     return classified(t).select("id", signals.admission(F.col("kind"), name, F.col("txt")).alias("reason"))
 
 
+@query("p_title_support", """with r as (select p_partkey k, string_split(lower(p_name), ' ') w from part)
+select k p_partkey, case when k % 7 = 0 then 'not_established_event' when k % 11 = 0 then 'placeholder_title' when k % 13 = 0 then 'missing_title' when k % 3 = 1 and w <> list_reverse(w) then 'unsupported_title' when k % 17 = 0 or k % 19 = 0 then 'unsupported_title' end reason from r""")
+def title_support(t):
+    """Part names as titles: a third is stated with its words the other way round, some are placeholders, guarded, or attributed to nothing."""
+    k, name = F.col("p_partkey"), F.col("p_name")
+    words = F.split(name, " ")
+    spaced = lambda x: F.concat(F.lit("Here: "), F.array_join(x, " or "), F.lit("!"))
+    one = F.array(F.lit("c1"))
+    event = F.struct(
+        F.when(k % 7 == 0, "non_event: product_promotion").alias("detection_reason"), F.lit(None).cast("string").alias("description_text"),
+        F.when(k % 11 == 0, F.lit("«Untitled  Event»")).when(k % 13 == 0, " … ").otherwise(name).alias("title"),
+        F.when(k % 3 < 2, "explicit_caption").alias("origin"), F.when(k % 3 == 1, spaced(F.reverse(words))).otherwise(spaced(words)).alias("title_evidence_text"), F.array(F.lit("f1")).alias("title_evidence_ids"),
+        F.array(F.lit("f1"), F.lit("f2")).alias("fragment_ids"), one.alias("candidate_ids"), F.when(k % 17 > 0, F.array(F.lit("s1"))).alias("source_ids"), F.lit("https://a.example/x").alias("source_url"),
+        F.array(F.struct(F.lit("title").alias("field"), F.when(k % 19 == 0, F.array(F.lit("c2"))).otherwise(one).alias("candidate_ids"))).alias("provenance"),
+    )
+    return t.part.select("p_partkey", admissions.exclusion(event, admissions.title_key(event["title"])).alias("reason"))
+
+
+@query("p_ordered_slices", """select p_partkey, p_partkey % 3 = 0 or (p_partkey % 3 = 1 and p_brand = p_name) or (p_partkey % 3 = 2 and p_partkey % 2 = 0) admitted from part""")
+def ordered_slices(t):
+    """A name and a brand as parts of a description: in the source's order, the other way round, and as one slice or one that is not there."""
+    k, a, b = F.col("p_partkey") % 3, F.col("p_name"), F.col("p_brand")
+    text = F.concat(F.lit("About "), a, F.lit(". Program: "), b, F.lit("."))
+    both = lambda x, y: F.concat(x, F.lit("\n\n"), y)
+    value = F.when(k == 0, both(a, b)).when(k == 1, both(b, a)).when(F.col("p_partkey") % 2 == 0, F.concat(a, F.lit(". Program"))).otherwise(F.concat(a, F.lit(" Program")))
+    return t.part.select("p_partkey", admissions.source_slice(value, text, True).alias("admitted"))
+
+
 @query("p_context_guard", f"with {SQL} select id, case when o_orderkey % 6 = 4 and o_orderkey % 7 <> 0 then 'past_only' end guard from c")
 def context_guard(t):
     return announcements(t).select("id", signals.context_guard(F.col("txt")).alias("guard"))
@@ -381,12 +410,15 @@ def status(t):
     return t.events.agg(F.count("*").alias("n_events"), F.count_distinct("user_id").alias("n_keys"), F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("latest"))
 
 
-@query("d_fingerprint", "select lang, lpad(doc_id % 1000, 3, '0') part, sha256(string_agg(doc_id::varchar || ':' || sha256(text), ',' order by doc_id)) fingerprint from (select doc_id, doc_id % 1000 k, text, lang from documents) group by 1, 2".replace("lpad(doc_id % 1000, 3, '0')", "k"))
+@query("d_fingerprint", """with p as (select lang, doc_id % 1000 part, sha256(string_agg(doc_id::varchar || ':' || sha256(text), ',' order by doc_id)) f, count(*) n from documents group by 1, 2)
+select lang, sum(n)::bigint n_documents, sha256(string_agg(part::varchar || ':' || f, ',' order by part)) fingerprint from p group by 1""")
 def fingerprint(t):
-    """One for each share of a language's documents, so that no task holds a language."""
+    """One of a language's documents: from those of a thousand shares of them, so that no task holds a language."""
     part = F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2("text", 256))
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", part.alias("p")))), lambda x: x["p"])
-    return t.documents.groupBy("lang", (F.col("doc_id") % 1000).alias("part")).agg(F.sha2(F.array_join(rows, ","), 256).alias("fingerprint"))
+    ordered = lambda key, value: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, value.alias("p")))), lambda x: x["p"]), ",")
+    shares = t.documents.groupBy("lang", (F.col("doc_id") % 1000).alias("part")).agg(F.sha2(ordered("doc_id", part), 256).alias("f"), F.count("*").alias("n"))
+    of = F.concat_ws(":", F.col("part").cast("string"), F.col("f"))
+    return shares.groupBy("lang").agg(F.sum("n").alias("n_documents"), F.sha2(ordered("part", of), 256).alias("fingerprint"))
 
 
 @query("r_tumbling", "select strftime(date_trunc('day', ts), '%Y-%m-%d') start, event_type, count(*) n from events group by 1, 2")
