@@ -10,11 +10,14 @@ takes the l at which the estimated sum of both is least.
 
 A meeting is not even counted where the parities of the two sets' shingles in
 256 classes differ in more classes than linked sets have shingles apart: every
-class that differs holds one such shingle at least, so this loses no link.
+class that differs holds one such shingle at least, so this loses no link.  The
+pairs that meet often enough are looked at in 1024 classes before their full sets
+are read.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,25 +74,26 @@ def matches(others: np.ndarray, n: int, need: int) -> int:
     return 1 + int(np.argmin(read * (1 + 2 * n / l) + l))
 
 
-def parities(found: np.ndarray) -> np.ndarray:
-    return np.packbits((np.bincount((found & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view("<i8")
+def parities(found: np.ndarray, classes: int = 256) -> np.ndarray:
+    return np.packbits((np.bincount((found & np.uint64(classes - 1)).astype(np.int64), minlength=classes) & 1).astype(np.uint8)).view("<i8")
 
 
 def prefixed(texts: DataFrame, width: int, percent: int, table) -> DataFrame:
-    """(doc, n, node, weight, l, parities, prefix) per document: its set's name and size, how common its shingles are, and what it posts."""
+    """(doc, n, node, weight, l, parities, wide, prefix) per document: its set's name and size, how common its shingles are, and what it posts."""
     kind = texts.schema["_id"].dataType.simpleString()
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = table.value
         noise = int(np.median(often))  # of a counter: what other shingles put in
         for batch in slices(batches, "_text"):
-            sizes, node, weight, asked, odd, prefix = [], [], [], [], [], []
+            sizes, node, weight, asked, odd, wide, prefix = [], [], [], [], [], [], []
             for ids in Words(batch.column("_text"), lower=True).each():
                 found = shingles(ids, width)
                 n = len(found)
                 sizes.append(n)
                 node.append(set_key(found) if n else None)
                 odd.append(parities(found))
+                wide.append(parities(found, 1024))
                 if not n:
                     weight.append(0.0), asked.append(0), prefix.append(found)
                     continue
@@ -99,10 +103,10 @@ def prefixed(texts: DataFrame, width: int, percent: int, table) -> DataFrame:
                 own = matches(np.maximum(count[order].astype(np.int64) - noise - 1, 0), n, need)
                 weight.append(float(count.mean())), asked.append(own), prefix.append(found[order[: n - need + own]])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in prefix])]).astype(np.int32)), pa.array(np.concatenate(prefix).view(np.int64)))
-            columns = [batch.column("_id"), pa.array(sizes, pa.int64()), pa.array(node, pa.binary()), pa.array(weight, pa.float64()), pa.array(asked, pa.int32()), *map(pa.array, np.stack(odd, axis=1)), lists]
-            yield pa.record_batch(columns, names=["doc", "n", "node", "weight", "l", *PARITY, "prefix"])
+            columns = [batch.column("_id"), pa.array(sizes, pa.int64()), pa.array(node, pa.binary()), pa.array(weight, pa.float64()), pa.array(asked, pa.int32()), *map(pa.array, np.stack(odd, axis=1)), pa.array([x.tolist() for x in wide], pa.list_(pa.int64())), lists]
+            yield pa.record_batch(columns, names=["doc", "n", "node", "weight", "l", *PARITY, "wide", "prefix"])
 
-    return texts.mapInArrow(lean(post), f"doc {kind}, n long, node binary, weight double, l int, {', '.join(f'{c} long' for c in PARITY)}, prefix array<long>")
+    return texts.mapInArrow(lean(post), f"doc {kind}, n long, node binary, weight double, l int, {', '.join(f'{c} long' for c in PARITY)}, wide array<long>, prefix array<long>")
 
 
 def near_enough(m: str, percent: int) -> Column:
@@ -120,13 +124,23 @@ def met(pairs: DataFrame, often: Column) -> DataFrame:
     return counted.where(F.col("times") >= often).select("a", "b")
 
 
-def full_sets(keys: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """(node, found): the shingle sets of the nodes in ``keys``, once each, from the texts, and perhaps a few more.
+def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of pairs that may be linked for all that parities in 1024 classes tell."""
+    for x in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}")), x)
+    need = F.expr(f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}")
+    apart = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    return pairs.where(apart <= F.col("na") + F.col("nb") - 2 * need).select("a", "b")
 
-    A map of bits says which sets to send on, so that no text is shuffled.
+
+def full_sets(ids: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(node, found): the shingle sets of the documents in ``ids`` (doc), from the texts, and perhaps of a few more, some more than once.
+
+    A map of bits says which documents to read, so that no text is shuffled.
     """
-    bit = F.shiftright(F.conv(F.hex(F.substring("node", 1, 4)), 16, 10).cast("long"), 6)
-    words = keys.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(b & 63))")).alias("bits")).toArrow()
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    bit = F.shiftright(F.crc32(key("doc").cast("binary")), 6)
+    words = ids.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(b & 63))")).alias("bits")).toArrow()
     marks = np.zeros(BITS >> 6, np.uint64)
     marks[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     table = texts.sparkSession.sparkContext.broadcast(marks)
@@ -134,19 +148,15 @@ def full_sets(keys: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = table.value
         for batch in slices(batches, "_text"):
-            found = {}
-            for ids in Words(batch.column("_text"), lower=True).each():
-                x = shingles(ids, width)
-                key = set_key(x)
-                at = int.from_bytes(key[:4], "big") >> 6
-                if key not in found and len(x) and int(own[at >> 6]) >> (at & 63) & 1:
-                    found[key] = x
+            at = np.array([zlib.crc32(x.encode()) >> 6 for x in batch.column("_key").to_pylist()], np.int64)
+            batch = batch.filter(pa.array((own[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
+            found = {set_key(x): x for ids in Words(batch.column("_text"), lower=True).each() if len(x := shingles(ids, width))}
             sizes = [len(x) for x in found.values()]
             values = np.concatenate(list(found.values())).view(np.int64) if found else np.empty(0, np.int64)
             sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
             yield pa.record_batch([pa.array(list(found), pa.binary()), sets], names=["node", "found"])
 
-    return texts.select("_text").mapInArrow(lean(collect), "node binary, found array<long>").dropDuplicates(["node"])
+    return texts.select(key("_id").alias("_key"), "_text").mapInArrow(lean(collect), "node binary, found array<long>")
 
 
 def linked(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = 2, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -170,16 +180,16 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = 2,
     texts = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text"))
     table = docs.sparkSession.sparkContext.broadcast(occurrences(texts, width))
     every = scratch.save(prefixed(texts, width, percent, table), "prefixes")
-    held = ["n", "weight", "l", *PARITY]
-    full = every.where("node is not null").groupBy("node").agg(F.any_value(F.struct(*held, "prefix")).alias("x")).select("node", "x.*")
+    held = ["n", "weight", "l", *PARITY, "wide"]
+    full = every.where("node is not null").groupBy("node").agg(F.min("doc").alias("doc"), F.any_value(F.struct(*held, "prefix")).alias("x")).select("node", "doc", "x.*")
     full = scratch.save(full, "full")
     every = scratch.save(every.select("doc", F.col("n").alias("n_shingles"), "node"), "every")
     scratch.drop("prefixes")
     posted = full.select("node", F.posexplode("prefix").alias("at", "token")).withColumn("at", F.col("at") + 1)
-    several = posted.groupBy("token").agg(F.count("*").alias("_members")).where("_members > 1").select("token")
+    several = scratch.save(posted.groupBy("token").agg(F.count("*").alias("_members")).where("_members > 1").select("token"), "several")
     shared = scratch.save(posted.join(several, "token"), "shared")
-    nodes = scratch.save(full.select("node", *held), "nodes")
-    scratch.drop("full")
+    nodes = scratch.save(full.select("node", "doc", *held), "nodes")
+    scratch.drop("full", "several")
     links, roots = None, None
     for turn in range(rounds + 1):
         rooted = shared.withColumn("root", F.col("node"))
@@ -189,7 +199,7 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = 2,
             rooted = scratch.save(rooted, f"rooted-{turn}")
             unlike = rooted.groupBy("token").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi").select("token")
             rooted = rooted.join(unlike, "token")
-        rooted = scratch.save(rooted.join(nodes, "node"), f"open-{turn}")
+        rooted = scratch.save(rooted.join(nodes.drop("doc", "wide"), "node"), f"open-{turn}")
         scratch.drop(f"rooted-{turn}")
         member = F.struct("node", "root", "n", "l", "at", *PARITY)
         if turn < rounds:
@@ -200,9 +210,10 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = 2,
             pairs = rooted.join(rooted.select("token", member.alias("m")), "token").where("root <> m.root and node < m.node")
         pairs = pairs.where(sized("n", "m.n", percent)).where(near_enough("m", percent))
         often = F.lit(1) if 0 < turn < rounds else F.col("l")  # a list's own member meets a set in that list alone
-        pairs = scratch.save(met(pairs, often), f"pairs-{turn}")
+        pairs = scratch.save(likely(met(pairs, often), nodes, percent), f"pairs-{turn}")
         if not pairs.isEmpty():
-            sets = scratch.save(full_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), texts, width), f"sets-{turn}")
+            wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc"), "node")
+            sets = scratch.save(full_sets(wanted, texts, width), f"sets-{turn}")
             found = confirmed(pairs, sets, percent)
             links = scratch.save(found if links is None else links.union(found), f"links-{turn}")
             roots = components(links, scratch, f"parts-{turn}")
