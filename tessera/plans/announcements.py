@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions import keys, signals, temporal, text
 from tessera.functions.temporal import bound
 from tessera.operators import admission as admissions
-from tessera.operators import entities, relational, schedules
+from tessera.operators import entities, relational, schedules, versions
 from tessera.operators.storage import settled
 from tessera.plans.registry import query
 from tessera.streaming import logs
@@ -397,6 +397,18 @@ def three_way_merge(t):
     return t.labels.select("doc_id", relational.three_way(base, current, incoming).alias("decision"))
 
 
+@query("d_review_import", """with e as (select doc_id k, quality seen, case when doc_id % 3 = 0 then 1 - quality else quality end now, case when doc_id % 2 = 0 then quality + 5 else quality end said from labels)
+select k doc_id, case when said = now then 'unchanged' when seen = now then 'apply' else 'conflict' end decision, said quality from e
+union all select -k - 1, 'unknown', said from e where k % 7 = 0""")
+def review_import(t):
+    """Labels as they were exported, edited outside, against a state in which a third has changed since; some rows are of no document."""
+    k, seen = F.col("doc_id"), F.col("quality")
+    stored = t.labels.select("doc_id", F.when(k % 3 == 0, 1 - seen).otherwise(seen).alias("quality"))
+    edited = t.labels.select("doc_id", versions.token("doc_id", "quality").alias("token"), F.when(k % 2 == 0, seen + 5).otherwise(seen).alias("quality"))
+    foreign = edited.where(k % 7 == 0).withColumn("doc_id", -k - 1)
+    return versions.decisions(stored, edited.union(foreign), "doc_id", ["quality"])
+
+
 @query("d_carry_forward", "select event_id, last_value(case when event_type = 'purchase' then event_id end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) carried from events")
 def carry_forward(t):
     from pyspark.sql import Window
