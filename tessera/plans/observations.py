@@ -148,7 +148,8 @@ def html_text(t):
     return pages.with_text(t.pages).select("page_id", F.char_length("text").alias("n_chars"), F.sha2("text", 256).alias("text_hash"))
 
 
-@query("s_link_discovery")
+@query("s_link_discovery", """with h as (select page_id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) origin, unnest(list_distinct(regexp_extract_all(html, 'href="([^"#]+)"', 1))) href from pages)
+select distinct page_id, lower(origin) || href link from h where starts_with(href, '/')""")
 def link_discovery(t):
     from tessera.sources import pages
 
