@@ -28,7 +28,7 @@ def card_unique(t):
 
 
 @query("s_page_details", r"""with d as (select page_id, url, regexp_matches(url, '^https?://[^/]+/(en|de|fr|es)/[A-Za-z0-9_-]+/?([?#].*)?$') ok,
-  trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) h from pages)
+  trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&amp$', '&amp;'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) h from pages)
 select page_id, case when ok then 'ok' else 'not_a_detail' end status, case when ok then h end title, case when ok then true end title_is_heading, case when ok then sha256(url) end external_id from d""")
 def page_details(t):
     return layouts.details(t.pages, F.col("url"), ARTICLES).select("page_id", "status", "title", "title_is_heading", "external_id")

@@ -2,11 +2,12 @@
 
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import keys
 from tessera.plans.queries import QUERIES
-from tessera.sources import elements, layouts, pages
+from tessera.sources import elements, layouts, pages, robots
 from tessera.sources.layouts import Site
 
 BASE = "https://community.example/"
@@ -151,3 +152,13 @@ def test_texts_of_saved_pages(spark):
     for r in got:
         want = pages.visible(html[r.page_id][html[r.page_id].index("<article>") : html[r.page_id].index("</article>")])
         assert (r.n_chars, r.text_hash) == (len(want), hashlib.sha256(want.encode()).hexdigest())
+
+
+def test_robots_rules(spark):
+    urls = ["/private/a", "/private/public/a", "/events/a", "/events/a/b", "/x?secret=yes", "/A.b", "/Axb"]
+    rows = spark.createDataFrame([(i, f"https://a.example{u}") for i, u in enumerate(urls)], "page_id int, url string")
+    rules = spark.createDataFrame([("/", True), ("/private/", False), ("/private/public/", True), ("/events/*/b", False), ("/events/a$", False), ("/events/a$", True), ("/A.b", False)], "rule string, allow boolean")
+    assert [r.allowed for r in robots.allows(rows, rules).orderBy("page_id").collect()] == [False, True, True, False, True, False, True]
+    assert all(r.allowed for r in robots.allows(rows, rules.where("allow is null")).collect())
+    with pytest.raises(ValueError, match="rules"):
+        robots.allows(rows, spark.range(robots.RULES + 1).selectExpr("'/' || id rule", "true allow"))
