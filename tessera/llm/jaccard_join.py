@@ -124,6 +124,18 @@ def met(pairs: DataFrame, often: Column) -> DataFrame:
     return counted.where(F.col("times") >= often).select("a", "b")
 
 
+def named(texts: DataFrame, width: int) -> DataFrame:
+    """(doc, n_shingles, node) per document."""
+    kind = texts.schema["_id"].dataType.simpleString()
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_text"):
+            found = [shingles(ids, width) for ids in Words(batch.column("_text"), lower=True).each()]
+            yield pa.record_batch([batch.column("_id"), pa.array([len(x) for x in found], pa.int64()), pa.array([set_key(x) if len(x) else None for x in found], pa.binary())], names=["doc", "n_shingles", "node"])
+
+    return texts.mapInArrow(lean(name), f"doc {kind}, n_shingles long, node binary")
+
+
 def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The (a, b) of pairs that may be linked for all that parities in 1024 classes tell."""
     for x in ("a", "b"):
@@ -179,12 +191,10 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = 2,
     scratch = Scratch(docs.sparkSession, files_for(text_bytes(docs, text)))
     texts = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text"))
     table = docs.sparkSession.sparkContext.broadcast(occurrences(texts, width))
-    every = scratch.save(prefixed(texts, width, percent, table), "prefixes")
+    every = scratch.save(named(texts, width), "every")
     held = ["n", "weight", "l", *PARITY, "wide"]
-    full = every.where("node is not null").groupBy("node").agg(F.min("doc").alias("doc"), F.any_value(F.struct(*held, "prefix")).alias("x")).select("node", "doc", "x.*")
+    full = prefixed(texts, width, percent, table).where("node is not null").groupBy("node").agg(F.min("doc").alias("doc"), F.any_value(F.struct(*held, "prefix")).alias("x")).select("node", "doc", "x.*")
     full = scratch.save(full, "full")
-    every = scratch.save(every.select("doc", F.col("n").alias("n_shingles"), "node"), "every")
-    scratch.drop("prefixes")
     posted = full.select("node", F.posexplode("prefix").alias("at", "token")).withColumn("at", F.col("at") + 1)
     several = scratch.save(posted.groupBy("token").agg(F.count("*").alias("_members")).where("_members > 1").select("token"), "several")
     shared = scratch.save(posted.join(several, "token"), "shared")
