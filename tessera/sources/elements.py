@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.sources.pages import BLOCKS, DEPTH, HIDDEN, VOID
+from tessera.sources.pages import BLOCKS, DEPTH, ENDS, HIDDEN, VOID, ended
 
 ELEMENT = "open int, stop int, depth int, parent int, nth int, tag string, attrs map<string,string>, own string, text string"
 #: Parts of pages that are never about the page's own subject.
@@ -44,6 +44,10 @@ class _Rows(HTMLParser):
         return row
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in ENDS:
+            keep = ended(tag, [r[5] for r in self.opened])
+            while len(self.opened) > keep:
+                self._end()
         self.deep |= len(self.opened) >= DEPTH
         if not self.deep:
             row = self._row(tag, list({k: v or "" for k, v in attrs}.items()), None)
@@ -77,7 +81,7 @@ def parsed(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFr
 
     ``tag`` is null for a text; ``own`` is what an element holds directly and
     ``nth`` its place among its parent's elements.  Elements that a page leaves
-    open end with it; a page without text, or one that nests too deep, has none.
+    open end with it, a paragraph, item or cell where the next one begins; a page without text, or one that nests too deep, has none.
     """
     kind = pages.schema[key].dataType.simpleString()
 

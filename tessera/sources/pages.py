@@ -15,12 +15,26 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 HIDDEN = {"script", "style", "noscript", "template", "svg", "nav", "header", "footer", "form", "button", "iframe"}
 BLOCKS = {"div", "p", "section", "article", "main", "h1", "h2", "h3", "h4", "li", "ul", "ol", "dl", "tr", "br", "hr"}
 DEPTH = 150  # a page with more open elements is refused as a whole
+#: Elements that may be left open: each ends where the next of its kind begins, whatever inline elements are open in it.
+ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr"}, "option": {"option"}}
+INLINE = {"a", "abbr", "b", "big", "cite", "code", "em", "font", "i", "mark", "nobr", "q", "s", "small", "span", "strike", "strong", "sub", "sup", "tt", "u"}
+PASSED = {tag: INLINE | ({"p", "td", "th"} if tag == "tr" else {"p"}) for tag in ENDS}
 
 
 class TooDeep(ValueError):
     """More elements are open at once than a page may have."""
 
 
+def ended(tag: str, opened: list[str]) -> int:
+    """How many of the open elements stay open where ``tag`` begins: of those left open, the nearest of its kind ends, with what is in it."""
+    for i in range(len(opened) - 1, -1, -1):
+        if opened[i] in ENDS.get(tag, ()):
+            return i
+        if opened[i] not in PASSED.get(tag, ()):
+            break
+    return len(opened)
+
+
 def links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit('href="([^"#]+)"'), 1)
 
@@ -40,6 +54,7 @@ class _Reader(HTMLParser):
         self.hidden_from: int | None = None  # how many elements were open when the outermost hidden one began
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self._keep(ended(tag, self.tags))
         if len(self.tags) >= DEPTH:
             raise TooDeep
         if tag in BLOCKS:
@@ -54,10 +69,12 @@ class _Reader(HTMLParser):
         if tag in BLOCKS:
             self.parts.append("\n")
         if tag in self.tags:
-            while self.tags.pop() != tag:  # what was left open inside ends with it
-                pass
-            if self.hidden_from is not None and len(self.tags) <= self.hidden_from:
-                self.hidden_from = None
+            self._keep(len(self.tags) - 1 - self.tags[::-1].index(tag))  # what was left open inside ends with it
+
+    def _keep(self, n: int) -> None:
+        del self.tags[n:]
+        if self.hidden_from is not None and n <= self.hidden_from:
+            self.hidden_from = None
 
     def handle_data(self, data: str) -> None:
         if self.hidden_from is None:

@@ -162,3 +162,17 @@ def test_robots_rules(spark):
     assert all(r.allowed for r in robots.allows(rows, rules.where("allow is null")).collect())
     with pytest.raises(ValueError, match="rules"):
         robots.allows(rows, spark.range(robots.RULES + 1).selectExpr("'/' || id rule", "true allow"))
+
+
+def test_paragraphs_left_open_do_not_nest(spark):
+    """300 paragraphs, items and cells without an end are 300 siblings, not a page that nests too deep."""
+    open_ = "".join(f"<p><b>line {i}<br><p>more</p>" for i in range(300))
+    html = f'<nav><a href="/one">one</a></nav><article><h1>Title</h1>{open_}<ul>{"<li>x<p>y" * 300}</ul><table>{"<tr><td>a<th>b" * 300}</table></article>'
+    rows = spark.createDataFrame([(1, BASE + "en/a", html)], "page_id long, url string, html string")
+    site = Site(("/",), "article")
+    assert [(r.link, r.nth) for r in layouts.discovered(rows, F.col("url"), site).collect()] == [(BASE + "one", 1)]
+    assert [(r.link, r.text) for r in layouts.cards(rows.withColumn("html", F.replace("html", F.lit("nav>"), F.lit("div>"))), F.col("url"), site).collect()] == [(BASE + "one", "one")]
+    one = layouts.details(rows, F.col("url"), Site(("/en/",), "article")).first()
+    assert (one.status, one.title, len(one.text.split("\n"))) == ("ok", "Title", 1 + 600 + 600 + 300)
+    assert pages.visible("<p><b>a" * 151) == "\n".join("a" * 151) and pages.visible("<div><p>" * 151) is None
+    assert pages.visible("<p hidden>a<p>b<div>c<p>d</div>e") == "b\nc\nd\ne"
