@@ -29,6 +29,7 @@ ISOLATED = r"(?U)^[^\w]*(?:\d{1,2}(?::\d{2})?\s*(?:am|pm)?|\d{1,4}[/\-]\d{1,2}(?
 SINGLE = ("address", "venue", "city", "price", "url", "hours")
 HEADING = 160  # code points of a heading at most
 MOST = 12  # headings of a caption that is split
+SPREAD = 64  # rows to which one text's reading is copied at most
 
 LINE = "struct<words:array<string>,meaningful:boolean,weak:boolean,factless:boolean,support:boolean>"
 TIMES = "array<struct<wording:string,dated:boolean,timed:boolean>>"
@@ -325,6 +326,24 @@ def headings(text: Column, found: Column) -> Column:
     return bound(F.filter(F.transform(lines, heading), lambda h: h.isNotNull()), blocks)
 
 
+def read_once(fragments: DataFrame, item: str, **made) -> DataFrame:
+    """``fragments`` (item, kind, text, ...) with columns made of (kind, text, found): each text is read once, however many fragments repeat it.
+
+    Slides and frames repeat each other, and what a reading gives depends on a
+    text and its kind alone.  What is read is copied to ``SPREAD`` rows at most,
+    where fragments meet it by their items' hash, so that a text that most posts
+    repeat does not meet all of them in one task.  A column is a function of
+    three: text, kind and signals; null kinds are one.
+    """
+    parts = int(fragments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = fragments.withColumn("_d", F.pmod(F.xxhash64(item), F.lit(SPREAD)))
+    dealt = rows.select(F.col("text").alias("_text"), F.col("kind").alias("_kind"), F.col("_d").alias("_n")).distinct()
+    each = dealt.select(F.col("_text").alias("_t"), F.col("_kind").alias("_k")).distinct().repartition(parts).withColumn("_found", analysis.signals(F.col("_t")))
+    read = each.select("_t", "_k", *(f(F.col("_t"), F.col("_k"), F.col("_found")).alias(c) for c, f in made.items()))
+    copies = dealt.join(read, F.col("_text").eqNullSafe(F.col("_t")) & F.col("_kind").eqNullSafe(F.col("_k"))).drop("_t", "_k")
+    return rows.join(copies, F.col("text").eqNullSafe(F.col("_text")) & F.col("kind").eqNullSafe(F.col("_kind")) & (F.col("_d") == F.col("_n"))).drop("_d", "_text", "_kind", "_n")
+
+
 def profiled(fragments: DataFrame, item: str = "item_id") -> DataFrame:
     """(item, profiles) of fragments (item, fragment_id, kind, slot, text, failed): one row a post, its fragments in order.
 
@@ -334,8 +353,7 @@ def profiled(fragments: DataFrame, item: str = "item_id") -> DataFrame:
     """
     usable = ~F.coalesce(F.col("failed"), F.lit(False)) & F.coalesce(texts.meaningful(F.col("text"), v.FUNCTION_WORDS), F.lit(False))
     rows = fragments.select(item, "fragment_id", "kind", F.col("slot").cast("int").alias("slot"), F.coalesce("text", F.lit("")).alias("text"), usable.alias("usable"))
-    rows = rows.withColumn("s", analysis.signals(F.col("text")))
-    rows = rows.withColumn("p", profile(F.col("text"), F.col("kind"), F.col("s"))).withColumn("blocks", F.when(F.col("kind") == CAPTION, headings(F.col("text"), F.col("s"))))
+    rows = read_once(rows, item, p=profile, blocks=lambda text, kind, found: F.when(kind == CAPTION, headings(text, found)))
     place = F.array_position(F.array(*map(F.lit, ORDER)), F.col("kind"))
     gathered = F.array_sort(F.collect_list(F.struct(place.alias("place"), F.coalesce("slot", F.lit(-1)).alias("slot"), "fragment_id", "kind", "usable", "text", "p", "blocks")))
     posts = rows.groupBy(item).agg(gathered.alias("x"))

@@ -53,8 +53,8 @@ def fragment_profile(t):
         F.when((F.col("l_linenumber") == 1) | (kind == 2), name).when(kind == 0, F.concat(F.lit("زمان برگزاری: "), F.col("day").cast("string")))
         .when(kind == 1, F.concat(F.lit("هزینه شرکت‌: "), (F.col("s") % 4 + 1).cast("string"), F.lit("00 تومان"))).otherwise("A different adventure awaits")
     )
-    rows = lines.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("slot"), text.alias("text")).withColumn("found", analysis.signals(F.col("text")))
-    p = rows.withColumn("p", grouping.profile(F.col("text"), F.lit(grouping.SLIDE), F.col("found")))
+    rows = lines.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("slot"), F.lit(grouping.SLIDE).alias("kind"), text.alias("text"))
+    p = grouping.read_once(rows, "k", p=grouping.profile)
     return p.select("k", "slot", "p.anchor", "p.support", F.get("p.times", 0)["wording"].alias("date_wording"), F.col("p.facts.price").alias("price_wording"))
 
 

@@ -1,6 +1,7 @@
 """Posts to announcement units: hand-made posts whose units follow from the rules."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import grouping
 
@@ -113,3 +114,15 @@ def test_captions_with_headings(spark):
 def test_empty_table(spark):
     table = spark.createDataFrame([], "item_id string, fragment_id string, kind string, slot int, text string, failed boolean")
     assert grouping.units(grouping.profiled(table)).collect() == []
+
+
+def test_repeated_texts_are_read_once(spark, monkeypatch):
+    """300 fragments repeat three texts of one kind and one of none: four are read, and each fragment gets its own text's reading."""
+    n = spark.sparkContext.accumulator(0)
+    one = F.udf(lambda t: n.add(1) or [], "array<struct<kind:string,term:string,start:int,stop:int>>")
+    monkeypatch.setattr(grouping.analysis, "signals", one)
+    rows = [(i, ["a", "b", "", None][i % 4], [grouping.SLIDE, grouping.SLIDE, grouping.SLIDE, None][i % 4]) for i in range(300)]
+    table = spark.createDataFrame(rows, "item_id int, text string, kind string").repartition(5)
+    got = grouping.read_once(table, "item_id", x=lambda text, kind, found: F.concat_ws("|", text, kind, F.size(found).cast("string"))).collect()
+    assert sorted((r.item_id, r.text, r.kind, r.x) for r in got) == [(i, t, k, "|".join(x for x in (t, k, "0") if x is not None)) for i, t, k in rows]
+    assert n.value == 4
