@@ -40,6 +40,24 @@ def compatible(a: Column, b: Column) -> Column:
     return a.isNull() | b.isNull() | (a == b)
 
 
+def every_pair(rows: DataFrame, key: str, a: str = "a", b: str = "b", blocks: int = 32) -> DataFrame:
+    """(a, b, columns ending in _x and _y): every two rows of a unique key, once, ``a`` the lesser key; which row is x is open.
+
+    Rows are dealt to blocks by a hash, and two blocks meet in a cell of their
+    own: a shuffled join whose tasks hold one block, whatever the table's file
+    layout.  A row travels ``blocks`` + 1 times; the pairs are all there are.
+    """
+    own = rows.withColumn("_u", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+    names = [c for c in rows.columns if c != key]
+    cell = lambda i, j: i * blocks + j
+    x = own.select(F.col(key).alias("_a"), "_u", *(F.col(c).alias(f"{c}_x") for c in names), F.explode(F.sequence(F.col("_u"), F.lit(blocks - 1))).alias("_j"))
+    y = own.select(F.col(key).alias("_b"), F.col("_u").alias("_v"), *(F.col(c).alias(f"{c}_y") for c in names), F.explode(F.sequence(F.lit(0), F.col("_u"))).alias("_i"))
+    x = x.withColumn("_c", cell(F.col("_u"), F.col("_j"))).drop("_j").repartition(blocks * blocks, "_c")
+    y = y.withColumn("_c", cell(F.col("_i"), F.col("_v"))).drop("_i").repartition(blocks * blocks, "_c")
+    met = x.join(y.hint("shuffle_hash"), "_c").where((F.col("_u") < F.col("_v")) | (F.col("_a") < F.col("_b")))
+    return met.select(F.least("_a", "_b").alias(a), F.greatest("_a", "_b").alias(b), *(f"{c}_x" for c in names), *(f"{c}_y" for c in names))
+
+
 def first_k(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= k).drop("_n")
 

@@ -319,9 +319,8 @@ def reliable(t):
 
 @query("e_fact_conflict", "select a.s_suppkey a, b.s_suppkey b, coalesce(nullif(a.s_nationkey % 7, 0) <> nullif(b.s_nationkey % 7, 0), false) conflict from supplier a join supplier b on a.s_suppkey < b.s_suppkey")
 def fact_conflict(t):
-    a = t.supplier.select(F.col("s_suppkey").alias("a"), F.nullif(F.col("s_nationkey") % 7, F.lit(0)).alias("x"))
-    b = a.select(F.col("a").alias("b"), F.col("x").alias("y"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", entities.differ(F.col("x"), F.col("y")).alias("conflict"))
+    pairs = relational.every_pair(t.supplier.select("s_suppkey", F.nullif(F.col("s_nationkey") % 7, F.lit(0)).alias("v")), "s_suppkey")
+    return pairs.select("a", "b", entities.differ(F.col("v_x"), F.col("v_y")).alias("conflict"))
 
 
 @query("e_survivorship", "select l_orderkey, case when count(distinct l_returnflag) = 1 then min(l_returnflag) end l_returnflag, case when count(distinct l_linestatus) = 1 then min(l_linestatus) end l_linestatus, concat_ws(',', case when count(distinct l_returnflag) > 1 then 'l_returnflag' end, case when count(distinct l_linestatus) > 1 then 'l_linestatus' end) conflicts, count(*) n_members from lineitem group by 1")
