@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
@@ -24,6 +26,9 @@ GENERIC_TITLE = (
 )
 
 
+AT_ONCE = 32  # texts that are Python strings at once
+
+
 def normalize(text: Column) -> Column:
     """Length-preserving: digits to ASCII, Arabic to Persian letters, hidden separators to spaces, lower case."""
     return F.lower(F.translate(text, DIGITS_FROM + LETTERS_FROM + HIDDEN, DIGITS_TO + LETTERS_TO + " " * len(HIDDEN)))
@@ -35,10 +40,16 @@ def fold(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.regexp_replace(plain, r"\p{Cf}", "")), r"\s+", " "))
 
 
-@F.pandas_udf(StringType())
-def compatible(text: pd.Series) -> pd.Series:
+def _normalized(form: str, text: pa.Array) -> pa.Array:
+    """A Unicode form of each text, ``AT_ONCE`` rows at a time: a batch is never held as Python strings, which take up to four bytes a character."""
+    parts = [pa.array([None if t is None else unicodedata.normalize(form, t) for t in text.slice(a, AT_ONCE).to_pylist()], pa.string()) for a in range(0, len(text), AT_ONCE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+
+@F.arrow_udf(StringType())
+def compatible(text: pa.Array) -> pa.Array:
     """NFKC; Spark has no function for it, so only text beyond ASCII should come here."""
-    return text.str.normalize("NFKC")
+    return _normalized("NFKC", text)
 
 
 def text_key(text: Column, ascii_only: bool = False) -> Column:
@@ -95,10 +106,10 @@ def detect_language(text: Column) -> Column:
     return F.when(persian > latin, "fa").when(latin > persian, "en")
 
 
-@F.pandas_udf(StringType())
-def composed(text: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def composed(text: pa.Array) -> pa.Array:
     """NFC, for text beyond ASCII."""
-    return text.str.normalize("NFC")
+    return _normalized("NFC", text)
 
 
 def display_text(text: Column) -> Column:
