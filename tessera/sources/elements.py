@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,6 +102,23 @@ def parsed(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFr
     return pages.select(F.col(key).alias("key"), html).mapInArrow(read, f"key {kind}, {ELEMENT}").withColumnRenamed("key", key)
 
 
+def scripts(html: str) -> Column:
+    """What each script without an address holds, without blanks around it, in order, as an array of a page; a page that nests too deep has none."""
+
+    def own(page: str | None) -> list[str]:
+        reader = _Rows()
+        reader.feed(page or "")
+        reader.close()
+        return [r[7].strip(" \t\n\x0b\f\r") for r in reader.finished() if r[5] == "script" and not dict(r[6]).get("src")]
+
+    @F.pandas_udf("array<string>")
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(own)
+
+    return read(F.col(html))
+
+
 # ---- selectors
 
 

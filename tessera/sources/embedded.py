@@ -2,9 +2,10 @@
 
 A page's script passes one JSON string to a stream; the string is an array whose
 objects are ``{"_k": v}``, numbers of the array's entries that hold the key and
-the value.  Pages become rows of entries; each step along the few paths of
-interest is a join of pointers with entries, so nothing else of a page is ever
-read, a cycle is never followed, and no table of values is held by one task.
+the value.  A page's table stays in the page's row, within the bounds below;
+each step along the few paths of interest looks up one entry there, so nothing
+else of a page is followed, a cycle never, and no pointer meets an entry by a
+shuffle.
 What does not have the documented shape is refused with a code and no values.
 """
 
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import temporal
+from tessera.functions.temporal import bound
 from tessera.operators.storage import settled
 from tessera.sources import elements as el
 
@@ -36,60 +38,107 @@ OUT = "page_id, locator, session_id, event_id, timeslot_id, start_iso, end_iso,
 
 def payloads(pages: DataFrame) -> DataFrame:
     """(page_id, event_id, status, serialized): the page's one payload, or why there is none."""
-    scripts = el.parsed(pages).where("tag = 'script'").where(el.attr("src") == "").select("page_id", F.trim(F.regexp_replace("own", r"^\s+|\s+$", "")).alias("s")).where(F.contains("s", F.lit(ENQUEUE)))
-    one = scripts.groupBy("page_id").agg(F.count("*").alias("n"), F.any_value("s").alias("s"))
-    rows = pages.select("page_id", F.nullif(F.regexp_extract("url", r"^[a-z]+://[^/?#]*/events/([A-Za-z0-9_-]{1,100})/?(?:[?#].*)?$", 1), F.lit("")).alias("event_id")).join(one, "page_id", "left")
-    argument = F.regexp_extract("s", rf'(?s)^{ENQUEUE.replace(".", chr(92) + ".")}\(\s*("(?:[^"\\]|\\.)*+")\s*\);?$', 1)
-    text = F.get(F.from_json(F.concat(F.lit("["), argument, F.lit("]")), "array<string>"), 0)
+    scripts = F.filter(el.scripts("html"), lambda x: F.contains(x, F.lit(ENQUEUE)))
+    rows = pages.select("page_id", F.nullif(F.regexp_extract("url", r"^[a-z]+://[^/?#]*/events/([A-Za-z0-9_-]{1,100})/?(?:[?#].*)?$", 1), F.lit("")).alias("event_id"), scripts.alias("_found"))
+    rows = rows.select("page_id", "event_id", F.size("_found").alias("n"), F.get("_found", F.lit(0)).alias("s"))
+    argument = F.regexp_extract("s", rf'(?s)^{ENQUEUE.replace(".", chr(92) + ".")}\(\s*("[^"\\]*+(?:\\.[^"\\]*+)*+")\s*\);?$', 1)
+    rows = rows.withColumn("argument", argument).withColumn("text", F.get(F.from_json(F.concat(F.lit("["), "argument", F.lit("]")), "array<string>"), 0))
     status = (
-        F.when(F.col("event_id").isNull(), "unsupported_path").when(F.col("n").isNull(), "absent").when(F.col("n") > 1, "drift_payload_count")
-        .when(F.char_length("s") > LONGEST, "drift_payload_size").when(argument == "", "drift_call_shape").when(text.isNull() | (F.char_length(text) > LONGEST), "drift_table")
+        F.when(F.col("event_id").isNull(), "unsupported_path").when(F.col("n") == 0, "absent").when(F.col("n") > 1, "drift_payload_count")
+        .when(F.char_length("s") > LONGEST, "drift_payload_size").when(F.col("argument") == "", "drift_call_shape").when(F.col("text").isNull() | (F.char_length("text") > LONGEST), "drift_table")
     )
-    return rows.select("page_id", "event_id", status.alias("status"), F.when(status.isNull(), text).alias("serialized"))
+    return rows.withColumn("status", status).select("page_id", "event_id", "status", F.when(F.col("status").isNull(), F.col("text")).alias("serialized"))
 
 
-def entries(found: DataFrame) -> DataFrame:
-    """(page_id, i, type, text) of the tables' values: text is a string itself, and JSON of anything else."""
-    values = F.try_variant_get(F.try_parse_json("serialized"), "$", "array<variant>")
-    rows = found.where("serialized is not null").select("page_id", values.alias("v")).where(F.size("v").between(1, ENTRIES))
-    typed = rows.select("page_id", F.posexplode("v").alias("i", "v")).withColumn("type", F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0))
-    return typed.select("page_id", "i", "type", F.when(F.col("type") == "STRING", F.try_variant_get("v", "$", "string")).otherwise(F.to_json("v")).alias("text"))
+def entries(serialized: Column) -> Column:
+    """The table's values as (type, text), in order: text is a string itself, and JSON of anything else; null for what is no table."""
+    values = F.try_variant_get(F.try_parse_json(serialized), "$", "array<variant>")
 
+    def typed(v: Column) -> Column:
+        def told(json: Column) -> Column:
+            first = F.substring(json, 1, 1)
+            kind = F.when(first == '"', "STRING").when(first == "{", "OBJECT").when(first == "[", "ARRAY").otherwise(F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0))
+            return F.struct(kind.alias("type"), F.when(first == '"', F.try_variant_get(v, "$", "string")).otherwise(json).alias("text"))
 
-def objects(table: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
-    """(*keys, fields): what the objects that ``wanted`` (page_id, at, *keys) points to map to where; null for anything but a well-formed object."""
-    held = wanted.join(table.withColumnRenamed("i", "at"), ["page_id", "at"], "left")
-    raw = F.when(F.col("type") == "OBJECT", F.map_entries(F.from_json("text", "map<string,string>")))
-    rows = held.select(*keys, F.coalesce(F.size(raw).between(0, KEYS), F.lit(False)).alias("ok"), F.explode_outer(raw).alias("kv"))
-    rows = rows.select(*keys, "ok", F.regexp_extract("kv.key", "^_([0-9]{1,9})$", 1).try_cast("int").alias("i"), F.when(F.col("kv.value").rlike("^-?[0-9]{1,15}$"), F.col("kv.value").cast("long")).alias("ref"), F.col("kv").isNotNull().alias("some"))
-    named = rows.join(table.where("type = 'STRING'").select("page_id", "i", F.col("text").alias("name")), ["page_id", "i"], "left")
-    good = F.col("ok") & (~F.col("some") | (F.col("name").isNotNull() & (F.char_length("name") <= NAME) & F.col("ref").isNotNull()))
-    pairs = F.collect_list(F.when(F.col("name").isNotNull(), F.struct("name", F.coalesce("ref", F.lit(0)).alias("ref"))))
-    agg = named.groupBy(*keys).agg(F.bool_and(F.coalesce(good, F.lit(False))).alias("_ok"), pairs.alias("_p"), F.count_distinct("name").alias("_n"))
-    return agg.select(*keys, F.when(F.col("_ok") & (F.size("_p") == F.col("_n")), F.map_from_entries("_p")).alias("fields"))
+        return bound(F.to_json(v), told)
 
+    return bound(values, lambda v: F.when(F.size(v).between(1, ENTRIES), F.transform(v, typed)))
 
-def values(table: DataFrame, of: DataFrame, keys: list[str], names: tuple[str, ...]) -> DataFrame:
-    """``of`` with ``vals``: name -> (type, text) of the named fields; VOID for null, REFERENCE for a pointer to nowhere."""
-    pointed = of.select(*keys, F.explode(F.map_filter("fields", lambda k, _: k.isin(*names))).alias("name", "ref"))
-    read = pointed.join(table.select("page_id", F.col("i").cast("long").alias("ref"), "type", "text"), ["page_id", "ref"], "left")
-    kind = F.when(F.col("ref") == NULL, "VOID").otherwise(F.coalesce("type", F.lit("REFERENCE")))
-    vals = read.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct(kind.alias("type"), F.when(kind != "VOID", F.col("text")).alias("text")).alias("v")))).alias("vals"))
-    return of.join(vals, keys, "left")
 
+def entry(table: Column, at: Column) -> Column:
+    """The entry that a number points to; null for a pointer to nowhere."""
+    return F.get(table, at.try_cast("int"))
 
-def listed(table: DataFrame, wanted: DataFrame, keys: list[str], alias: str) -> DataFrame:
-    """(*keys, alias, at) of the pointers in the arrays that ``wanted`` (page_id, ref, *keys) points to."""
-    rows = wanted.join(table.where("type = 'ARRAY'").select("page_id", F.col("i").cast("long").alias("ref"), "text"), ["page_id", "ref"])
-    return rows.select(*keys, F.posexplode(F.from_json("text", "array<string>")).alias(alias, "at")).withColumn("at", F.when(F.col("at").rlike("^[0-9]{1,9}$"), F.col("at").cast("int")))
+
+def fields(table: Column, at: Column) -> Column:
+    """What the object that ``at`` points to maps to where, as (name, ref) pairs; null for anything but a well-formed object."""
+
+    def pair(kv: Column) -> Column:
+        named = entry(table, F.regexp_extract(kv["key"], "^_([0-9]{1,9})$", 1).try_cast("int"))
+        ref = F.when(kv["value"].rlike("^-?[0-9]{1,15}$"), kv["value"].cast("long"))
+        return bound(named, lambda e: F.struct(F.when(e["type"] == "STRING", e["text"]).alias("name"), ref.alias("ref")))
+
+    def checked(pairs: Column) -> Column:
+        good = F.forall(pairs, lambda p: F.coalesce((F.char_length(p["name"]) <= NAME) & p["ref"].isNotNull(), F.lit(False)))
+        return F.when(good & (F.size(F.array_distinct(F.transform(pairs, lambda p: p["name"]))) == F.size(pairs)), pairs)
+
+    raw = bound(entry(table, at), lambda e: F.when(e["type"] == "OBJECT", F.map_entries(F.from_json(e["text"], "map<string,string>"))))
+    return bound(raw, lambda r: F.when(F.size(r) <= KEYS, bound(F.transform(r, pair), checked)))
+
+
+def pointer(pairs: Column, name: str) -> Column:
+    return F.get(F.filter(pairs, lambda p: p["name"] == name), F.lit(0))["ref"]
+
+
+def listed(table: Column, ref: Column) -> Column:
+    """The items of the array that ``ref`` points to, as JSON; null for anything else."""
+    return bound(entry(table, ref), lambda e: F.when(e["type"] == "ARRAY", F.from_json(e["text"], "array<string>")))
+
+
+def place(item: Column) -> Column:
+    """The place in the table that a list's item points to."""
+    return F.when(item.rlike("^[0-9]{1,9}$"), item.cast("int"))
+
+
+def vals(table: Column, pairs: Column, names: tuple[str, ...]) -> Column:
+    """The named fields as (type, text), null where there is none; VOID for null, REFERENCE for a pointer to nowhere.  A text is read as far as its bound and one character more."""
+
+    def read(p: Column) -> Column:
+        def told(e: Column) -> Column:
+            kind = F.when(p["ref"] == NULL, "VOID").otherwise(F.coalesce(e["type"], F.lit("REFERENCE")))
+            return F.struct(p["name"].alias("name"), bound(kind, lambda k: F.struct(k.alias("type"), F.when(k != "VOID", F.substring(e["text"], 1, NAME + 1)).alias("text"))).alias("v"))
+
+        return bound(entry(table, p["ref"]), told)
+
+    found = F.map_from_entries(F.transform(F.filter(pairs, lambda p: p["name"].isin(*names)), read))
+    return bound(found, lambda m: F.struct(*(F.try_element_at(m, F.lit(n)).alias(n) for n in names)))
+
+
+def record(table: Column, at: Column, names: tuple[str, ...]) -> Column:
+    """An object as (known, n_fields, n_extra, unsafe, extra, timeslots, vals): its named fields, and of others how many, whether a name is unsafe, and the first safe names."""
+
+    def told(pairs: Column) -> Column:
+        others = F.filter(F.transform(pairs, lambda p: p["name"]), lambda n: ~n.isin(*names))
+        extra = lambda o: F.slice(F.array_sort(F.filter(o, lambda n: n.rlike(SAFE))), 1, DRIFT)
+        return bound(others, lambda o: F.struct(
+            pairs.isNotNull().alias("known"), F.size(pairs).alias("n_fields"), F.size(o).alias("n_extra"), F.exists(o, lambda n: ~n.rlike(SAFE)).alias("unsafe"), extra(o).alias("extra"),
+            pointer(pairs, "timeslots").alias("timeslots"), vals(table, pairs, names).alias("vals"),
+        ))
+
+    return bound(fields(table, at), told)
+
+
+def apart(value: Column) -> Column:
+    """A value of many parts, as a function of its own: inlined in a stage's code it makes a method that is too long to be compiled."""
+    return bound(F.lit(0), lambda _: value)
 
 
 def _kind(name: str) -> Column:
-    return F.try_element_at("vals", F.lit(name))["type"]
+    return F.col("vals")[name]["type"]
 
 
 def _text(name: str) -> Column:
-    return F.try_element_at("vals", F.lit(name))["text"]
+    return F.col("vals")[name]["text"]
 
 
 def _void(name: str) -> Column:
@@ -137,60 +186,52 @@ def extract(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     Copies of a record are one; records that contradict each other under one id
     are none, nor do contradicting counts of seats stay.
     """
-    found = settled(payloads(pages))
-    table = settled(entries(found))
-    k = ["page_id"]
-    at = lambda df, name: df.select("page_id", F.try_element_at("fields", F.lit(name)).try_cast("int").alias("at")).where("at is not null")
-    start = found.where("serialized is not null").select("page_id", F.lit(0).alias("at"))
-    loaders = objects(table, at(objects(table, start, k), "loaderData"), k)
-    route = settled(objects(table, at(loaders, ROUTE), k).where("fields is not null"))
-    event = values(table, objects(table, at(route, "event"), k).where("fields is not null"), k, ("id",)).select("page_id", F.when(_string("id"), _text("id")).alias("owner"))
-    pointer = route.select("page_id", F.try_element_at("fields", F.lit("sessions")).alias("ref"), F.map_contains_key("fields", F.lit("sessions")).alias("_has"))
-    lists = pointer.join(table.where("type = 'ARRAY'").select("page_id", F.col("i").cast("long").alias("ref"), F.size(F.from_json("text", "array<string>")).alias("n")), ["page_id", "ref"], "left")
-    first = table.where("i = 0").select("page_id", F.lit(True).alias("_table"))
-    envelope = found.join(first, "page_id", "left").join(lists.select("page_id", F.lit(True).alias("_route"), "n"), "page_id", "left").join(event, "page_id", "left")
+    rows = payloads(pages).withColumn("table", entries(F.col("serialized")))
+    table = F.col("table")
+    route = bound(fields(table, F.lit(0)), lambda p: bound(fields(table, pointer(p, "loaderData").try_cast("int")), lambda q: fields(table, pointer(q, ROUTE).try_cast("int"))))
+    rows = rows.withColumn("route", route).withColumn("refs", listed(table, pointer(F.col("route"), "sessions")))
+    rows = rows.withColumn("vals", vals(table, fields(table, pointer(F.col("route"), "event").try_cast("int")), ("id",))).withColumn("owner", F.when(_string("id"), _text("id")))
+    n = F.size("refs")
     stage = (
-        F.when(F.col("status").isNotNull(), F.col("status")).when(F.col("_table").isNull(), "drift_table").when(F.col("_route").isNull(), "drift_route")
-        .when(F.col("owner").isNull() | (F.col("owner") != F.col("event_id")), "drift_event_identity").when(F.col("n").isNull() | (F.col("n") > SESSIONS), "drift_sessions").when(F.col("n") == 0, "empty")
+        F.when(F.col("status").isNotNull(), F.col("status")).when(table.isNull(), "drift_table").when(F.col("route").isNull(), "drift_route")
+        .when(F.col("owner").isNull() | (F.col("owner") != F.col("event_id")), "drift_event_identity").when(F.col("refs").isNull() | (n > SESSIONS), "drift_sessions").when(n == 0, "empty")
     )
-    state = settled(envelope.select("page_id", "event_id", stage.alias("stage")))
-    good = state.where("stage is null").select("page_id", "event_id")
-    refs = listed(table, pointer.join(good, "page_id").select("page_id", "ref"), k, "nth")
-    s = settled(_sessions(table, refs, good))
-    t = settled(_timeslots(table, s))
-    return _kept(s, t, state)
-
-
-def _sessions(table: DataFrame, refs: DataFrame, good: DataFrame) -> DataFrame:
-    """Each session with its fields, their values, how many timeslots it lists, and why it is refused, if it is."""
-    k = ["page_id", "nth"]
-    rows = values(table, objects(table, refs, k), k, SESSION).join(good, "page_id")
-    slots = rows.select(*k, F.try_element_at("fields", F.lit("timeslots")).alias("ref"))
-    counted = slots.join(table.where("type = 'ARRAY'").select("page_id", F.col("i").cast("long").alias("ref"), F.size(F.from_json("text", "array<string>")).alias("n_slots")), ["page_id", "ref"], "left").select(*k, "n_slots")
-    rows = rows.join(counted, k).withColumn("extra", F.array_sort(F.array_except(F.map_keys("fields"), F.array(*map(F.lit, SESSION)))))
-    unsafe = F.exists("extra", lambda x: ~x.rlike(SAFE)) | (F.size("extra") > DRIFT)
-    alone = (F.size("extra") > 0) | (F.col("n_slots") > 0)  # only a session as documented, without timeslots, has facts of its own
+
+    def session(item: Column) -> Column:
+        def whole(r: Column) -> Column:
+            slots = lambda x: F.when(F.size(x).between(1, SLOTS), F.transform(x, lambda y: record(table, place(y), SLOT)))
+            return bound(listed(table, r["timeslots"]), lambda x: F.struct(r.alias("r"), F.when(x.isNotNull(), F.size(x)).alias("n_slots"), slots(x).alias("slots")))
+
+        return bound(record(table, place(item), SESSION), whole)
+
+    rows = rows.withColumn("stage", stage).select("page_id", "event_id", "stage", F.when(F.col("stage").isNull(), F.transform("refs", session)).alias("sessions"))
+    state = settled(rows)
+    s = settled(_sessions(state.where("stage is null").select("page_id", "event_id", F.posexplode("sessions").alias("nth", "s")).select("page_id", "event_id", "nth", "s.r.*", "s.n_slots", "s.slots")))
+    return _kept(s, settled(_timeslots(s)), state.select("page_id", "event_id", "stage"))
+
+
+def _sessions(rows: DataFrame) -> DataFrame:
+    """Each session with why it is refused, if it is."""
+    unsafe = F.col("unsafe") | (F.col("n_extra") > DRIFT)
+    alone = (F.col("n_extra") > 0) | (F.col("n_slots") > 0)  # only a session as documented, without timeslots, has facts of its own
     why = (
-        F.when(F.col("fields").isNull(), "field").when(unsafe, "new_properties").when(~_all([F.map_contains_key("fields", F.lit(n)) for n in READ[:3]]) | ~_scalars(READ), "field")
+        F.when(~F.col("known"), "field").when(unsafe, "new_properties").when(~_all([F.col("vals")[n].isNotNull() for n in READ[:3]]) | ~_scalars(READ), "field")
         .when(F.coalesce(_text("eventId") != F.col("event_id"), F.lit(True)) | (_kind("eventId") != "STRING"), "field").when(~_flag("soldOut"), "sold_out_type")
-        .when(F.col("n_slots").isNull() | (F.col("n_slots") > SLOTS) | ((F.col("n_slots") > 0) & (F.size("extra") > 0)), "timeslots")
+        .when(F.col("n_slots").isNull() | (F.col("n_slots") > SLOTS) | ((F.col("n_slots") > 0) & (F.col("n_extra") > 0)), "timeslots")
         .when(~(_number("hostDiscountPct", most=100) & _number("platformDiscountPct", most=100)), "field").when(~(_string("id") & _string("startIso")), "field")
         .when(~_text("id").rlike(IDENTITY) | temporal.iso_instant(_text("startIso")).isNull() | ~_number("durationHours", most=744, above=True), "field")
         .when(~alone & ~(_number("pricePerPerson") & _number("unitPrice") & _whole("remainingSeats") & _flag("enabled")), "field")
     )
-    return rows.withColumn("why", why)
+    return rows.withColumn("why", apart(why))
 
 
-def _timeslots(table: DataFrame, s: DataFrame) -> DataFrame:
+def _timeslots(s: DataFrame) -> DataFrame:
     """Each timeslot of the sessions that are not refused, with its values, its parent's, and why it is refused."""
-    k = ["page_id", "nth", "slot"]
-    parents = s.where("why is null and n_slots > 0").select("page_id", "nth", "event_id", F.try_element_at("fields", F.lit("timeslots")).alias("ref"), _text("id").alias("parent"), _text("startIso").alias("parent_start"), _value("durationHours").alias("hours"), _value("soldOut", "boolean").alias("sold_out"))
-    refs = listed(table, parents.select("page_id", "nth", "ref"), k[:2], "slot")
-    rows = values(table, objects(table, refs, k), k, SLOT).join(parents.drop("ref"), k[:2])
-    rows = rows.withColumn("extra", F.array_sort(F.array_except(F.map_keys("fields"), F.array(*map(F.lit, SLOT)))))
+    parents = s.where("why is null and n_slots > 0").select("page_id", "nth", "event_id", _text("id").alias("parent"), _text("startIso").alias("parent_start"), _value("durationHours").alias("hours"), _value("soldOut", "boolean").alias("sold_out"), F.posexplode("slots").alias("slot", "r"))
+    rows = parents.select("*", "r.known", "r.n_fields", "r.n_extra", "r.extra", "r.vals").drop("r")
     begin, end = temporal.iso_instant(_text("startAt")), temporal.iso_instant(_text("endAt"))
     why = (
-        F.when(F.col("fields").isNull(), "timeslots").when(F.size("extra") > 0, "timeslot_new_properties").when(F.size("fields") < len(SLOT), "timeslot_missing_properties").when(~_scalars(SLOT), "field")
+        F.when(~F.col("known"), "timeslots").when(F.col("n_extra") > 0, "timeslot_new_properties").when(F.col("n_fields") < len(SLOT), "timeslot_missing_properties").when(~_scalars(SLOT), "field")
         .when(~_all([_string(n) for n in SLOT[:4]]), "timeslot_type").when(_text("sessionId") != F.col("parent"), "timeslot_ownership").when(F.coalesce(_kind("enabled") != "BOOLEAN", F.lit(True)), "timeslot_type")
         .when(begin.isNull() | end.isNull(), "timeslot_timestamp").when(end <= begin, "timeslot_order").when(~(_number("pricePerPerson") & _number("unitPrice")), "timeslot_type")
         .when(~(_number("hostDiscountPct", most=100) & _number("platformDiscountPct", most=100)), "timeslot_type").when(~_all([_whole(n) for n in ("capacityLimit", "bookedCount", "remainingSeats")]), "timeslot_type")
@@ -199,13 +240,13 @@ def _timeslots(table: DataFrame, s: DataFrame) -> DataFrame:
     opens = temporal.iso_instant(F.col("parent_start"))
     inside = (begin >= opens) & (end <= F.timestamp_micros(F.unix_micros(opens) + (F.col("hours").cast("decimal(20,6)") * 3_600_000_000).cast("long")))
     status = F.when(F.col("hours").isNull(), "timeslot_parent_window_unknown").when(~inside, "timeslot_outside_parent_window")
-    return rows.withColumn("why", why).withColumn("window", F.when(F.col("why").isNull(), status))
+    return rows.withColumn("why", apart(why)).withColumn("window", F.when(F.col("why").isNull(), status))
 
 
 def _kept(s: DataFrame, t: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
     none = F.lit(None).cast("string")
     locator = F.concat(F.lit(f"react-router:loaderData/{ROUTE}/sessions/"), F.col("nth").cast("string"))
-    extra = F.size("extra") > 0
+    extra = F.col("n_extra") > 0
     facts = lambda name, kind="string": F.when(~extra, _value(name, kind))
     whole = s.where("why is null and n_slots = 0").select(
         "page_id", "nth", F.lit(-1).alias("slot"), locator.alias("locator"), _text("id").alias("session_id"), "event_id", none.alias("timeslot_id"), _text("startIso").alias("start_iso"), none.alias("end_iso"),
@@ -222,7 +263,7 @@ def _kept(s: DataFrame, t: DataFrame, state: DataFrame) -> tuple[DataFrame, Data
         _value("platformDiscountPct").alias("platform_discount_pct"), count("remainingSeats").alias("remaining_seats"), _value("enabled", "boolean").alias("enabled"), count("capacityLimit").alias("capacity_limit"), count("bookedCount").alias("booked_count"),
         "sold_out", F.col("window").alias("schema_status"),
     )
-    rows = whole.union(children)
+    rows = whole.union(children).repartition("page_id")
     one = Window.partitionBy("page_id", F.when(F.col("timeslot_id").isNull(), F.concat(F.lit("s:"), "session_id")).otherwise(F.concat(F.lit("t:"), "timeslot_id")))
     same = F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in OUT if c not in ("page_id", "locator")))
     session = Window.partitionBy("page_id", "session_id")
@@ -238,8 +279,8 @@ def _kept(s: DataFrame, t: DataFrame, state: DataFrame) -> tuple[DataFrame, Data
         F.when(~dropped & (F.col("price_per_person").isNotNull() | F.col("unit_price").isNotNull()), "embedded_session_price_unit_unknown"), F.when(~dropped & (discount("host_discount_pct") | discount("platform_discount_pct")), "embedded_session_discount_unresolved"),
     )
     refused = lambda df: df.where("why is not null").select("page_id", F.explode(F.array(F.lit("embedded_session_schema_drift"), F.concat(F.lit("embedded_session_drift_"), "why"))).alias("code"))
-    drifted = s.where("size(extra) > 0").select("page_id", F.explode(F.filter("extra", lambda x: x.rlike(SAFE))).alias("key")).union(t.where("why = 'timeslot_new_properties'").select("page_id", F.explode(F.filter("extra", lambda x: x.rlike(SAFE)))))
-    new = s.where("why is null and size(extra) > 0").select("page_id", F.lit("embedded_session_drift_new_properties").alias("code"))
+    drifted = s.select("page_id", F.explode("extra").alias("key")).union(t.where("why = 'timeslot_new_properties'").select("page_id", F.explode("extra")))
+    new = s.where("why is null and n_extra > 0").select("page_id", F.lit("embedded_session_drift_new_properties").alias("code"))
     uneven = t.where("why is null").where(false).select("page_id", F.lit("embedded_timeslot_availability_inconsistent").alias("code"))
     codes = rows.select("page_id", F.explode(said).alias("code")).where("code is not null").union(refused(s)).union(refused(t)).union(new).union(uneven)
     stages = state.where("stage is not null").select("page_id", F.explode(F.when(F.col("stage").startswith("drift_"), F.array(F.lit("embedded_sessions_schema_drift"), F.concat(F.lit("embedded_sessions_"), "stage"))).otherwise(F.array(F.concat(F.lit("embedded_sessions_"), "stage")))).alias("code"))

@@ -128,3 +128,12 @@ def test_facts(read):
 def test_no_pages(spark):
     sessions, pages = embedded.extract(spark.createDataFrame([], "page_id string, url string, html string"))
     assert sessions.collect() == [] and pages.collect() == [] and sessions.columns == embedded.OUT
+
+
+def test_pages_are_read_without_a_shuffle(spark, monkeypatch):
+    """A page's payload, table and sessions are found in its own row: no pointer meets an entry by a join."""
+    saved = []
+    monkeypatch.setattr(embedded, "settled", lambda df: saved.append(df) or df)
+    embedded.extract(spark.createDataFrame([("plain", "https://a.example/events/demo", page(encoded(CASES["plain"])))], "page_id string, url string, html string"))
+    plan = saved[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "sessions" in saved[0].columns
