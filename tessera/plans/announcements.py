@@ -125,7 +125,8 @@ def sold_out(t):
 
 @query("x_unique_preferred_title", f"with {SQL} select o_orderkey, case when count(distinct title) = 1 then min(title) end title, count(distinct title) > 1 conflict from c where kind = 'event' group by 1")
 def unique_preferred_title(t):
-    return classified(t).where("kind = 'event'").groupBy("o_orderkey").agg(relational.unanimous(F.col("title"), F.col("id")).alias("title"), (F.count_distinct("title") > 1).alias("conflict"))
+    differ = F.coalesce(F.min("title") != F.max("title"), F.lit(False))
+    return classified(t).where("kind = 'event'").groupBy("o_orderkey").agg(relational.unanimous(F.col("title"), F.col("id")).alias("title"), differ.alias("conflict"))
 
 
 @query("x_tiered_merge", "with r as (select l_orderkey, case when l_linenumber <= 2 then 0 else 1 end tier, l_returnflag v from lineitem), m as (select l_orderkey, min(tier) tier from r group by 1) select l_orderkey, case when count(distinct v) = 1 then min(v) end as flag from r join m using (l_orderkey, tier) group by 1")
