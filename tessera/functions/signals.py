@@ -95,13 +95,12 @@ def minutes(text: Column) -> Column:
 
 def admission(kind: Column, title_: Column, text: Column) -> Column:
     """Why a candidate is not shown, or null: it must be an event with a real title that its text supports."""
-    key = texts.text_key(title_, True)
-    return (
-        F.when(kind != "event", "not_established_event")
-        .when(title_.isNull() | (key == ""), "missing_title")
-        .when(key.isin(*sorted({" ".join(t.text for t in tokenized(p)) for p in PLACEHOLDERS})), "placeholder_title")
-        .when(~F.contains(texts.text_key(text, True), key), "unsupported_title")
-    )
+    placeholders = sorted({" ".join(t.text for t in tokenized(p)) for p in PLACEHOLDERS})
+
+    def judged(key: Column) -> Column:
+        return F.when(key.isNull() | (key == ""), "missing_title").when(key.isin(*placeholders), "placeholder_title").when(~F.contains(texts.text_key(text, True), key), "unsupported_title")
+
+    return F.when(kind != "event", "not_established_event").otherwise(bound(texts.text_key(title_, True), judged))
 
 
 def context_guard(text: Column) -> Column:
