@@ -6,11 +6,11 @@ import re
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.text import DIGITS_FROM, DIGITS_TO, HIDDEN, LETTERS_FROM, LETTERS_TO
+from tessera.functions.text import AT_ONCE, DIGITS_FROM, DIGITS_TO, HIDDEN, LETTERS_FROM, LETTERS_TO
 
 # Arabic vowel marks, which stay inside a word and do not count.
 MARKS = "\u064b-\u0652\u0670\u0654\u0655"
@@ -18,6 +18,7 @@ WORD = re.compile(rf"[^\W_]+(?:[{MARKS}][^\W_]*)*")
 MARK = re.compile(f"[{MARKS}]")
 SAME = str.maketrans(DIGITS_FROM + LETTERS_FROM + HIDDEN, DIGITS_TO + LETTERS_TO + " " * len(HIDDEN))
 SPANS = "array<struct<phrase:string,start:int,stop:int>>"
+FOUND = pa.list_(pa.struct([("phrase", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
 
 
 class Token(NamedTuple):
@@ -68,12 +69,17 @@ class Vocabulary:
 
 
 def spans(text: Column, phrases: Iterable[str]) -> Column:
-    """(phrase, start, stop) of every phrase found in a text, in text order; a null text has none."""
+    """(phrase, start, stop) of every phrase found in a text, in text order; a null text has none.  Few texts of a batch are Python strings at once."""
     vocabulary = Vocabulary(phrases)
 
-    @F.pandas_udf(SPANS)
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def one(t: str | None) -> list[dict]:
+        tokens = tokenized(t or "")
+        return [{"phrase": p, "start": tokens[a].start, "stop": tokens[b - 1].stop} for p, a, b in vocabulary.find(tokens)]
+
+    @F.arrow_udf(SPANS)
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield batch.map(lambda t: [{"phrase": p, "start": tokens[a].start, "stop": tokens[b - 1].stop} for tokens in [tokenized(t or "")] for p, a, b in vocabulary.find(tokens)])
+            parts = [pa.array([one(t) for t in batch.slice(a, AT_ONCE).to_pylist()], FOUND) for a in range(0, len(batch), AT_ONCE)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], FOUND)
 
     return find(text)
