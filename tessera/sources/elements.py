@@ -22,6 +22,7 @@ from tessera.sources.pages import BLOCKS, DEPTH, ENDS, HIDDEN, VOID, ended
 ELEMENT = "open int, stop int, depth int, parent int, nth int, tag string, attrs map<string,string>, own string, text string"
 #: Parts of pages that are never about the page's own subject.
 ASIDES = (".related", "#related", ".recommendations", "#recommendations", ".comments", "#comments", ".reviews", "#reviews", ".faq", "#faq", "aside")
+ROWS, CHARACTERS = 4096, 1 << 20  # elements and characters of pages that are sent at once
 LINE_END = r"[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 
@@ -86,18 +87,32 @@ def parsed(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFr
     """
     kind = pages.schema[key].dataType.simpleString()
 
+    types = [pa.int32()] * 5 + [pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string()]
+
+    def made(ids: pa.Array, places: list[int], rows: list[list]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True)
+        return pa.record_batch([ids.take(pa.array(places)), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["key", "open", "stop", "depth", "parent", "nth", "tag", "attrs", "own", "text"])
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, html_ in enumerate(batch.column(1).to_pylist()):
+            places: list[int] = []
+            rows: list[list] = []
+            size = 0
+            for i in range(len(batch)):
+                page = batch.column(1)[i].as_py() or ""
                 reader = _Rows()
-                reader.feed(html_ or "")
+                reader.feed(page)
                 reader.close()
-                rows = reader.finished()
-                if rows:
-                    columns = list(zip(*rows, strict=True))
-                    types = [pa.int32()] * 5 + [pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string()]
-                    ids = batch.column(0).take(pa.array([i] * len(rows)))
-                    yield pa.record_batch([ids, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["key", "open", "stop", "depth", "parent", "nth", "tag", "attrs", "own", "text"])
+                found = reader.finished()
+                places += [i] * len(found)
+                rows += found
+                size += len(page)
+                if len(rows) >= ROWS or size >= CHARACTERS:
+                    if rows:
+                        yield made(batch.column(0), places, rows)
+                    places, rows, size = [], [], 0
+            if rows:
+                yield made(batch.column(0), places, rows)
 
     return pages.select(F.col(key).alias("key"), html).mapInArrow(read, f"key {kind}, {ELEMENT}").withColumnRenamed("key", key)
 

@@ -176,3 +176,28 @@ def test_paragraphs_left_open_do_not_nest(spark):
     assert (one.status, one.title, len(one.text.split("\n"))) == ("ok", "Title", 1 + 600 + 600 + 300)
     assert pages.visible("<p><b>a" * 151) == "\n".join("a" * 151) and pages.visible("<div><p>" * 151) is None
     assert pages.visible("<p hidden>a<p>b<div>c<p>d</div>e") == "b\nc\nd\ne"
+
+
+def test_small_pages_are_sent_together(spark, monkeypatch):
+    """Rows of several pages travel in one Arrow batch: one batch a page costs more than to parse it."""
+    made = []
+    monkeypatch.setattr(elements.pa, "record_batch", lambda *a, f=elements.pa.record_batch, **b: made.append(f(*a, **b)) or made[-1])
+    taken = {}
+
+    class Pages:
+        schema = spark.range(1).withColumnRenamed("id", "page_id").schema
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, _):
+            taken["f"] = f
+            return self
+
+        withColumnRenamed = select
+
+    elements.parsed(Pages())
+    batch = elements.pa.RecordBatch.from_arrays([elements.pa.array(range(500), elements.pa.int64()), elements.pa.array(["<p>a</p>", None, "", "<i>b"] * 125)], names=["page_id", "html"])
+    rows = [r for b in taken["f"](iter([batch])) for r in b.to_pylist()]
+    assert len(made) == 1 and {r["key"] for r in rows} == {i for i in range(500) if i % 4 in (0, 3)}
+    assert [(r["open"], r["stop"], r["tag"], r["own"], r["text"]) for r in rows if r["key"] == 3] == [(0, 2, "i", "b", None), (1, 1, None, None, "b")]
