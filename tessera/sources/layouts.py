@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import keys
+from tessera.operators.storage import settled
 from tessera.sources import elements as el
 
 # Bounds, labels and wording of the layouts.
@@ -96,7 +97,7 @@ def details(pages: DataFrame, source_url: Column, site: Site) -> DataFrame:
     """
     layout, key = LAYOUTS[site.layout], "page_id"
     approved = pages.withColumn("_link", keys.detail_address(F.col("url"), source_url, site.prefixes, site.drop))
-    found = el.parsed(approved.where("_link is not null"))
+    found = settled(el.parsed(approved.where("_link is not null")))
     parts = layout.parts(found, key, site)
     kept = el.retained(el.within(found, parts, key), key, site.skip())
     said = el.content(kept, key)
