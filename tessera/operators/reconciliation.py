@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,7 +67,14 @@ def _window(a: Column, b: Column) -> Column:
 
 
 def _chosen(selected: Column, other: Column) -> Column:
-    return selected.withField("diagnostics", F.array_distinct(F.concat(selected["diagnostics"], F.filter(other["diagnostics"], lambda d: d != "missing_date"))))
+    codes = lambda r: F.array_distinct(F.concat(r["diagnostics"], F.filter(other["diagnostics"], lambda d: d != "missing_date")))
+    return bound(selected, lambda r: r.withField("diagnostics", codes(r)))  # a field at a time would compute the reading once for each
+
+
+def _in_order(sittings: Column, tie: Callable[[Column], Column]) -> Column:
+    """Sittings by day, clock (none last) and ``tie``; those alike in all keep their order."""
+    keyed = F.transform(sittings, lambda o, i: F.struct(o["start_date"].alias("a"), o["start_time"].isNull().alias("b"), o["start_time"].alias("c"), tie(o).alias("d"), i.alias("i"), o.alias("o")))
+    return F.transform(F.sort_array(keyed), lambda x: x["o"])
 
 
 def _some(r: Column) -> Column:
@@ -102,8 +110,7 @@ def overlaid(primary: Column, schedule: Column) -> Column:
         return bound(F.filter(primary["occurrences"], lambda a: compatible(a, b)), with_match)
 
     rest = F.filter(primary["occurrences"], lambda a: ~F.exists(schedule["occurrences"], lambda b: fits(a, b)))
-    order = lambda o: F.struct(o["start_date"].alias("a"), o["start_time"].isNull().alias("b"), o["start_time"].alias("c"), o["occurrence_id"].alias("d"), o.alias("o"))
-    values = F.transform(F.array_sort(F.transform(F.concat(F.transform(schedule["occurrences"], filled), rest), order), _by_order), lambda x: x["o"])
+    values = _in_order(F.concat(F.transform(schedule["occurrences"], filled), rest), lambda o: o["occurrence_id"])
 
     def whole(v: Column) -> Column:
         one, o = F.size(v) == 1, F.get(v, 0)
@@ -118,11 +125,6 @@ def overlaid(primary: Column, schedule: Column) -> Column:
     return F.when(fit, _chosen(bound(values, whole), primary))
 
 
-def _by_order(x: Column, y: Column) -> Column:
-    key = lambda s: F.struct(s["a"], s["b"], s["c"], s["d"])
-    return F.when(key(x) < key(y), -1).when(key(x) > key(y), 1).otherwise(0)
-
-
 def follows(rule: Column, primary: Column, o: Column) -> Column:
     """Is a dated sitting an instance of a daily rule, or of a weekly one on a day, at the rule's hours?"""
     day = F.regexp_extract(rule, "^FREQ=WEEKLY;BYDAY=(MO|TU|WE|TH|FR|SA|SU)$", 1)
@@ -134,10 +136,17 @@ def follows(rule: Column, primary: Column, o: Column) -> Column:
 def _conflict(primary: Column, schedule: Column) -> Column:
     """Both readings, each sitting once and marked; nothing is said as a whole."""
     key = lambda o: F.to_json(F.struct(*(o[f] for f in (*FIELDS, "session_id", "timeslot_id"))))
-    every = F.transform(F.concat(primary["occurrences"], schedule["occurrences"]), lambda o, i: F.struct(key(o).alias("k"), i.alias("i"), o.alias("o")))
-    last = F.filter(every, lambda x: ~F.exists(every, lambda y: (y["k"] == x["k"]) & (y["i"] > x["i"])))
-    order = lambda x: F.struct(x["o"]["start_date"].alias("a"), x["o"]["start_time"].isNull().alias("b"), x["o"]["start_time"].alias("c"), x["k"].alias("d"), x["o"].alias("o"))
-    marked = F.transform(F.array_sort(F.transform(last, order), _by_order), lambda x: x["o"].withField("diagnostics", F.array_sort(F.array_union(x["o"]["diagnostics"], F.array(F.lit("schedule_conflict"))))))
+    keyed = F.transform(
+        F.concat(primary["occurrences"], schedule["occurrences"]),
+        lambda o, i: F.struct(o["start_date"].alias("a"), o["start_time"].isNull().alias("b"), o["start_time"].alias("c"), key(o).alias("d"), i.alias("i"), o.alias("o")),
+    )
+
+    def lasting(v: Column) -> Column:
+        """Of sittings in order, equal ones side by side, the last of each."""
+        last = F.filter(v, lambda x, i: ~F.coalesce(x["d"] == F.get(v, i + 1)["d"], F.lit(False)))
+        return F.transform(last, lambda x: x["o"].withField("diagnostics", F.array_sort(F.array_union(x["o"]["diagnostics"], F.array(F.lit("schedule_conflict"))))))
+
+    marked = bound(F.sort_array(keyed), lasting)
     codes = F.array_distinct(F.concat(primary["diagnostics"], schedule["diagnostics"], F.array(F.lit("schedule_conflict"))))
     return reading(marked, schedule_kind=F.lit("conflict"), recurrence_rule=F.coalesce(schedule["recurrence_rule"], primary["recurrence_rule"]), timezone=F.coalesce(primary["timezone"], schedule["timezone"]), diagnostics=codes)
 
@@ -173,9 +182,8 @@ def of_sessions(sessions: Column, zone: Column, codes: Column | None = None) ->
     clock = lambda t: F.date_format(t, "HH:mm")
 
     def one(x: Column) -> Column:
-        start = temporal.iso_instant(x["start_iso"])
-        hours = F.timestamp_micros(F.unix_micros(start) + (x["duration_hours"].cast("decimal(20,6)") * 3_600_000_000).cast("long"))
-        end = F.coalesce(temporal.iso_instant(x["end_iso"]), hours)
+        hours = lambda start: F.timestamp_micros(F.unix_micros(start) + (x["duration_hours"].cast("decimal(20,6)") * 3_600_000_000).cast("long"))
+        spans = bound(temporal.iso_instant(x["start_iso"]), lambda start: F.struct(start.alias("start"), F.coalesce(temporal.iso_instant(x["end_iso"]), hours(start)).alias("end")))
         slot = x["timeslot_id"].isNotNull()
         marks = F.filter(F.array(
             F.when(slot & (x["schema_status"] == "timeslot_outside_parent_window"), "embedded_timeslot_parent_window_conflict").when(slot & x["schema_status"].isNotNull(), "embedded_timeslot_unverified_shape").when(x["schema_status"].isNotNull(), UNVERIFIED),
@@ -183,13 +191,12 @@ def of_sessions(sessions: Column, zone: Column, codes: Column | None = None) ->
             F.when(x["price_per_person"].cast("decimal(20,6)") != x["unit_price"].cast("decimal(20,6)"), "session_price_conflict"),
             F.when((x["host_discount_pct"].cast("decimal(20,6)") != 0) | (x["platform_discount_pct"].cast("decimal(20,6)") != 0), "embedded_session_discount_unresolved"),
         ), lambda c: c.isNotNull())
-        return bound(F.struct(local(start).alias("a"), local(end).alias("b")), lambda t: sitting(
+        return bound(bound(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), local(s["start"]).alias("a"), local(s["end"]).alias("b"))), lambda t: sitting(
             occurrence_id=F.concat(F.lit("session:"), F.sha2(F.concat_ws("\x1f", x["session_id"], F.coalesce(x["timeslot_id"], F.lit(""))), 256)), start_date=F.to_date(t["a"]), start_time=clock(t["a"]), end_time=clock(t["b"]),
-            timezone=zone, starts_at=start, ends_at=end, date_precision=F.lit("exact"), session_id=x["session_id"], timeslot_id=x["timeslot_id"], diagnostics=marks,
+            timezone=zone, starts_at=t["start"], ends_at=t["end"], date_precision=F.lit("exact"), session_id=x["session_id"], timeslot_id=x["timeslot_id"], diagnostics=marks,
         ))
 
-    order = lambda o: F.struct(o["start_date"].alias("a"), o["start_time"].isNull().alias("b"), o["start_time"].alias("c"), o["occurrence_id"].alias("d"), o.alias("o"))
-    sorted_ = F.transform(F.array_sort(F.transform(F.transform(sessions, one), order), _by_order), lambda x: x["o"])
+    sorted_ = _in_order(F.transform(sessions, one), lambda o: o["occurrence_id"])
 
     def whole(v: Column) -> Column:
         single, o = F.size(v) == 1, F.get(v, 0)
@@ -213,9 +220,10 @@ def driven(primary: Column, schedule: Column | None = None, sessions: Column | N
     result = primary
     for more in (schedule, sessions):
         if more is not None:
-            result = bound(F.struct(result.alias("r"), more.alias("m")), lambda x: F.when(x["m"].isNull(), x["r"]).when(x["r"].isNull(), x["m"]).otherwise(_reconciled(x["r"], x["m"])))
-    if session_codes is not None and sessions is not None:
-        result = bound(F.struct(result.alias("r"), sessions.alias("m")), lambda x: F.when(x["m"].isNull() & x["r"].isNotNull(), x["r"].withField("diagnostics", F.concat(x["r"]["diagnostics"], F.coalesce(session_codes, F.array().cast("array<string>"))))).otherwise(x["r"]))
+            absent = lambda r: r
+            if more is sessions and session_codes is not None:
+                absent = lambda r: F.when(r.isNotNull(), r.withField("diagnostics", F.concat(r["diagnostics"], F.coalesce(session_codes, F.array().cast("array<string>")))))
+            result = bound(F.struct(result.alias("r"), more.alias("m")), lambda x: F.when(x["m"].isNull(), absent(x["r"])).when(x["r"].isNull(), x["m"]).otherwise(_reconciled(x["r"], x["m"])))  # noqa: B023
     return result
 
 
