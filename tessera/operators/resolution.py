@@ -1,7 +1,8 @@
 """One event from the members of a group: what survives of their texts, prices, times and sessions.
 
 Nothing is gathered: every rule is a combining aggregate of the group, and what a
-rule needs of the group it gets by a join on its key.  A price is an amount with
+rule needs of the group it gets by a window on its key, so members that are dealt
+by group are not shuffled again.  A price is an amount with
 its currency, never one of each; a time is one member's whole tuple, never put
 together from several; sessions keep their own facts.
 """
@@ -10,7 +11,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as texts
@@ -48,14 +49,12 @@ def timed(members: DataFrame, group: str, order: Column) -> DataFrame:
     """
     known = _any(F.col(f).isNotNull() for f in TIMES if f != "timezone")
     rows = members.withColumn("_order", order).withColumn("_known", known)
-    sure = rows.groupBy(group).agg(F.bool_or(F.col("_known") & F.coalesce("reliable", F.lit(False))).alias("_sure"))
-    rows = rows.join(sure, group).withColumn("_counts", F.col("_known") & (F.coalesce("reliable", F.lit(False)) | ~F.col("_sure")))
+    own = Window.partitionBy(group)
+    sure = F.bool_or(F.col("_known") & F.coalesce("reliable", F.lit(False))).over(own)
+    rows = rows.where(F.col(group).isNotNull()).withColumn("_sure", sure).withColumn("_counts", F.col("_known") & (F.coalesce("reliable", F.lit(False)) | ~F.col("_sure")))
     strong = lambda f: F.when(F.col("_counts"), F.col(f))
-    said = rows.groupBy(group).agg(
-        *(F.min(strong(f)).alias(f"_u_{f}") for f in TIMES), F.bool_or("_counts").alias("_some"),
-        _any([F.coalesce(F.min(strong(f)) != F.max(strong(f)), F.lit(False)) for f in TIMES]).alias("_clash"),
-    )
-    rows = rows.join(said, group)
+    rows = rows.withColumns({f"_u_{f}": F.min(strong(f)).over(own) for f in TIMES} | {f"_v_{f}": F.max(strong(f)).over(own) for f in TIMES} | {"_some": F.bool_or("_counts").over(own)})
+    rows = rows.withColumn("_clash", _any([F.coalesce(F.col(f"_u_{f}") != F.col(f"_v_{f}"), F.lit(False)) for f in TIMES]))
     whole = F.col("_counts") & ~F.col("_clash") & _all(F.col(f).eqNullSafe(F.col(f"_u_{f}")) for f in TIMES)
     against = F.col("_known") & _any(F.coalesce(F.col(f) != F.col(f"_u_{f}"), F.lit(False)) for f in TIMES)
     more = F.col("_known") & _any(F.col(f).isNotNull() & F.col(f"_u_{f}").isNull() for f in TIMES)
@@ -79,17 +78,17 @@ def merged(members: DataFrame, group: str) -> DataFrame:
     places = F.to_json(F.struct("start_date", "end_date", "start_time", "end_time", "timezone"))
     key = F.when(F.col("session_id").isNotNull(), F.to_json(F.struct("session_id", "timeslot_id"))).otherwise(places)
     rows = rows.withColumn("_sitting", key)
-    clash = rows.groupBy(group, "_sitting").agg(_any([F.coalesce(F.min(f) != F.max(f), F.lit(False)) for f in TIMES]).alias("split"))
-    rows = rows.join(clash, [group, "_sitting"]).withColumn("_sitting", F.when(F.col("split"), F.concat("_sitting", F.to_json(F.struct(*TIMES)))).otherwise(F.col("_sitting")))
+    of = Window.partitionBy(group, "_sitting")
+    clash = _any([F.coalesce(F.min(f).over(of) != F.max(f).over(of), F.lit(False)) for f in TIMES])
+    rows = rows.where(F.col(group).isNotNull()).withColumn("split", clash).withColumn("_sitting", F.when(F.col("split"), F.concat("_sitting", F.to_json(F.struct(*TIMES)))).otherwise(F.col("_sitting")))
     facts = [F.when(F.min(f) == F.max(f), F.min(f)).alias(f) for f in FACTS]
     odd = _codes((F.bool_or("split"), "occurrence_temporal_conflict"), *((F.min(f) != F.max(f), f"occurrence_field_conflict:{f}") for f in FACTS))
     codes = F.array_union(F.flatten(F.collect_set(F.coalesce("diagnostics", F.array().cast("array<string>")))), odd)
     one = rows.groupBy(group, "_sitting").agg(*(F.min(f).alias(f) for f in TIMES), F.min("date_precision").alias("date_precision"), F.min("session_id").alias("session_id"), F.min("timeslot_id").alias("timeslot_id"), *facts, F.collect_set("candidate_id").alias("candidate_ids"), F.array_sort(F.array_distinct(codes)).alias("diagnostics"), F.bool_or("split").alias("split"))
     bare = F.col("session_id").isNull() & F.col("start_time").isNull() & F.col("end_date").isNull()
     clocked = F.col("end_date").isNull() & F.col("start_time").isNotNull()
-    day = [group, "start_date", "timezone"]
-    days = one.groupBy(*day).agg(F.count_if(clocked).alias("_n"), F.flatten(F.collect_list(F.when(bare, F.col("candidate_ids")))).alias("_more"))
-    kept = one.join(days.withColumnsRenamed({c: f"_day_{c}" for c in day}), _all(F.col(c).eqNullSafe(F.col(f"_day_{c}")) for c in day), "left").where(~(bare & F.coalesce(F.col("_n") == 1, F.lit(False))))
+    day = Window.partitionBy(group, "start_date", "timezone")
+    kept = one.withColumns({"_n": F.count_if(clocked).over(day), "_more": F.flatten(F.collect_list(F.when(bare, F.col("candidate_ids"))).over(day))}).where(~(bare & (F.col("_n") == 1)))
     ids = F.array_sort(F.when(clocked & (F.col("_n") == 1), F.array_union("candidate_ids", "_more")).otherwise(F.col("candidate_ids")))
     return kept.select(group, *(f for f in fields if f != "diagnostics"), ids.alias("candidate_ids"), "diagnostics", "split")
 

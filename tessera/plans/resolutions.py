@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import resolution
@@ -24,8 +25,8 @@ _SITTINGS = f"""with {_MEMBERS} select k, (n % 2)::varchar session_id, min(day0)
 
 
 def members(t):
-    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n")).agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"), F.to_date(F.min("l_shipdate")).alias("ship"), F.min("l_quantity").alias("q"))
-    rows = lines.join(lines.groupBy("k").agg(F.min("ship").alias("first")), "k")
+    lines = t.lineitem.repartition("l_orderkey").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n")).agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"), F.to_date(F.min("l_shipdate")).alias("ship"), F.min("l_quantity").alias("q"))
+    rows = lines.where("k is not null").withColumn("first", F.min("ship").over(Window.partitionBy("k")))
     p, s, n = F.col("p"), F.col("s"), F.col("n")
     none = lambda kind: F.lit(None).cast(kind)
     clock = F.when(p % 4 == 0, "18:00")

@@ -13,3 +13,8 @@ def plan(spark, name):
 
 def test_a_session_is_read_once(spark):
     assert plan(spark, "n_schedule_driver").count("[0-9]{4}") <= 2  # its start and its end
+
+
+def test_members_are_dealt_by_group_once_for_each_rule(spark):
+    text = plan(spark, "e_resolution")
+    assert text.count("Exchange") <= 5 and text.count("Join") <= 2
