@@ -175,14 +175,14 @@ def parse_clock(text: Column) -> Column:
 
 
 def local_instant(local: Column, zone: Column | str) -> Column:
-    """The instant of a local time; null where clocks skip or repeat it.  ``local`` is a timestamp read as UTC."""
+    """The instant of a local time; null where clocks skip or repeat it.  ``local`` is a timestamp read as UTC, whose own clocks do neither."""
     zone = F.lit(zone) if isinstance(zone, str) else zone
     utc = F.to_utc_timestamp(local, zone)
     again = F.lit(False)
     for minutes in (-60, -30, 30, 60):
         moved = F.timestamp_add("MINUTE", F.lit(minutes), utc)
         again = again | (F.from_utc_timestamp(moved, zone) == local)
-    return F.when((F.from_utc_timestamp(utc, zone) == local) & ~again, utc)
+    return F.when(zone == "UTC", local).when((F.from_utc_timestamp(utc, zone) == local) & ~again, utc)
 
 
 def saturday(day: Column) -> Column:

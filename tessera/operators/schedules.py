@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import functools
 import zoneinfo
 
 from pyspark.sql import Column
@@ -44,8 +45,12 @@ def instant(at: datetime.datetime) -> Column:
     return F.lit(at.astimezone(datetime.UTC).strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")
 
 
+def _names(code: Column, words: tuple[str, ...]) -> Column:
+    return functools.reduce(Column.__or__, (code.contains(w) for w in words))
+
+
 def _has(codes: Column, words: tuple[str, ...]) -> Column:
-    return F.exists(codes, lambda c: c.rlike("|".join(words)))
+    return F.exists(codes, lambda c: _names(c, words))
 
 
 def _verdict(kind: str, reason: str) -> Column:
@@ -64,10 +69,11 @@ def dated(value: Column, codes: Column, reference: Column, horizon: Column) -> C
     known = F.coalesce(value["timezone"].isin(*sorted(zoneinfo.available_timezones())), F.lit(False))
     zone = F.when(known, value["timezone"]).otherwise("UTC")
     last = F.coalesce(value["end_date"], value["start_date"])
-    at = lambda day, clock: local_instant(F.to_timestamp(F.concat_ws(" ", day.cast("string"), clock)), zone)
+    midnight = lambda day: local_instant(day.cast("timestamp"), zone)
+    closing_at = local_instant(F.to_timestamp(F.concat_ws(" ", last.cast("string"), value["end_time"])), zone)
     times = F.struct(
-        at(value["start_date"], F.lit("00:00")).alias("begin"), at(F.date_add(last, 1), F.lit("00:00")).alias("after"),
-        F.when(value["end_time"].isNotNull(), at(last, value["end_time"])).alias("close"), last.alias("last"),
+        midnight(value["start_date"]).alias("begin"), midnight(F.date_add(last, 1)).alias("after"),
+        F.when(value["end_time"].isNotNull(), closing_at).alias("close"), last.alias("last"),
     )
 
     def judged(t: Column) -> Column:
@@ -110,10 +116,10 @@ def relevance(event: Column, reference: datetime.datetime, days: int = 14) -> Co
     codes = F.transform(timely, lambda d: d["code"])
     occurrences = F.coalesce(event["occurrences"], F.array())
     empty = F.transform(F.array().cast("array<string>"), lambda x: F.struct(x.alias("occurrence_id"), x.alias("disposition"), x.alias("reason")))
-    held = lambda c: c.rlike("|".join(HELD))
+    held = lambda c: _names(c, HELD)
 
     def session(o: Column) -> Column:
-        own = F.filter(F.coalesce(o["diagnostics"], none), lambda c: ~c.rlike("|".join(BOOKING)))
+        own = F.filter(F.coalesce(o["diagnostics"], none), lambda c: ~_names(c, BOOKING))
 
         def shaped(v: Column) -> Column:
             why = F.when(F.exists(own, lambda c: held(c) & c.contains("timeslot")), "unverified_timeslot").otherwise("unverified_session_shape")

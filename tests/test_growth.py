@@ -18,3 +18,8 @@ def test_a_session_is_read_once(spark):
 def test_members_are_dealt_by_group_once_for_each_rule(spark):
     text = plan(spark, "e_resolution")
     assert text.count("Exchange") <= 5 and text.count("Join") <= 2
+
+
+def test_sessions_are_judged_without_patterns(spark):
+    text = plan(spark, "e_relevance_occurrences")
+    assert "RLIKE" not in text and text.count("concat_ws") <= 12
