@@ -54,7 +54,8 @@ def compatible(text: pa.Array) -> pa.Array:
 
 def text_key(text: Column, ascii_only: bool = False) -> Column:
     """NFKC, folded, all but letters and digits a space, blanks collapsed."""
-    plain = fold(text if ascii_only else F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(compatible(text)))
+    plainly = text.rlike(r"^\p{ASCII}*$")  # a Python function gets every row, whatever the condition around it: what needs none is null there
+    plain = fold(text if ascii_only else F.when(plainly, text).otherwise(compatible(F.when(~plainly, text))))
     return F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " "))
 
 

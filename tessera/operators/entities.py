@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import functools
 from collections import Counter
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,9 @@ UNDECIDED = ("discrete", "recurring", "conflict")
 PRECISE = ("exact", "day")
 PRICE_FIELDS = ("price_text", "price_amount", "currency")
 
+#: The columns of a prepared context that ``matched`` compares.
+COMPARED = ("candidate_id", "is_event", "title_key", "tokens", "city_key", "venue_name_key", "address_key", "place_words", "registration", "home", "sittings", "days", "hours", "reliable", "start_date", "start_time", "end_time", "timezone", "publisher_key", "source_id", "identity_slot", "content_url")
+
 #: What ``prepared`` expects of a context beside candidate_id; a column that is missing counts as null.
 CONTEXT = {
     "is_event": "boolean", "title": "string", "city": "string", "venue_name": "string", "address": "string", "registration_url": "string", "start_date": "date", "end_date": "date",
@@ -156,12 +160,20 @@ def sure_pairs(contexts: DataFrame) -> DataFrame:
 
     They share a rare title token beside a page, or beside a reliable date and
     the publisher or the start time; so a title that many announcements share
-    makes no block of its own.
+    makes no block of its own.  Contexts travel to their blocks, pairs never
+    travel: a pair is made in the first block that its two share, so once.  They
+    meet by a shuffled join, whatever their size: judging takes many tasks.
     """
-    own = rare_tokens(contexts.where("is_event")).join(contexts, "candidate_id")
-    dated = F.when(F.col("reliable"), F.concat_ws("|", "x", "start_date"))
-    keys_ = F.array_compact(F.array(F.when(F.col("publisher_key").isNotNull(), F.concat(dated, F.lit("|p|"), "publisher_key")), F.concat(dated, F.lit("|c|"), "start_time"), F.concat("x", F.lit("|u|"), "content_url"), F.when(F.col("publisher_key").isNull(), F.concat(dated, F.lit("|n")))))
-    return joined(met(own.select("candidate_id", F.explode(keys_).alias("k")).distinct()), contexts)
+    rare = rare_tokens(contexts.where("is_event")).groupBy("candidate_id").agg(F.array_sort(F.collect_set("x")).alias("rare"))
+    dated = lambda x: F.when(F.col("reliable"), F.concat_ws("|", x, "start_date"))
+    kinds = (
+        lambda x: F.when(F.col("publisher_key").isNotNull(), F.concat(dated(x), F.lit("|p|"), "publisher_key")), lambda x: F.when(F.col("publisher_key").isNull(), F.concat(dated(x), F.lit("|n"))),
+        lambda x: F.concat(x, F.lit("|u|"), "content_url"), lambda x: F.concat(dated(x), F.lit("|c|"), "start_time"),
+    )
+    blocks = F.array_compact(F.concat(*(F.transform("rare", k) for k in kinds)))
+    own = rare.join(contexts, "candidate_id").select(F.struct(*COMPARED).alias("c"), blocks.alias("ks")).select("c", "ks", F.explode("ks").alias("k"))
+    left, right = own.select(F.col("c").alias("a"), F.col("ks").alias("ka"), "k"), own.select(F.col("c").alias("b"), F.col("ks").alias("kb"), "k")
+    return left.join(right.hint("merge"), "k").where((F.col("a.candidate_id") < F.col("b.candidate_id")) & (F.get(F.array_intersect("ka", "kb"), F.lit(0)) == F.col("k"))).select("a", "b")
 
 
 def blocked_pairs(contexts: DataFrame) -> DataFrame:
@@ -196,9 +208,48 @@ def decisions(contexts: DataFrame, sure: bool = False) -> DataFrame:
     return matched(pairs).select(F.col("a.candidate_id").alias("candidate_id_a"), F.col("b.candidate_id").alias("candidate_id_b"), "kind", "reasons")
 
 
+def same_events(contexts: DataFrame) -> DataFrame:
+    """(candidate_id_a, candidate_id_b, kind) of all same-event pairs, written once without their reasons, as ``complete_link`` and ``blocked_edges`` read them."""
+    return settled(decisions(contexts, sure=True).where("kind = 'same_event'").select("candidate_id_a", "candidate_id_b", "kind"))
+
+
+def spanning(edges: DataFrame, a: str, b: str, nodes: int = 200_000) -> DataFrame:
+    """(u, v) edges that connect what ``edges`` do: each task replaces its own by one star a component, and starts anew after ``nodes`` nodes."""
+
+    def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict = {}
+
+        def root(x):  # noqa: ANN001, ANN202
+            up.setdefault(x, x)
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        def stars() -> pa.RecordBatch:
+            found = [(x, r) for x in list(up) if (r := root(x)) != x]
+            up.clear()
+            return pa.record_batch([pa.array([e[k] for e in found], kind) for k in (0, 1)], names=["u", "v"])
+
+        kind = pa.string()
+        for batch in batches:
+            kind = batch.column(0).type
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = root(x), root(y)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+            if len(up) > nodes:
+                yield stars()
+        if up:
+            yield stars()
+
+    kind = edges.schema[a].dataType.simpleString()
+    return edges.select(F.col(a).alias("u"), F.col(b).alias("v")).mapInArrow(contracted, f"u {kind}, v {kind}")
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(id, root): the least id that each node reaches; labels are written each round and spread until none changes."""
-    both = settled(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b), F.col(a))).distinct())
+    few = settled(spanning(edges, a, b))
+    both = settled(few.select("u", "v").union(few.select("v", "u")).distinct())
     labels = settled(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("root")))
     while True:
         near = both.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("root").alias("near"))
@@ -210,37 +261,52 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             return labels.withColumnRenamed("u", "id")
 
 
+def folded(part: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """(id, first id of its group) of a component of same-event edges, the lesser id first in each."""
+    earlier: dict[str, list[str]] = {}
+    for x, y in part:
+        earlier.setdefault(x, [])
+        earlier.setdefault(y, []).append(x)
+    home: dict[str, int] = {}
+    size: list[int] = []
+    first: list[str] = []
+    for x in sorted(earlier):
+        seen = Counter(home[y] for y in earlier[x])  # groups by how many members are the same event as x
+        at = min((g for g, n in seen.items() if n == size[g]), default=len(size))
+        if at == len(size):
+            size.append(0)
+            first.append(x)
+        size[at] += 1
+        home[x] = at
+    return [(x, first[g]) for x, g in home.items()]
+
+
 def complete_link(contexts: DataFrame, decided: DataFrame) -> DataFrame:
     """(candidate_id, group_id): in id order each joins the first group whose members are all the same event.
 
-    Only components of same-event edges meet in a task; across them no edge is
-    the same event, so the order within a component gives the order overall.
-    The work there is in proportion to the edges.
+    Only components of same-event edges meet in a task, one after another;
+    across them no edge is the same event, so the order within a component gives
+    the order overall.  The work there is in proportion to the edges.
+    ``decided`` is read twice, so it should be written before.
     """
     edges = decided.where("kind = 'same_event'").select("candidate_id_a", "candidate_id_b")
     roots = components(edges, "candidate_id_a", "candidate_id_b")
     own = edges.join(roots, edges["candidate_id_a"] == roots["id"]).select("root", F.col("candidate_id_a").alias("a"), F.col("candidate_id_b").alias("b"))
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        earlier: dict[str, list[str]] = {}
-        for x, y in zip(part["a"], part["b"], strict=True):
-            earlier.setdefault(x, [])
-            earlier.setdefault(y, []).append(x)
-        home: dict[str, int] = {}
-        size: list[int] = []
-        for x in sorted(earlier):
-            seen = Counter(home[y] for y in earlier[x])  # groups by how many members are the same event as x
-            at = min((g for g, n in seen.items() if n == size[g]), default=len(size))
-            if at == len(size):
-                size.append(0)
-            size[at] += 1
-            home[x] = at
-        first: dict[int, str] = {}
-        for x, g in home.items():
-            first.setdefault(g, x)
-        return pd.DataFrame([(x, first[g]) for x, g in home.items()], columns=["candidate_id", "group_id"])
-
-    grouped = own.groupBy("root").applyInPandas(fold, "candidate_id string, group_id string")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, part = None, []
+        made = lambda rows: pa.record_batch([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], names=["candidate_id", "group_id"])
+        for batch in batches:
+            done = []
+            for root, a, b in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if root != at:
+                    done += folded(part)
+                    at, part = root, []
+                part.append((a, b))
+            yield made(done)
+        yield made(folded(part))
+
+    grouped = own.repartition("root").sortWithinPartitions("root").mapInArrow(fold, "candidate_id string, group_id string")
     return contexts.select("candidate_id").join(grouped, "candidate_id", "left").select("candidate_id", F.coalesce("group_id", "candidate_id").alias("group_id"))
 
 

@@ -365,8 +365,8 @@ h as (select o.c, min(id) g2 from o join f using (c) where t > 0 and t <> t1 gro
 
 @query("e_complete_link", f"with {_WALKS} select id candidate_id, grp group_id from g")
 def complete_link(t):
-    made = entities.prepared(walks(t))
-    return entities.complete_link(made, entities.decisions(made, sure=True))
+    made = settled(entities.prepared(walks(t)))
+    return entities.complete_link(made, entities.same_events(made))
 
 
 @query("e_blocked_edges", f"with {_WALKS} select a.id candidate_id_a, b.id candidate_id_b, 'all_member_grouping_blocked' code from g a join g b on a.c = b.c and a.id < b.id and (a.t = 0 or b.t = 0 or a.t = b.t) and a.grp <> b.grp")

@@ -23,3 +23,28 @@ def test_membership_gathers_no_customer_in_one_row(spark):
 
     plan = QUERIES["j_membership_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan and "Generate" not in plan
+
+
+def test_judged_pairs_do_not_travel_and_come_once(spark):
+    from tessera.operators import entities
+    from tessera.plans import announcements
+    from tessera.plans.registry import Tables
+
+    made = entities.prepared(announcements.walks(Tables(spark, "/root/testdata/sf0.001"))).localCheckpoint()
+    pairs = entities.sure_pairs(made)
+    got = pairs.select("a.candidate_id", "b.candidate_id").collect()
+    assert got and len(got) == len({tuple(r) for r in got}) and all(a < b for a, b in got)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 5  # on either side frequencies and contexts to their tokens, then blocks; none on pairs
+    assert set(entities.same_events(made).columns) == {"candidate_id_a", "candidate_id_b", "kind"}
+
+
+def test_a_clique_shrinks_to_a_star(spark):
+    from tessera.operators import entities
+
+    edges = [(f"{g}{i:02}", f"{g}{j:02}") for g in "ab" for i in range(20) for j in range(i + 1, 20)]
+    rows = spark.createDataFrame(edges, "x string, y string").coalesce(1)
+    few = [tuple(r) for r in entities.spanning(rows, "x", "y").collect()]
+    assert len(few) == 38 and {v for _, v in few} == {"a00", "b00"}
+    again = entities.spanning(rows.union(spark.createDataFrame([("b19", "a05")], "x string, y string")).repartition(7), "x", "y", nodes=3)
+    assert {r.root for r in entities.components(again, "u", "v").collect()} == {"a00"}
