@@ -372,8 +372,8 @@ def complete_link(t):
 @query("e_blocked_edges", f"with {_WALKS} select a.id candidate_id_a, b.id candidate_id_b, 'all_member_grouping_blocked' code from g a join g b on a.c = b.c and a.id < b.id and (a.t = 0 or b.t = 0 or a.t = b.t) and a.grp <> b.grp")
 def blocked_edges(t):
     made = settled(entities.prepared(walks(t)))
-    decided = settled(entities.decisions(made, sure=True))
-    return entities.blocked_edges(decided, entities.complete_link(made, decided))
+    decided = entities.same_events(made)
+    return entities.blocked_edges(decided, settled(entities.complete_link(made, decided)))
 
 
 @query("d_snapshot_latest", "select user_id, max_by(event_type, {'a': ts, 'b': event_id}) event_type, max_by(event_id, {'a': ts, 'b': event_id}) event_id from events group by 1")
