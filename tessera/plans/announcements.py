@@ -265,8 +265,7 @@ def flagship(t):
     found = classified(t).where("kind = 'event'")
     named = found.select(F.col("id").alias("candidate_id"), "title", "o_orderkey", "o_custkey", F.col("c_nationkey").cast("string").alias("city"), F.col("o_custkey").cast("string").alias("publisher_key"), temporal.parse_iso(F.col("txt")).alias("start_date"))
     made = settled(entities.prepared(named.withColumn("timezone", F.lit("UTC")).withColumn("date_precision", F.when(F.col("start_date").isNull(), "unknown").otherwise("day"))))
-    decided = settled(entities.decisions(made, sure=True))
-    groups = entities.complete_link(made, decided)
+    groups = entities.complete_link(made, entities.same_events(made))
     members = made.join(groups, "candidate_id")
     kept = entities.survivors(members, "group_id", F.col("candidate_id"), ["title", "o_custkey", "start_date"])
     orders = members.groupBy("group_id").agg(F.count_distinct("o_orderkey").alias("n_orders"))
