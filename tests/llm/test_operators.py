@@ -440,6 +440,50 @@ def test_secrets_of_other_forms_are_found_and_the_recall_asked_for_holds(spark):
     assert [text[a:b] for a, b in secrets.others(text, secrets.base(text))] == ["_Zq8Lm2Xv", "x9!Kq2#Lm"]
 
 
+def test_the_network_learns_from_every_window(spark):
+    """More windows of each label than any fixed number of them: all are fitted or calibrated on, over several shards, however the documents are dealt."""
+    rng = random.Random(10)
+    key = lambda n: "".join(rng.choice("0123456789abcdefghijklmnopqrstuvwxyzABCDEF") for _ in range(n))
+    word = lambda: "".join(rng.choice(("ba", "lo", "ter", "min", "sa", "ro")) for _ in range(3))
+    texts = [f"{word()} password={key(20)} {word()} {word()} {word()}-{word()}-{word()} {word()}" for _ in range(3200)]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *texts[:400], None, ""])], "doc_id long, text string").localCheckpoint()
+    want = {0: set(), 1: set()}
+    for t in texts:
+        found = secrets.base(t)
+        want[1] |= {(t, s[1], n) for s in found for n, _ in enumerate(secrets.bare(t, s))}
+        want[0] |= {(t, a, n) for a, b in secrets.others(t, found) for n, _ in enumerate(secrets.windows(t, a, b))}
+    assert min(map(len, want.values())) > 3000
+    net = secrets.train(table, shard_bytes=100_000)
+    assert net.fitted[1] + net.apart[1] == len(want[1]) and net.fitted[0] + net.apart[0] + net.left_out == len(want[0])
+    assert net.recall >= 0.95 and abs(net.apart[1] / len(want[1]) - 1 / 3) < 0.05
+    again = secrets.train(table.repartition(7, "text"), shard_bytes=100_000)
+    assert np.array_equal(net.vector(), again.vector()) and net.threshold == again.threshold
+
+
+def test_the_looked_up_convolution_is_the_plain_one():
+    net = secrets.Network()
+    pieces = ["short", "password=abcdef \xe9\u4e2d\x00 tail", "x" * 64]
+    x = secrets.codes(pieces)
+    assert [x[1][: len(pieces[1])].tolist()] == [[ord(c) - 31 if " " <= c <= "~" else 96 for c in pieces[1]]] and not x[0][5:].any()
+    want = []
+    for row in x:
+        cols = np.array([net.p["e"][row[a : a + 5]].ravel() for a in range(60)])
+        best = np.maximum(cols @ net.p["w"].reshape(40, 16) + net.p["b"], 0).max(axis=0)
+        want.append(best @ net.p["v"] + net.p["c"][0])
+    assert np.abs(net.logits(x) - want).max() < 1e-3
+    y, weight = np.array([1, 0, 1]), np.array([1.0, 2.0, 0.5])
+    net.p = {k: a.astype(float) for k, a in net.p.items()}
+    loss = lambda: (weight * (np.logaddexp(0, z := net._forward(x.astype(int), net.p["e"] @ net.p["w"])[2]) - y * z)).mean()
+    for k, grad in net.gradient(x, y, weight).items():
+        at = np.unravel_index(np.abs(grad).argmax(), grad.shape)
+        kept, sides = net.p[k][at], []
+        for step in (1e-6, -1e-6):
+            net.p[k][at] = kept + step
+            sides.append(loss())
+        net.p[k][at] = kept
+        assert abs((sides[0] - sides[1]) / 2e-6 - grad[at]) < 1e-5
+
+
 def test_no_rows_give_no_rows(spark, empty):
     items = spark.createDataFrame([], "item_id long, text string")
     for df in (near_dedup.near_duplicates(empty), decontaminate.find_leaks(empty, items), substring_dedup.remove_repeats(empty), token_counts.token_counts(empty, PATH), packing.pack_documents(empty, PATH), pseudonyms.pseudonymise(empty, b"k"), quality.judge(empty), secrets.scan(empty, secrets.train(empty))):
