@@ -35,6 +35,7 @@ class Site:
     exclude: tuple[str, ...] = ()
     drop: tuple[str, ...] = ()
     layout: str = "generic"
+    longest: int | None = LONGEST_DETAIL  # characters of a detail's text; None for any length
 
     def skip(self) -> Column:
         general = el.unseen() | el.one_of((*el.ASIDES, *self.exclude))
@@ -121,9 +122,10 @@ def details(pages: DataFrame, source_url: Column, site: Site) -> DataFrame:
     else:
         fields = F.lit(None)
     n = F.size(F.coalesce("heads", F.array().cast("array<string>")))
+    long = F.char_length("text") > site.longest if site.longest else F.lit(False)
     status = (
         F.when(F.col("_link").isNull(), "not_a_detail").when(F.col("_region").isNull(), "region")
-        .when(F.col("text").isNull() | (F.char_length("text") > LONGEST_DETAIL), "text").when(n > 1, "headings").otherwise("ok")
+        .when(F.col("text").isNull() | long, "text").when(n > 1, "headings").otherwise("ok")
     )
     ok = lambda c: F.when(F.col("status") == "ok", c)
     segment = F.regexp_extract(F.col("url"), r"^[a-z]+://[^/?#]*(?:/[^?#]*)?/([^/?#]+)/?$", 1)

@@ -201,3 +201,19 @@ def test_small_pages_are_sent_together(spark, monkeypatch):
     rows = [r for b in taken["f"](iter([batch])) for r in b.to_pylist()]
     assert len(made) == 1 and {r["key"] for r in rows} == {i for i in range(500) if i % 4 in (0, 3)}
     assert [(r["open"], r["stop"], r["tag"], r["own"], r["text"]) for r in rows if r["key"] == 3] == [(0, 2, "i", "b", None), (1, 1, None, None, "b")]
+
+
+def test_cut_headings_and_long_articles_as_in_sql(spark, tmp_path):
+    """A heading cut within a reference keeps what is left of it, but of &amp the sign; an article of any length is read."""
+    import compare
+
+    from tessera.plans.queries import ORACLES
+
+    heads = ["a &quot", "a &quo", "a &amp", "a &am", "a &lt", "a &amp;&gt", "a &amp;quot", "&quot;a&quot;", "a &amp;&lt;b&gt;", "a & b"]
+    rows = [(i, f"{BASE}en/{i}", f"<title>{h}</title><article><h1>{h}</h1><p>said &quot</p></article>") for i, h in enumerate(heads)]
+    rows += [(90, BASE + "en/90", f"<article><h1>Long</h1><p>{'x ' * 60_000}</p></article>"), (91, BASE + "xx/91", rows[0][2])]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = compare.spark(QUERIES["s_page_details"](spark, str(tmp_path)))
+    assert got == compare.oracle(ORACLES["s_page_details"], tmp_path)
+    texts = {r.page_id: r.n_chars for r in QUERIES["s_page_texts"](spark, str(tmp_path)).collect()}
+    assert texts[90] == len("Long\n") + 119_999 and 91 not in texts
