@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -117,21 +116,52 @@ def parsed(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFr
     return pages.select(F.col(key).alias("key"), html).mapInArrow(read, f"key {kind}, {ELEMENT}").withColumnRenamed("key", key)
 
 
-def scripts(html: str) -> Column:
-    """What each script without an address holds, without blanks around it, in order, as an array of a page; a page that nests too deep has none."""
+class _Scripts(HTMLParser):
+    """Collects what a page's scripts without an address hold, with the bounds and ends of ``_Rows``, without its rows."""
 
-    def own(page: str | None) -> list[str]:
-        reader = _Rows()
-        reader.feed(page or "")
-        reader.close()
-        return [r[7].strip(" \t\n\x0b\f\r") for r in reader.finished() if r[5] == "script" and not dict(r[6]).get("src")]
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.opened: list[str] = []
+        self.found: list[str] = []
+        self.own: list[str] | None = None
+        self.deep = False
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in ENDS:
+            del self.opened[ended(tag, self.opened) :]
+        self.deep |= len(self.opened) >= DEPTH
+        if tag not in VOID:
+            self.opened.append(tag)
+        if tag == "script" and not dict(attrs).get("src"):
+            self.own = []
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in self.opened:
+            while self.opened.pop() != tag:
+                pass
+        if tag == "script":
+            self._end()
+
+    def handle_data(self, data: str) -> None:
+        if self.own is not None:
+            self.own.append(data)
+
+    def _end(self) -> None:
+        if self.own is not None:
+            self.found.append("".join(self.own).strip(" \t\n\x0b\f\r"))
+        self.own = None
+
+    def finished(self) -> list[str]:
+        self._end()
+        return [] if self.deep else self.found
 
-    @F.pandas_udf("array<string>")
-    def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(own)
 
-    return read(F.col(html))
+def scripts(page: str) -> list[str]:
+    """What each script of a page without an address holds, without blanks around it, in order; a page that nests too deep has none."""
+    reader = _Scripts()
+    reader.feed(page)
+    reader.close()
+    return reader.finished()
 
 
 # ---- selectors

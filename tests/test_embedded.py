@@ -137,3 +137,16 @@ def test_pages_are_read_without_a_shuffle(spark, monkeypatch):
     embedded.extract(spark.createDataFrame([("plain", "https://a.example/events/demo", page(encoded(CASES["plain"])))], "page_id string, url string, html string"))
     plan = saved[0]._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan and "sessions" in saved[0].columns
+
+
+def test_a_table_is_decoded_once_and_numbers_are_told_as_written(spark):
+    """Sessions leave the reader as rows: Spark neither parses the table again nor takes it apart entry by entry."""
+    value = route(session(pricePerPerson=1.5, unitPrice=100.0, durationHours=2.25), session(id="s2", unitPrice=1e20), session(id="é" * 101), session(id="s4", remainingSeats=True))
+    pages = spark.createDataFrame([("a", "https://a.example/events/demo", page(encoded(value))), ("b", "https://a.example/events/demo", page(encoded(value)).replace("100.0", "1e2"))], "page_id string, url string, html string")
+    rows = embedded.payloads(pages)
+    plan = rows._jdf.queryExecution().executedPlan().toString().lower()
+    assert "variant" not in plan and "from_json" not in plan and "exchange" not in plan
+    sessions, report = embedded.extract(pages)
+    got = {(r.page_id, r.session_id): (r.duration_hours, r.price_per_person, r.unit_price) for r in sessions.collect()}
+    assert got == {("a", "s1"): ("2.25", "1.5", "100"), ("b", "s1"): ("2.25", "1.5", "100.0")}
+    assert {tuple(r.diagnostics) for r in report.collect()} == {tuple(sorted([D, S + "field", PRICE]))}
