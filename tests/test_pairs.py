@@ -18,6 +18,15 @@ def test_every_pair_once_in_many_tasks(spark):
     assert relational.every_pair(rows.limit(0), "k").count() == 0 and relational.every_pair(rows.limit(1), "k").count() == 0
 
 
+def test_pairs_come_as_runs(spark):
+    """A row meets a whole block at a time, as the lesser key: written pairs are runs, which files hold in few bytes."""
+    n, blocks = 300, 8
+    rows = spark.createDataFrame([(None, -1), *((i * 7 % n, i) for i in range(n))], "k long, v long").repartition(5)
+    parts = relational.every_pair(rows, "k", blocks=blocks).rdd.mapPartitions(lambda part: [[r.a for r in part]]).collect()
+    runs = sum(sum(1 for i, a in enumerate(p) if i == 0 or p[i - 1] != a) for p in parts)
+    assert sum(map(len, parts)) == n * (n - 1) // 2 and runs <= n * (blocks + 1)
+
+
 def test_membership_gathers_no_customer_in_one_row(spark):
     from tessera.plans.queries import QUERIES
 
